@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from passagelake.functions.text import optional_filter
 from passagelake.functions.vectors import dim_ok
-from passagelake.session import scratch_path
+from passagelake.session import materialise, scratch_path
 
 # Bytes of vectors and running results that one broadcast block may hold.
-BLOCK_BYTES = 256 << 20
+BLOCK_BYTES = 128 << 20
 # A query asking for more hits than this is not tracked in a task's memory: all
 # its distances are emitted and the window ranks them.
 MAX_TRACKED = 10_000
@@ -81,9 +81,25 @@ def valid_queries(queries: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
-    """``n x dim`` doubles of a list column whose rows all have ``dim`` items."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def vectors_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n x dim`` numbers of a list column, and which rows are comparable.
+
+    All rows have ``dim`` items; a row with a NULL or a non-finite number among
+    them is not comparable.
+    """
+    values = column.flatten()
+    matrix = values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    usable = np.isfinite(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64))
+    return matrix, usable
+
+
+def _chunks_of(batch: pa.RecordBatch, dim: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The comparable chunks of a batch and their vectors in double precision."""
+    matrix, usable = vectors_of(batch.column("embedding"), dim)
+    if usable.all():
+        return batch, matrix.astype(np.float64)
+    kept = np.flatnonzero(usable)
+    return batch.take(pa.array(kept)), matrix[kept].astype(np.float64)
 
 
 def _collect_block(queries: DataFrame, dim: int) -> QueryBlock:
@@ -93,7 +109,7 @@ def _collect_block(queries: DataFrame, dim: int) -> QueryBlock:
         return QueryBlock(ids, np.zeros((0, dim)), np.zeros(0, np.int64), [])
     return QueryBlock(
         ids,
-        vectors_of(pa.concat_arrays(table["embedding"].chunks), dim),
+        vectors_of(pa.concat_arrays(table["embedding"].chunks), dim)[0],
         np.array([-1 if n is None else max(n, 0) for n in table["top_n"].to_pylist()], np.int64),
         table["filtre"].to_pylist(),
     )
@@ -163,8 +179,6 @@ def _groups(block: QueryBlock) -> list[tuple[str | None, np.ndarray]]:
 def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: QueryBlock = block.value
-        q_all = queries.vectors
-        q_norm_all = (q_all**2).sum(axis=1)
         groups = _groups(queries)
         wanted = queries.wanted
         hits = [_Hits(wanted[members]) for _, members in groups]
@@ -182,9 +196,9 @@ def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             )
 
         for batch in batches:
+            batch, x_all = _chunks_of(batch, dim)
             if batch.num_rows == 0:
                 continue
-            x_all = vectors_of(batch.column("embedding"), dim)
             chunk_all = batch.column("chunk_id").to_numpy()
             document_all = batch.column("document_id").to_numpy()
             x_norm_all = (x_all**2).sum(axis=1)
@@ -200,7 +214,8 @@ def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     if rows is None
                     else (x_all[rows], chunk_all[rows], document_all[rows], x_norm_all[rows])
                 )
-                q, q_norm = q_all[members], q_norm_all[members]
+                q = queries.vectors[members].astype(np.float64)
+                q_norm = (q**2).sum(axis=1)
                 if wanted[members[0]] < 0:
                     for i in range(len(members)):
                         query = np.full(len(x), i)
@@ -263,6 +278,7 @@ def knn(
         partial = _scan(usable, candidates, dim)
     else:
         path = scratch_path(spark, "knn")
+        usable = materialise(usable, "queries")  # each block reads its part; encode the texts once
         for i in range(blocks):
             block = usable.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
             _scan(block, candidates, dim).write.parquet(f"{path}/block={i}")
@@ -313,16 +329,13 @@ def distance_profile(queries: DataFrame, candidates: Callable[[bool, bool], Data
 def _partial_profile(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: QueryBlock = block.value
-        q_norm = (queries.vectors**2).sum(axis=1)
-        n = np.zeros(len(q_norm), np.int64)
+        n = np.zeros(len(queries.query_id), np.int64)
         least, total, largest = np.full(len(n), np.inf), np.zeros(len(n)), np.zeros(len(n))
         members_by_name: dict[str | None, list[int]] = {}
         for i, name in enumerate(queries.filters):
             members_by_name.setdefault(name, []).append(i)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x_all = vectors_of(batch.column("embedding"), dim)
+            batch, x_all = _chunks_of(batch, dim)
             by_name = _rows_by_name(batch.column("collection_name")) if queries.filtered else {}
             for name, members in members_by_name.items():
                 x = x_all if name is None else x_all[by_name.get(name, np.zeros(0, np.int64))]
@@ -330,16 +343,18 @@ def _partial_profile(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     continue
                 x_norm = (x**2).sum(axis=1)
                 for start in range(0, len(members), QUERY_STEP):
-                    q = np.array(members[start : start + QUERY_STEP])
-                    squared = q_norm[q, None] + x_norm[None, :] - 2.0 * (queries.vectors[q] @ x.T)
+                    step = np.array(members[start : start + QUERY_STEP])
+                    q = queries.vectors[step].astype(np.float64)
+                    q_norm = (q**2).sum(axis=1)
+                    squared = q_norm[:, None] + x_norm[None, :] - 2.0 * (q @ x.T)
                     # the product cancels for near-equal vectors: measure those exactly
-                    near = np.nonzero(squared < 1e-3 * (q_norm[q, None] + x_norm[None, :]))
+                    near = np.nonzero(squared < 1e-3 * (q_norm[:, None] + x_norm[None, :]))
                     distance = np.sqrt(np.maximum(squared, 0.0))
-                    distance[near], _ = _exact(queries.vectors[q], x, *near, q_norm[q], x_norm)
-                    n[q] += len(x)
-                    least[q] = np.minimum(least[q], distance.min(axis=1))
-                    total[q] += distance.sum(axis=1)
-                    largest[q] = np.maximum(largest[q], distance.max(axis=1))
+                    distance[near], _ = _exact(q, x, *near, q_norm, x_norm)
+                    n[step] += len(x)
+                    least[step] = np.minimum(least[step], distance.min(axis=1))
+                    total[step] += distance.sum(axis=1)
+                    largest[step] = np.maximum(largest[step], distance.max(axis=1))
         seen = n > 0
         yield pa.RecordBatch.from_arrays(
             [pa.array(c[seen]) for c in (queries.query_id, n, least, total, largest)],

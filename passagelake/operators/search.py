@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagelake.functions.text import optional_filter
 from passagelake.functions.vectors import cosine_similarity, dim_ok
 from passagelake.operators.knn import knn
 from passagelake.schema import VECTOR_DIM
+from passagelake.session import materialise
 
 # Hits per request by default, and the collection shown for an
 # unfiltered search.
@@ -18,6 +19,10 @@ DEFAULT_TOP_N = 5
 NO_COLLECTION = "Aucune collection"
 
 
+# Rows of a narrow table that may be broadcast, after counting them.
+BROADCAST_ROWS = 500_000
+
+
 def null_embedding_filter(chunks: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Chunks that can be compared: a vector of ``dim`` numbers, none of them NULL."""
     return chunks.filter(dim_ok(F.col(vector), dim))
@@ -41,23 +46,48 @@ def join_chunks_documents_collections(
     return chunks.join(named, "document_id")
 
 
+def _at_most(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def candidates(
     chunks: DataFrame, documents: DataFrame, collections: DataFrame, dim: int, names: DataFrame | None = None
 ) -> Callable[[bool, bool], DataFrame]:
-    """Chunks to compare, joined only as far as the requests need.
+    """Chunks to compare, joined only as far as the requests need and without moving vectors if possible.
+
+    Without a filtered request the collections are not read; with only filtered
+    ones, just the chunks of the wanted collections (``names``) remain. In order
+    of preference, the join with the documents is
 
-    Without a filtered request the collections are not read. With only filtered
-    ones, just the chunks of the wanted collections (``names``) remain.
+    - a broadcast of the narrow document side, when it is counted to be small,
+    - a broadcast of the document ids that are missing, when those are few and
+      the chunks know their collection,
+    - a shuffle join, which AQE splits where one document has very many chunks.
     """
 
     def build(filtered: bool, unfiltered: bool) -> DataFrame:
-        usable = null_embedding_filter(chunks, dim)
-        if not filtered:
-            return join_chunks_documents(usable, documents)
-        wanted = collections
+        # the kernel itself drops vectors with NULL elements
+        usable = chunks.filter((F.size("embedding") == dim) & F.col("document_id").isNotNull())
+        wanted = collections.select("collection_id", F.col("name").alias("collection_name"))
         if names is not None:
-            wanted = collections.join(names, F.col("name") == F.col("wanted_name"), "left_semi")
-        return join_chunks_documents_collections(usable, documents, wanted, "left" if unfiltered else "inner")
+            wanted = wanted.join(names, F.col("collection_name") == F.col("wanted_name"), "left_semi")
+        how = "left" if unfiltered else "inner"
+        known = documents.select("document_id", "collection_id")
+
+        if _at_most(known, BROADCAST_ROWS):
+            if filtered:
+                known = known.join(wanted, "collection_id", how)
+            return usable.drop("collection_id").join(F.broadcast(known), "document_id")
+        if not filtered or "collection_id" in chunks.columns:
+            missing = materialise(
+                chunks.select("document_id").distinct().join(known, "document_id", "left_anti"), "missing-documents"
+            )
+            if _at_most(missing, BROADCAST_ROWS):
+                present = usable.join(F.broadcast(missing), "document_id", "left_anti")
+                return present.join(wanted, "collection_id", how) if filtered else present
+        if not filtered:
+            return join_chunks_documents(usable.drop("collection_id"), documents)
+        return usable.drop("collection_id").join(known.join(wanted, "collection_id", how), "document_id")
 
     return build
 
@@ -120,8 +150,12 @@ def search_result_shape(hits: DataFrame, chunks: DataFrame, queries: DataFrame)
         F.col("query_id").cast("long"),
         F.coalesce(optional_filter(F.col("filtre")), F.lit(NO_COLLECTION)).alias("collection_selectionnee"),
     )
+    bound = queries.agg(F.sum("top_n").alias("rows"), F.count_if(F.col("top_n").isNull()).alias("unlimited")).first()
+    if not bound["unlimited"] and (bound["rows"] or 0) <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)  # at most the sum of all top_n, so the texts stay where they are
     return (
-        hits.join(chunks.select(F.col("chunk_id").cast("long"), "chunk_text"), "chunk_id")
+        chunks.select(F.col("chunk_id").cast("long"), "chunk_text")
+        .join(hits, "chunk_id")
         .join(chosen, "query_id")
         .select("query_id", "rk", "chunk_id", "document_id", "chunk_text", "distance", "collection_selectionnee")
     )
@@ -166,13 +200,11 @@ def search_metrics_long(hits: DataFrame, queries: DataFrame, params: dict[str, s
     param_rows = queries.select(
         F.col("query_id").cast("long"), F.explode(rows("param", logged)).alias("row")
     ).filter(F.col("row.value").isNotNull())
-    metric = lambda key, value: F.struct(
-        F.lit("metric").alias("kind"), key.alias("key"), value.cast("string").alias("value")
-    )
-    tops = hits.select(
-        "query_id", metric(F.concat(F.lit("cos_similarity_top_"), F.col("rk").cast("string")), F.col("cos")).alias("row")
-    )
-    means = mean_cos_similarity(hits).select(
-        "query_id", metric(F.lit("mean_cos_similarity"), F.col("mean_cos_similarity")).alias("row")
+    # the mean shares the hits' partitioning by query, so the search runs once
+    with_mean = hits.withColumn("_mean", F.avg("cos").over(Window.partitionBy("query_id")))
+    top = rows("metric", [(F.concat(F.lit("cos_similarity_top_"), F.col("rk").cast("string")), F.col("cos"))])
+    mean = rows("metric", [(F.lit("mean_cos_similarity"), F.col("_mean"))])
+    metric_rows = with_mean.select(
+        "query_id", F.explode(F.when(F.col("rk") == 1, F.concat(top, mean)).otherwise(top)).alias("row")
     )
-    return param_rows.unionByName(tops).unionByName(means).select("query_id", "row.*")
+    return param_rows.unionByName(metric_rows).select("query_id", "row.*")

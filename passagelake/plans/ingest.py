@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from passagelake.functions.encoders import EncoderFactory, HashingEncoder, embed
 from passagelake.functions.extract import extract_text
 from passagelake.functions.text import (
-    CHUNK_WORDS, bucket_name, cutting_text, estimated_time, minio_link, normalize_filename, slug_lookup, taille_chunk,
+    CHUNK_WORDS, bucket_name, count_chunks, cutting_text, estimated_time, extension_allowed, minio_link,
+    normalize_filename, size_allowed, slug_lookup, taille_chunk,
 )
 from passagelake.operators.guards import upload_gate_outcome
 from passagelake.session import materialise
@@ -55,11 +56,6 @@ def upload_key(uploads: DataFrame) -> Column:
     return F.col("upload_id").cast("long")
 
 
-def judge_uploads(files: DataFrame, stored: DataFrame) -> DataFrame:
-    """Uploads with ``title_document`` and ``outcome``; contents are left out of the guards' shuffles."""
-    return upload_gate_outcome(files.drop("content"), stored)
-
-
 def ingest(
     files: DataFrame,
     stored: DataFrame,
@@ -69,19 +65,27 @@ def ingest(
     document_id: Callable[[DataFrame], Column] = upload_key,
     pdf_decoder: Callable[[bytes], str] | None = None,
     embed_partitions: int | None = None,
+    small_batch: bool = False,
 ) -> Ingested:
     """Documents, chunks and rejects of a batch of uploads.
 
     ``files``: ``upload_id, arrival, collection_id, collection_name, title,
     filename, size_bytes, content``. ``stored`` is the current document table.
-    The extracted texts are written to the shared folder once, so the three
-    results do not extract them three times.
+    The guards see names and sizes only. Contents are read for files that pass
+    the extension and size gates, and meet the accepted ids in one join; as
+    those ids are unique it also spreads the files evenly for what follows. The
+    extracted texts are written to the shared folder once, so the results do
+    not extract them again.
     """
-    verdicts = judge_uploads(files, stored).select("upload_id", "outcome")
-    judged = files.join(verdicts, "upload_id").withColumn("title_document", normalize_filename(F.col("filename")))
-    rejected = judged.filter("outcome <> 'accepted'").select("upload_id", "title_document", F.col("outcome").alias("reason"))
+    named = files.withColumn("title_document", normalize_filename(F.col("filename")))
+    verdicts = upload_gate_outcome(files.drop("content"), stored, small_batch)
+    accepted = verdicts.filter("outcome = 'accepted'").select("upload_id")
+    rejected = verdicts.filter("outcome <> 'accepted'").select(
+        "upload_id", "title_document", F.col("outcome").alias("reason")
+    )
+    readable = named.filter(extension_allowed(F.col("title_document")) & size_allowed(F.col("size_bytes")))
     texts = materialise(
-        extract_text(judged.filter("outcome = 'accepted'"), pdf_decoder).drop("content"), "extracted"
+        extract_text(readable.join(accepted, "upload_id", "left_semi"), pdf_decoder).drop("content"), "extracted"
     )
     unreadable = texts.filter(F.col("error").isNotNull()).select(
         "upload_id", "title_document", F.col("error").alias("reason")
@@ -98,7 +102,7 @@ def ingest(
         F.to_date(now).alias("date_de_creation"),
         now.alias("created_at"),
         posted_by.alias("posted_by"),
-        F.size(cutting_text(F.col("text"))).alias("num_of_chunks"),
+        count_chunks(F.col("text")).alias("num_of_chunks"),
     )
     chunks = embed_chunks(
         explode_chunks(cut.select("document_id", "collection_id", "text")), encoder, partitions=embed_partitions

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from passagelake.functions.encoders import EncoderFactory, HashingEncoder
+from passagelake.operators.search import BROADCAST_ROWS
 from passagelake.plans.ingest import ingest
 from passagelake.schema import TABLES
 from passagelake.sources.files import FILE_SCHEMA
@@ -51,7 +52,8 @@ def stream_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         result = ingest(
-            to_uploads(batch), stored_documents(session, root, batch_id), now, posted_by, encoder, pdf_decoder=pdf_decoder
+            to_uploads(batch), stored_documents(session, root, batch_id), now, posted_by, encoder,
+            pdf_decoder=pdf_decoder, small_batch=files_per_batch is not None and files_per_batch <= BROADCAST_ROWS,
         )
         result.quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
         sink_documents_chunks(result.documents, result.chunks, root, batch_id)
