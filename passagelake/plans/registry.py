@@ -24,7 +24,7 @@ from passagelake.functions import extract, text, vectors
 from passagelake.functions.encoders import HashingEncoder
 from passagelake.operators import access, catalog, guards, ids, knn, metrics, projections, quality, search
 from passagelake.plans import ingest
-from passagelake.session import scratch_path
+from passagelake.session import scratch_path, ship_package
 from passagelake.sources import files, sinks, tables
 from passagelake.streaming import ingest as streaming_ingest
 from passagelake.streaming import metrics as streaming_metrics
@@ -41,7 +41,11 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(build: Callable[[Bindings], DataFrame]) -> Callable[[Bindings], DataFrame]:
-    _QUERIES[build.__name__] = lambda spark, sf_dir: build(Bindings(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return build(Bindings(spark, sf_dir))
+
+    _QUERIES[build.__name__] = run
     return build
 
 

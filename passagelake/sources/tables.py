@@ -9,7 +9,7 @@ from passagelake.schema import TABLES
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A table with its declared schema; nothing is inferred."""
-    return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}")
+    return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}").select(TABLES[table].names)
 
 
 def scan_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

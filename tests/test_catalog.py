@@ -1,0 +1,184 @@
+import datetime as dt
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from passagelake.operators import access, catalog, metrics, projections, quality
+from passagelake.schema import GRANTS, TABLES
+
+T0, NOW = dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1, 8)
+
+
+def collections(spark, rows):
+    full = [(i, u, n, d, T0.date(), T0, s) for i, u, n, d, s in rows]
+    return spark.createDataFrame(full, TABLES["collections"])
+
+
+def users(spark, rows):
+    return spark.createDataFrame([(i, n, "x", e, r, T0.date(), T0) for i, n, e, r in rows], TABLES["users"])
+
+
+def test_update_folds_changes_in_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"n{i}", f"e{i}", i % 3 + 1) for i in range(20)]
+    changes = [
+        (int(rng.integers(0, 25)), seq, str(rng.choice(["", "a", "b"])), [None, "", "m"][rng.integers(3)], int(rng.integers(0, 3)))
+        for seq in range(200)
+    ]
+    state = {i: [n, e, r] for i, n, e, r in rows}
+    for uid, _, *new in changes:
+        if uid in state:
+            state[uid] = [n or old for n, old in zip(new, state[uid])]
+    shuffled = spark.createDataFrame(changes, "user_id int, seq int, username string, email string, role_id int").repartition(5)
+    got = catalog.update_users(users(spark, rows), shuffled).collect()
+    assert {r.user_id: [r.username, r.email, r.role_id] for r in got} == state
+
+
+def test_collection_rename_state_and_time(spark):
+    current = collections(spark, [(1, 1, "first-collection", "d", "créé"), (2, 1, "b", None, "créé"), (3, 1, "c", "z", None)])
+    changes = spark.createDataFrame(
+        [(1, 0, "Updated Collection", ""), (2, 0, "x", ""), (2, 1, "b", "new"), (9, 0, "q", "q")],
+        "collection_id int, seq int, name string, description string",
+    )
+    got = {r.collection_id: r for r in catalog.update_collections(current, changes, F.lit(NOW)).collect()}
+    assert (got[1].name, got[1].description, got[1].etat_bucket) == ("Updated Collection", "d", "mis à jour")
+    assert (got[2].name, got[2].description, got[2].etat_bucket) == ("b", "new", "mis à jour")  # renamed and back
+    assert (got[3].name, got[3].etat_bucket, got[3].derniere_modification) == ("c", None, T0)
+    assert got[1].derniere_modification == got[2].derniere_modification == NOW and len(got) == 3
+
+
+def test_rename_to_an_equal_key_moves_nothing(spark):
+    before = collections(spark, [(1, 1, "a b", None, "créé"), (2, 1, "old", None, "créé")])
+    after = collections(spark, [(1, 1, "a-b", None, "créé"), (2, 1, "néw", None, "créé")])
+    objects = spark.createDataFrame(
+        [("collection-1-a-b", "x.txt", 1), ("collection-2-old", "y.txt", 2), ("collection-2-old", "z.txt", 3)],
+        "bucket string, object_name string, size_bytes long",
+    )
+    moves = catalog.rekey_objects(objects, before, after)
+    assert {(r.old_bucket, r.new_bucket, r.object_name) for r in moves.collect()} == {
+        ("collection-2-old", "collection-2-n-w", "y.txt"), ("collection-2-old", "collection-2-n-w", "z.txt"),
+    }
+    assert {tuple(r) for r in catalog.apply_rekey(objects, moves).select("bucket", "object_name").collect()} == {
+        ("collection-1-a-b", "x.txt"), ("collection-2-n-w", "y.txt"), ("collection-2-n-w", "z.txt"),
+    }
+
+
+def test_create_collections_per_owner_with_bucket_states(spark):
+    current = collections(spark, [(4, 1, "first-collection", None, "créé")])
+    requests = spark.createDataFrame(
+        [(0, 1, "First_Collection", "taken"), (1, 2, "First Collection", "other owner"), (2, 2, "first-collection", "late"),
+         (3, 1, "Second Collection", "s")],
+        "seq int, user_id int, name string, description string",
+    )
+    got = catalog.create_collections(requests, current, F.lit(NOW)).filter("collection_id > 4").collect()
+    assert {(r.user_id, r.name, r.description, r.etat_bucket) for r in got} == {
+        (2, "first-collection", "other owner", "créé"), (1, "second-collection", "s", "créé"),
+    }
+    assert sorted(r.collection_id for r in got) == [5, 6]
+    key = next(r for r in got if r.user_id == 2)
+    objects = spark.createDataFrame([(f"collection-{key.collection_id}-{key.name}",)], "bucket string")
+    other = next(r for r in got if r.user_id == 1)
+    failures = spark.createDataFrame([(f"collection-{other.collection_id}-{other.name}", "no space")], "bucket string, error string")
+    states = {r.user_id: r.etat_bucket for r in catalog.create_collections(requests, current, F.lit(NOW), objects, failures)
+              .filter("collection_id > 4").collect()}
+    assert states == {2: "existant", 1: "non-créé: no space"}
+
+
+def test_deletes(spark):
+    people = users(spark, [(1, "a", "e", 1), (2, "b", "e", 1), (3, "c", "e", 1)])
+    owned = collections(spark, [(10, 2, "k", None, None), (11, 2, "m_N", None, None)])
+    wanted = spark.createDataFrame([(1,), (2,), (9,)], "user_id int")
+    assert {r.user_id for r in catalog.delete_users(people, wanted, owned).collect()} == {2, 3}
+    assert [r.user_id for r in catalog.blocked_user_deletes(people, wanted, owned).collect()] == [2]
+    documents = spark.createDataFrame(
+        [(1, 10, "x"), (2, 11, "y"), (3, 99, "z")], "document_id long, collection_id int, title_document string"
+    )
+    chunks = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3), (5, 77)], "chunk_id long, document_id long")
+    c, d, k = catalog.delete_collections_cascade(spark.createDataFrame([(10,)], "collection_id int"), owned, documents, chunks)
+    assert [r.collection_id for r in c.collect()] == [11]
+    assert {r.document_id for r in d.collect()} == {2, 3} and {r.chunk_id for r in k.collect()} == {3, 4, 5}
+    d, k, removed = catalog.delete_documents_cascade(
+        spark.createDataFrame([(2,), (3,), (50,)], "document_id long"), documents, chunks, owned
+    )
+    assert {r.document_id for r in d.collect()} == {1, 3}  # the collection of 3 is unknown
+    assert {r.chunk_id for r in k.collect()} == {1, 2, 4, 5}
+    assert [tuple(r) for r in removed.collect()] == [("collection-11-m-N", "y")]
+
+
+def test_lookups(spark):
+    two = collections(spark, [(3, 1, "same", None, None), (2, 2, "same", None, None), (5, 1, "Other", None, None)])
+    documents = spark.createDataFrame(
+        [(1, 3, "t", "f", "l", T0.date(), T0, "p", 1), (2, 2, "t", "g", "l", T0.date(), T0, "p", 4)], TABLES["documents"]
+    )
+    names = spark.createDataFrame([("same",), ("same",), ("other",)], "name string")
+    got = projections.get_documents_by_collection(documents, two, names).collect()
+    assert [(r.document_id, r.collection_name, r.number_of_chunks) for r in got] == [(2, "same", 4)]
+    found = projections.get_by_ids(two, "collection_id", spark.createDataFrame([(3,), (8,)], "collection_id int"))
+    assert {r.collection_id: (r.found, r.name) for r in found.collect()} == {3: (True, "same"), 8: (False, None)}
+    assert projections.get_by_id(two, "collection_id", 8).count() == 0
+    assert projections.next_id(two.limit(0), "collection_id").first().next_id == 1
+    versions = spark.createDataFrame([("m", "9"), ("m", "10")], "model string, version string")
+    assert projections.latest_version(versions).first().latest_version == 10
+
+
+def test_users_never_show_passwords(spark):
+    listed = projections.list_users(users(spark, [(1, "a", "e", 1)]))
+    assert "passwords" not in listed.columns
+
+
+@pytest.fixture
+def roles(spark):
+    return access.seed_roles(spark.createDataFrame([], TABLES["roles"]))
+
+
+def test_seeded_grants(spark, roles):
+    held = {r.role_name: [g for g in GRANTS if r[g]] for r in roles.collect()}
+    assert held["administrator"] == GRANTS
+    assert held["projectManager"] == [g for g in GRANTS if not g.endswith("_user") or g == "author_get_user"]
+    assert held["user"] == [g for g in GRANTS if g.endswith("_doc")] + ["author_get_collection", "author_get_user"]
+    assert sorted(r.role_id for r in roles.collect()) == [1, 2, 3]
+    assert access.seed_roles(roles).count() == 3
+    assert access.seed_admin(spark, "hash", F.lit(NOW)).first().username == "admin"
+    back = {(r.role_name, r.required_grant) for r in access.roles_unpivot(roles).filter("granted").collect()}
+    assert back == {(name, g) for name, grants in held.items() for g in grants}
+
+
+def test_permissions(spark, roles):
+    people = users(spark, [(1, "admin", "e", 1), (2, "pm", "e", 2), (3, "plain", "e", 3), (4, "lost", "e", 9), (5, "plain", "e", 1)])
+    endpoints = access.endpoint_permission_map(spark)
+    upload, search_, create = 11, 16, 0
+    log = [(0, "plain", upload), (1, "plain", search_), (2, "pm", upload), (3, "pm", create), (4, "superuser", create),
+           (5, "ghost", search_), (6, "lost", search_), (7, "admin", create), (8, "admin", 99)]
+    requests = spark.createDataFrame(log, "event_id int, username string, endpoint_id int")
+    got = {r.event_id: r for r in access.check_permission(requests, people, roles, endpoints).collect()}
+    assert {k: v.outcome for k, v in got.items()} == {
+        0: "denied", 1: "allowed", 2: "allowed", 3: "denied", 4: "allowed", 5: "unauthenticated", 6: "denied", 7: "allowed", 8: "denied",
+    }
+    assert got[0].message == "You do not have permission to author post collection." and got[1].message is None
+    audit = access.access_audit(requests, people, roles, endpoints).collect()
+    assert sum(r.allowed for r in audit) == 4 and sum(r.denied for r in audit) == 4 and sum(r.unauthenticated for r in audit) == 1
+    unused = {r.required_grant for r in access.unused_grants(roles, endpoints).collect()}
+    assert unused == {"author_post_doc", "author_put_doc", "author_patch_doc", "author_put_collection", "author_put_user"}
+
+
+def test_integrity_reports(spark, roles):
+    people = users(spark, [(1, "a" * 31, "e", 1), (2, "dup", None, 7), (3, "dup", "e", None)])
+    report = {(r.column_name, r.rule): r.n for r in quality.constraint_violations(people, "users").collect()}
+    assert report["username", "max_length_30"] == 1 and report["email", "not_null"] == 1 and report["role_id", "not_null"] == 1
+    assert [tuple(r) for r in quality.duplicate_usernames(people).collect()] == [("dup", 2)]
+    tables = {
+        "roles": roles, "users": people, "collections": collections(spark, [(1, 5, "n", None, None)]),
+        "documents": spark.createDataFrame([(1, 1)], "document_id long, collection_id int"),
+        "chunks": spark.createDataFrame([(1, 1), (2, 8)], "chunk_id long, document_id long"),
+    }
+    assert {tuple(r) for r in quality.fk_violations(tables).collect()} == {
+        ("users.role_id", 2, 7), ("collections.user_id", 1, 5), ("chunks.document_id", 2, 8),
+    }
+
+
+def test_histogram_is_cumulative(spark):
+    got = metrics.histogram(spark.createDataFrame([(0.005,), (0.3,), (11.0,), (None,)], "v double"), "v").collect()
+    counts = {r.le: r.bucket_count for r in got}
+    assert counts["0.005"] == 1 and counts["0.5"] == 2 and counts["10.0"] == 2 and counts["+Inf"] == 3
+    assert got[0].total_count == 3 and round(got[0].total_sum, 6) == 11.305
