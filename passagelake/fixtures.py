@@ -159,6 +159,16 @@ class Bindings:
             self._cache[name] = self._build(name)
         return self._cache[name]
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A base table over at least as many partitions as there are cores.
+
+        For costly work per row on a table of few files; a table of many is left
+        as it is, so this never shuffles a large input.
+        """
+        table = self[name]
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -33,6 +33,7 @@ QUERY_STEP = 256
 REFINE_BYTES = 32 << 20
 
 PARTIAL_SCHEMA = "query_id long, top_n long, chunk_id long, document_id long, distance double, cos double"
+PROFILE_SCHEMA = "query_id long, n long, least double, total double, largest double"
 _PARTIAL_ARROW = pa.schema(
     [
         ("query_id", pa.int64()),
@@ -59,6 +60,10 @@ class QueryBlock:
         """Hits a task keeps per query, below 0 where it emits every distance."""
         return np.where(self.top_n > MAX_TRACKED, -1, self.top_n)
 
+    def nbytes(self, dim: int) -> int:
+        """Vectors in double precision, the running results of one task, and a row's overhead."""
+        return int((8 * dim + 40 * np.clip(self.top_n, 0, MAX_TRACKED) + 64).sum())
+
     @property
     def filtered(self) -> bool:
         return any(f is not None for f in self.filters)
@@ -103,6 +108,7 @@ def _chunks_of(batch: pa.RecordBatch, dim: int) -> tuple[pa.RecordBatch, np.ndar
 
 
 def _collect_block(queries: DataFrame, dim: int) -> QueryBlock:
+    """A block's queries on the driver; callers have bounded their number."""
     table = queries.toArrow().combine_chunks()
     ids = table["query_id"].to_numpy()
     if len(ids) == 0:
@@ -243,8 +249,7 @@ def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def _scan(queries: DataFrame, candidates: Callable[[bool, bool], DataFrame], dim: int) -> DataFrame:
-    block = _collect_block(queries, dim)
+def _scan(block: QueryBlock, candidates: Callable[[bool, bool], DataFrame], dim: int) -> DataFrame:
     rows = candidates(block.filtered, block.unfiltered)
     broadcast = rows.sparkSession.sparkContext.broadcast(block)
     columns = ["chunk_id", "document_id", "embedding"] + (["collection_name"] if block.filtered else [])
@@ -253,6 +258,24 @@ def _scan(queries: DataFrame, candidates: Callable[[bool, bool], DataFrame], dim
     ).mapInArrow(_partial_top_k(broadcast, dim), PARTIAL_SCHEMA)
 
 
+def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[QueryBlock]:
+    """All queries as blocks of about ``block_bytes``; a single one when they fit."""
+    fit = max(1, block_bytes // (8 * dim + 64))
+    # stops after as many rows as one block can hold
+    first = _collect_block(queries.limit(fit + 1), dim)
+    if len(first.query_id) <= fit and first.nbytes(dim) <= block_bytes:
+        yield first
+        return
+    queries = materialise(queries, "queries")  # each block reads its part; encode the texts once
+    tracked = F.least(F.coalesce(F.greatest(F.col("top_n"), F.lit(0)), F.lit(0)), F.lit(MAX_TRACKED))
+    total = queries.agg(F.sum(8 * dim + 40 * tracked + 64)).first()[0]
+    blocks = -(-int(total) // block_bytes)
+    for i in range(blocks):
+        block = _collect_block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), dim)
+        if len(block.query_id):
+            yield block
+
+
 def knn(
     queries: DataFrame,
     candidates: Callable[[bool, bool], DataFrame],
@@ -264,60 +287,59 @@ def knn(
     ``candidates(filtered, unfiltered)`` gives the chunks to compare, with a
     ``collection_name`` when some query filters on one.
     """
-    spark = queries.sparkSession
-    # the vector, the running result of one task, and a row's overhead
-    per_query = 8 * dim + 40 * F.least(F.coalesce(F.col("top_n"), F.lit(0)), F.lit(MAX_TRACKED)) + 64
-    usable = valid_queries(queries, dim)
-    size = usable.agg(
-        F.coalesce(F.sum(per_query), F.lit(0)).alias("bytes"),
-        F.max("top_n").alias("most"),
-        F.count_if(F.col("top_n").isNull()).alias("unlimited"),
-    ).first()
-    blocks = -(-int(size["bytes"]) // block_bytes)
-    if blocks <= 1:
-        partial = _scan(usable, candidates, dim)
-    else:
-        path = scratch_path(spark, "knn")
-        usable = materialise(usable, "queries")  # each block reads its part; encode the texts once
-        for i in range(blocks):
-            block = usable.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-            _scan(block, candidates, dim).write.parquet(f"{path}/block={i}")
-        partial = spark.read.schema(PARTIAL_SCHEMA + ", block int").parquet(path).drop("block")
-
+    parts, most = _by_block(
+        queries, dim, block_bytes, PARTIAL_SCHEMA, lambda block: _scan(block, candidates, dim)
+    )
     best_first = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "chunk_id")
-    ranked = partial.withColumn("rk", F.row_number().over(best_first))
-    if not size["unlimited"]:
+    ranked = parts.withColumn("rk", F.row_number().over(best_first))
+    if most is not None:
         # a literal bound lets Spark prune each task's rows before the shuffle
-        ranked = ranked.filter(F.col("rk") <= int(size["most"] or 0))
+        ranked = ranked.filter(F.col("rk") <= most)
     return ranked.filter((F.col("top_n") < 0) | (F.col("rk") <= F.col("top_n"))).drop("top_n")
 
 
+def _by_block(
+    queries: DataFrame, dim: int, block_bytes: int, schema: str, scan: Callable[[QueryBlock], DataFrame]
+) -> tuple[DataFrame, int | None]:
+    """Partial results of all blocks, and the largest ``top_n`` unless some query has no limit.
+
+    One block stays lazy. Of several, each is scanned and written before the
+    next, so that one broadcast is held at a time.
+    """
+    spark = queries.sparkSession
+    blocks = query_blocks(valid_queries(queries, dim), dim, block_bytes)
+    block = next(blocks)
+    following = next(blocks, None)
+    if following is None:
+        return scan(block), _largest_limit(block)
+    path = scratch_path(spark, "partial")
+    limits, i = [], 0
+    while block is not None:
+        scan(block).write.parquet(f"{path}/block={i}")
+        limits.append(_largest_limit(block))
+        block, following, i = following, next(blocks, None), i + 1
+    parts = spark.read.schema(schema + ", block int").parquet(path).drop("block")
+    return parts, None if None in limits else max(limits)
+
+
+def _largest_limit(block: QueryBlock) -> int | None:
+    return None if (block.top_n < 0).any() else int(block.top_n.max(initial=0))
+
+
 def distance_profile(queries: DataFrame, candidates: Callable[[bool, bool], DataFrame], dim: int) -> DataFrame:
     """Candidates of each query and the least, mean and largest distance to them.
 
     The whole query-by-chunk comparison as an aggregate: tasks emit one partial
     row per query, so the pairs themselves are never written or shuffled.
     """
-    spark = queries.sparkSession
-    usable = valid_queries(queries, dim)
-    blocks = max(1, -(-usable.count() * (8 * dim + 64) // BLOCK_BYTES))
-    parts = []
-    for i in range(blocks):
-        block = _collect_block(usable.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), dim)
+
+    def scan(block: QueryBlock) -> DataFrame:
         rows = candidates(block.filtered, block.unfiltered)
+        shared = rows.sparkSession.sparkContext.broadcast(block)
         columns = ["embedding"] + (["collection_name"] if block.filtered else [])
-        shared = spark.sparkContext.broadcast(block)
-        part = rows.select(*columns).mapInArrow(
-            _partial_profile(shared, dim), "query_id long, n long, least double, total double, largest double"
-        )
-        if blocks > 1:
-            path = scratch_path(spark, "profile")
-            part.write.parquet(path)
-            part = spark.read.schema(part.schema).parquet(path)
-        parts.append(part)
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+        return rows.select(*columns).mapInArrow(_partial_profile(shared, dim), PROFILE_SCHEMA)
+
+    merged, _ = _by_block(queries, dim, BLOCK_BYTES, PROFILE_SCHEMA, scan)
     return merged.groupBy("query_id").agg(
         F.sum("n").alias("n_candidates"),
         F.min("least").alias("min_distance"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,20 @@ def candidates(
     - a shuffle join, which AQE splits where one document has very many chunks.
     """
 
+    known = documents.select("document_id", "collection_id")
+
+    # asked once, however many blocks of queries are scanned
+    @cache
+    def few_documents() -> bool:
+        return _at_most(known, BROADCAST_ROWS)
+
+    @cache
+    def missing_documents() -> DataFrame | None:
+        missing = materialise(
+            chunks.select("document_id").distinct().join(known, "document_id", "left_anti"), "missing-documents"
+        )
+        return missing if _at_most(missing, BROADCAST_ROWS) else None
+
     def build(filtered: bool, unfiltered: bool) -> DataFrame:
         # the kernel itself drops vectors with NULL elements
         usable = chunks.filter((F.size("embedding") == dim) & F.col("document_id").isNotNull())
@@ -72,19 +87,12 @@ def candidates(
         if names is not None:
             wanted = wanted.join(names, F.col("collection_name") == F.col("wanted_name"), "left_semi")
         how = "left" if unfiltered else "inner"
-        known = documents.select("document_id", "collection_id")
-
-        if _at_most(known, BROADCAST_ROWS):
-            if filtered:
-                known = known.join(wanted, "collection_id", how)
-            return usable.drop("collection_id").join(F.broadcast(known), "document_id")
-        if not filtered or "collection_id" in chunks.columns:
-            missing = materialise(
-                chunks.select("document_id").distinct().join(known, "document_id", "left_anti"), "missing-documents"
-            )
-            if _at_most(missing, BROADCAST_ROWS):
-                present = usable.join(F.broadcast(missing), "document_id", "left_anti")
-                return present.join(wanted, "collection_id", how) if filtered else present
+        if few_documents():
+            found = known.join(wanted, "collection_id", how) if filtered else known
+            return usable.drop("collection_id").join(F.broadcast(found), "document_id")
+        if (not filtered or "collection_id" in chunks.columns) and missing_documents() is not None:
+            present = usable.join(F.broadcast(missing_documents()), "document_id", "left_anti")
+            return present.join(wanted, "collection_id", how) if filtered else present
         if not filtered:
             return join_chunks_documents(usable.drop("collection_id"), documents)
         return usable.drop("collection_id").join(known.join(wanted, "collection_id", how), "document_id")

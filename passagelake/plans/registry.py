@@ -24,7 +24,7 @@ from passagelake.functions import extract, text, vectors
 from passagelake.functions.encoders import HashingEncoder
 from passagelake.operators import access, catalog, guards, ids, knn, metrics, projections, quality, search
 from passagelake.plans import ingest
-from passagelake.session import scratch_path, ship_package
+from passagelake.session import materialise, scratch_path, ship_package
 from passagelake.sources import files, sinks, tables
 from passagelake.streaming import ingest as streaming_ingest
 from passagelake.streaming import metrics as streaming_metrics
@@ -83,7 +83,7 @@ def object_manifest(t: Bindings) -> DataFrame:
 
 
 def _files_of_documents(t: Bindings) -> DataFrame:
-    """Documents as uploads with real contents: txt, html and docx files, some of them not valid."""
+    """Documents as uploads with real contents (txt, html and docx), stored as files arriving would be."""
     kind = F.element_at(F.array(F.lit("txt"), F.lit("html"), F.lit("docx"), F.lit("pdf"), F.lit("TXT")),
                         (F.col("doc_id") % 5 + 1).cast("int"))
     body = (
@@ -91,7 +91,7 @@ def _files_of_documents(t: Bindings) -> DataFrame:
         .when(kind == "docx", _docx_file(F.when(kind == "docx", F.col("text"))))
         .otherwise(F.encode("text", "utf-8"))
     )
-    return t["documents"].select(
+    uploads = t.spread("documents", "doc_id").select(
         F.col("doc_id").alias("upload_id"),
         F.col("doc_id").alias("arrival"),
         (F.substring("source", 4, 9).cast("int") + 1).alias("collection_id"),
@@ -99,7 +99,8 @@ def _files_of_documents(t: Bindings) -> DataFrame:
         F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"),
         F.concat(F.lit("Doc "), (F.col("doc_id") % 700).cast("string"), F.lit("."), kind).alias("filename"),
         body.alias("content"),
-    ).withColumn("size_bytes", F.length("content").cast("long"))
+    )
+    return materialise(uploads.withColumn("size_bytes", F.length("content").cast("long")), "uploads")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -422,7 +423,7 @@ def search_metrics_long(t: Bindings) -> DataFrame:
 
 
 def _cut(t: Bindings) -> DataFrame:
-    return ingest.explode_chunks(t["documents"].select(F.col("doc_id").alias("document_id"), "text"))
+    return ingest.explode_chunks(t.spread("documents", "doc_id").select(F.col("doc_id").alias("document_id"), "text"))
 
 
 @query
@@ -602,14 +603,17 @@ def extract_txt(t: Bindings) -> DataFrame:
 
 @query
 def extract_html(t: Bindings) -> DataFrame:
-    words = F.array_join(text.split_words(extract.extract_html(F.col("html"))), " ")
-    return t["pages"].select("page_id", F.length(words).alias("n_chars"), F.md5(words).alias("digest"))
+    pages = extract.extract_html(t.spread("pages", "page_id").select("page_id", "html"), "html")
+    words = F.array_join(text.split_words(F.col("text")), " ")
+    return pages.select("page_id", words.alias("words")).select(
+        "page_id", F.length("words").alias("n_chars"), F.md5("words").alias("digest")
+    )
 
 
 @query
 def extract_docx(t: Bindings) -> DataFrame:
     words = F.array_join(text.split_words(extract.extract_docx(F.col("content"))), " ")
-    made = t["documents"].select("doc_id", _docx_file(F.col("text")).alias("content"))
+    made = t.spread("documents", "doc_id").select("doc_id", _docx_file(F.col("text")).alias("content"))
     return made.select("doc_id", F.md5(words).alias("digest"))
 
 
