@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagelake.functions.text import permission_message
+from passagelake.operators.skew import spread_join
 from passagelake.schema import GRANTS, TABLES
 
 # The three seeded roles (id, name, description, fifteen grants
@@ -108,8 +109,13 @@ def _grant_of(required: Column) -> Column:
     return F.coalesce(chosen, F.lit(False))
 
 
-def _with_outcome(rows: DataFrame, users: DataFrame, roles: DataFrame, endpoints: DataFrame, superuser: str) -> DataFrame:
-    """Adds ``endpoint``, ``required_grant``, ``role_id`` and ``outcome`` to rows of ``username, endpoint_id``."""
+def _with_outcome(
+    rows: DataFrame, users: DataFrame, roles: DataFrame, endpoints: DataFrame, superuser: str, spread_by: str | None = None
+) -> DataFrame:
+    """Adds ``endpoint``, ``required_grant``, ``role_id`` and ``outcome`` to rows of ``username, endpoint_id``.
+
+    With ``spread_by`` the rows of a user who holds very many are split.
+    """
     known = users_by_name(users).join(roles.drop("role_name", "description"), "role_id", "left")
     is_super = F.col("username") == superuser
     outcome = (
@@ -118,20 +124,24 @@ def _with_outcome(rows: DataFrame, users: DataFrame, roles: DataFrame, endpoints
         .when(_grant_of(F.col("required_grant")), "allowed")
         .otherwise("denied")
     )
+    asked = rows.join(F.broadcast(endpoints), "endpoint_id", "left")  # a fixed seventeen rows
+    known = known.withColumn("_known", F.lit(True))
+    joined = (
+        spread_join(asked, known, ["username"], spread_by) if spread_by else asked.join(known, "username", "left")
+    )
     return (
-        rows.join(F.broadcast(endpoints), "endpoint_id", "left")  # a fixed seventeen rows
-        .join(known.withColumn("_known", F.lit(True)), "username", "left")
-        .withColumn("outcome", outcome)
+        joined.withColumn("outcome", outcome)
         .withColumn("role_id", F.when(~is_super, F.col("role_id")))
         .drop("_known", *GRANTS)
     )
 
 
 def check_permission(
-    requests: DataFrame, users: DataFrame, roles: DataFrame, endpoints: DataFrame, superuser: str = SUPERUSER
+    requests: DataFrame, users: DataFrame, roles: DataFrame, endpoints: DataFrame, superuser: str = SUPERUSER,
+    request_key: str = "event_id",
 ) -> DataFrame:
     """Verdict per request: allowed, denied or unauthenticated, with the refusal text."""
-    return _with_outcome(requests, users, roles, endpoints, superuser).withColumn(
+    return _with_outcome(requests, users, roles, endpoints, superuser, request_key).withColumn(
         "message", F.when(F.col("outcome") == "denied", permission_message(F.col("required_grant")))
     )
 

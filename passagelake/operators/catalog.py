@@ -15,6 +15,7 @@ from passagelake.functions.text import bucket_name, keep_if_falsy, slug_create,
 from passagelake.operators.guards import guard_duplicate_collection, guard_duplicate_username
 from passagelake.operators.ids import assign_ids
 from passagelake.operators.projections import first_row
+from passagelake.operators.skew import spread_join
 
 # Bucket states.
 BUCKET_CREATED = "créé"
@@ -35,7 +36,8 @@ def _last_given(column: str, falsy) -> Column:
 
 def new_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Requests that create a user: name free, and first with it in the batch."""
-    return first_row(guard_duplicate_username(requests, users), ["username"], "seq")
+    # one row per name before the join, however often a name is asked for
+    return guard_duplicate_username(first_row(requests, ["username"], "seq"), users)
 
 
 def create_users(requests: DataFrame, users: DataFrame, now: Column) -> DataFrame:
@@ -79,7 +81,8 @@ def blocked_user_deletes(users: DataFrame, ids: DataFrame, collections: DataFram
 
 def new_collections(requests: DataFrame, collections: DataFrame) -> DataFrame:
     """Requests that create a collection, with normalised names; first of each (name, owner) wins."""
-    return first_row(guard_duplicate_collection(requests, collections), ["name", "user_id"], "seq")
+    named = requests.withColumn("name", slug_create(F.col("name")))
+    return guard_duplicate_collection(first_row(named, ["name", "user_id"], "seq"), collections)
 
 
 def create_collections(
@@ -205,4 +208,5 @@ def delete_documents_cascade(
         bucket_name(F.col("collection_id"), slug_lookup(F.col("name"))).alias("bucket"),
         F.col("title_document").alias("object_name"),
     )
-    return documents.join(gone, "document_id", "left_anti"), chunks.join(gone, "document_id", "left_anti"), removed
+    remaining = spread_join(chunks, gone, ["document_id"], "chunk_id", "left_anti")
+    return documents.join(gone, "document_id", "left_anti"), remaining, removed

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from passagelake.functions.text import optional_filter
 from passagelake.functions.vectors import cosine_similarity, dim_ok
 from passagelake.operators.knn import knn
+from passagelake.operators.skew import spread_join
 from passagelake.schema import VECTOR_DIM
 from passagelake.session import materialise
 
@@ -139,11 +140,11 @@ def search(
     return ordered if top_n is None else ordered.limit(max(top_n, 0))
 
 
-def pairwise_cosine(questions: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+def pairwise_cosine(questions: DataFrame, responses: DataFrame, key: str, response_key: str) -> DataFrame:
     """Similarity of each response to the one question of its ``key``, as column ``cos``."""
     asked = questions.select(key, F.col("embedding").alias("_question"))
     return (
-        responses.join(asked, key)
+        spread_join(responses, asked, [key], response_key, "inner")
         .withColumn("cos", cosine_similarity(F.col("_question"), F.col("embedding")))
         .drop("_question", "embedding")
     )

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from passagelake.fixtures import DIM, Bindings
 from passagelake.functions import extract, text, vectors
 from passagelake.functions.encoders import HashingEncoder
-from passagelake.operators import access, catalog, guards, ids, knn, metrics, projections, quality, search
+from passagelake.operators import access, catalog, guards, ids, knn, metrics, projections, quality, search, skew
 from passagelake.plans import ingest
 from passagelake.session import materialise, scratch_path, ship_package
 from passagelake.sources import files, sinks, tables
@@ -496,7 +496,7 @@ def first_row(t: Bindings) -> DataFrame:
 
 def _to_centroid(t: Bindings) -> DataFrame:
     pooled = vectors.mean_pool(t["embeddings"], "label", "embedding").withColumnRenamed("embedding", "centroid")
-    return t["embeddings"].join(pooled, "label")
+    return skew.spread_join(t["embeddings"], pooled, ["label"], "vec_id", "inner")
 
 
 @query
@@ -524,6 +524,7 @@ def _answers(t: Bindings) -> DataFrame:
         ingest.embed_queries(questions, encoder, "text").select("conv_id", "embedding"),
         ingest.embed_queries(turns.filter("role = 'assistant'"), encoder, "text").select("conv_id", "turn", "embedding"),
         "conv_id",
+        "turn",
     )
 
 
