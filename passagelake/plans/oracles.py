@@ -121,7 +121,8 @@ _PAGE = (
     "'(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
 )
 for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-    _PAGE = f"replace({_PAGE}, '{_entity}', '{_char}')"
+    # the final semicolon may be missing where no letter follows
+    _PAGE = f"regexp_replace({_PAGE}, '{_entity[:-1]}(;|\\b)', '{_char}', 'g')"
 _WINDOW_LE = ", ".join(
     f"count(*) FILTER (value <= {b!r}) AS le_{repr(float(b)).replace('.', '_')}" for b in DEFAULT_BOUNDS
 )
