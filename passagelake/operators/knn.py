@@ -143,6 +143,38 @@ class _Hits:
         self.limit[merged[0][last]] = merged[1][last] ** 2
 
 
+def _copies(matrix: np.ndarray) -> np.ndarray:
+    """For every row the lowest row with the same numbers: the copies share one label.
+
+    Rows are matched by a 64-bit hash and then compared; a row that only shares
+    the hash of another stays on its own.
+    """
+    n = len(matrix)
+    bits = np.ascontiguousarray(matrix + 0.0).view(np.uint32 if matrix.itemsize == 4 else np.uint64).reshape(n, -1)
+    weights = np.random.default_rng(0).integers(1, 1 << 63, bits.shape[1], np.uint64) | np.uint64(1)
+    hashes = np.empty(n, np.uint64)
+    step = max(1, REFINE_BYTES // (8 * bits.shape[1]))
+    for start in range(0, n, step):
+        hashes[start : start + step] = (bits[start : start + step] * weights).sum(axis=1, dtype=np.uint64)
+    _, first, label = np.unique(hashes, return_index=True, return_inverse=True)
+    lowest = first[label]
+    for start in range(0, n, step):
+        rows = np.arange(start, min(start + step, n))
+        rows = rows[lowest[rows] != rows]
+        differ = (bits[rows] != bits[lowest[rows]]).any(axis=1)
+        lowest[rows[differ]] = rows[differ]
+    return lowest
+
+
+def _without_spare_copies(copies: np.ndarray, chunk: np.ndarray, most: int) -> np.ndarray:
+    """Rows that can be among the best ``most``: of equal vectors, the lowest chunk ids."""
+    order = np.lexsort((chunk, copies))
+    sorted_copies = copies[order]
+    starts = np.flatnonzero(np.r_[True, sorted_copies[1:] != sorted_copies[:-1]])
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return np.sort(order[rank < most])
+
+
 def _exact(q, x, query_rows, chunk_rows, q_norm, x_norm):
     """Distance and cosine of the given pairs, a bounded slice at a time."""
     distance = np.empty(len(query_rows))
@@ -208,21 +240,22 @@ def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             chunk_all = batch.column("chunk_id").to_numpy()
             document_all = batch.column("document_id").to_numpy()
             x_norm_all = (x_all**2).sum(axis=1)
-            by_name: dict[str | None, np.ndarray] = {}
-            if queries.filtered:
-                by_name = _rows_by_name(batch.column("collection_name"))
+            copies = None
+            by_name = _rows_by_name(batch.column("collection_name")) if queries.filtered else {}
+            by_name[None] = np.arange(len(x_all))
             for (name, members), best in zip(groups, hits):
-                rows = None if name is None else by_name.get(name)
-                if name is not None and (rows is None or not len(rows)):
+                rows = by_name.get(name)
+                if rows is None:
                     continue
+                most = int(best.wanted.max())
                 x, chunk, document, x_norm = (
                     (x_all, chunk_all, document_all, x_norm_all)
-                    if rows is None
+                    if name is None
                     else (x_all[rows], chunk_all[rows], document_all[rows], x_norm_all[rows])
                 )
                 q = queries.vectors[members].astype(np.float64)
                 q_norm = (q**2).sum(axis=1)
-                if wanted[members[0]] < 0:
+                if most < 0:
                     for i in range(len(members)):
                         query = np.full(len(x), i)
                         distance, cos = _exact(q, x, query, np.arange(len(x)), q_norm, x_norm)
@@ -233,11 +266,16 @@ def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 rough = q_norm[:, None] + x_norm[None, :] - 2.0 * (q @ x.T)
                 error = slack * (q_norm[:, None] + x_norm[None, :].max())
                 limit = best.limit.copy()
-                most = int(best.wanted.max())
                 if most < len(x):
                     smallest = np.partition(rough, most - 1, axis=1)[:, most - 1]
                     limit = np.minimum(limit, smallest + error[:, 0])
                 query, row = np.nonzero(rough <= limit[:, None] + error)
+                if len(query) > 4 * most * len(members) + 1024:
+                    # far more than wanted: copies of one vector tie with each other
+                    copies = _copies(x_all) if copies is None else copies
+                    needed = np.zeros(len(x), bool)
+                    needed[_without_spare_copies(copies[rows], chunk, most)] = True
+                    query, row = query[needed[row]], row[needed[row]]
                 if len(query):
                     distance, cos = _exact(q, x, query, row, q_norm, x_norm)
                     best.add(query, distance, chunk[row], document[row], cos)
@@ -259,17 +297,19 @@ def _scan(block: QueryBlock, candidates: Callable[[bool, bool], DataFrame], dim:
 
 
 def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[QueryBlock]:
-    """All queries as blocks of about ``block_bytes``; a single one when they fit."""
-    fit = max(1, block_bytes // (8 * dim + 64))
-    # stops after as many rows as one block can hold
-    first = _collect_block(queries.limit(fit + 1), dim)
-    if len(first.query_id) <= fit and first.nbytes(dim) <= block_bytes:
-        yield first
-        return
+    """All valid queries as blocks of about ``block_bytes``; a single one when they fit."""
+    # counted before any vector is computed; an encoder's column is pruned here
+    fits = queries.count() * (8 * dim + 64) <= block_bytes
+    queries = valid_queries(queries, dim)
+    if fits:
+        block = _collect_block(queries, dim)
+        if block.nbytes(dim) <= block_bytes:
+            yield block
+            return
     queries = materialise(queries, "queries")  # each block reads its part; encode the texts once
     tracked = F.least(F.coalesce(F.greatest(F.col("top_n"), F.lit(0)), F.lit(0)), F.lit(MAX_TRACKED))
     total = queries.agg(F.sum(8 * dim + 40 * tracked + 64)).first()[0]
-    blocks = -(-int(total) // block_bytes)
+    blocks = -(-int(total or 0) // block_bytes)
     for i in range(blocks):
         block = _collect_block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), dim)
         if len(block.query_id):
@@ -307,8 +347,8 @@ def _by_block(
     next, so that one broadcast is held at a time.
     """
     spark = queries.sparkSession
-    blocks = query_blocks(valid_queries(queries, dim), dim, block_bytes)
-    block = next(blocks)
+    blocks = query_blocks(queries, dim, block_bytes)
+    block = next(blocks, None) or QueryBlock(np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros(0, np.int64), [])
     following = next(blocks, None)
     if following is None:
         return scan(block), _largest_limit(block)
@@ -358,11 +398,18 @@ def _partial_profile(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], It
             members_by_name.setdefault(name, []).append(i)
         for batch in batches:
             batch, x_all = _chunks_of(batch, dim)
+            if batch.num_rows == 0:
+                continue
+            copies = _copies(x_all)
             by_name = _rows_by_name(batch.column("collection_name")) if queries.filtered else {}
+            by_name[None] = np.arange(len(x_all))
             for name, members in members_by_name.items():
-                x = x_all if name is None else x_all[by_name.get(name, np.zeros(0, np.int64))]
-                if not len(x):
+                rows = by_name.get(name)
+                if rows is None:
                     continue
+                # copies are measured once and counted as often as they occur
+                first, times = np.unique(copies[rows], return_counts=True)
+                x = x_all[first]
                 x_norm = (x**2).sum(axis=1)
                 for start in range(0, len(members), QUERY_STEP):
                     step = np.array(members[start : start + QUERY_STEP])
@@ -373,9 +420,9 @@ def _partial_profile(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     near = np.nonzero(squared < 1e-3 * (q_norm[:, None] + x_norm[None, :]))
                     distance = np.sqrt(np.maximum(squared, 0.0))
                     distance[near], _ = _exact(q, x, *near, q_norm, x_norm)
-                    n[step] += len(x)
+                    n[step] += times.sum()
                     least[step] = np.minimum(least[step], distance.min(axis=1))
-                    total[step] += distance.sum(axis=1)
+                    total[step] += distance @ times
                     largest[step] = np.maximum(largest[step], distance.max(axis=1))
         seen = n > 0
         yield pa.RecordBatch.from_arrays(

@@ -48,10 +48,6 @@ def join_chunks_documents_collections(
     return chunks.join(named, "document_id")
 
 
-def _at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def candidates(
     chunks: DataFrame, documents: DataFrame, collections: DataFrame, dim: int, names: DataFrame | None = None
 ) -> Callable[[bool, bool], DataFrame]:
@@ -62,8 +58,8 @@ def candidates(
     of preference, the join with the documents is
 
     - a broadcast of the narrow document side, when it is counted to be small,
-    - a broadcast of the document ids that are missing, when those are few and
-      the chunks know their collection,
+    - a broadcast of the document ids that are missing, when those are few, the
+      chunks know their collection and the wanted collections are few,
     - a shuffle join, which AQE splits where one document has very many chunks.
     """
 
@@ -72,26 +68,33 @@ def candidates(
     # asked once, however many blocks of queries are scanned
     @cache
     def few_documents() -> bool:
-        return _at_most(known, BROADCAST_ROWS)
+        return known.count() <= BROADCAST_ROWS
+
+    @cache
+    def wanted_collections() -> tuple[DataFrame, bool]:
+        wanted = collections.select("collection_id", F.col("name").alias("collection_name"))
+        if names is not None:
+            wanted = wanted.join(names, F.col("collection_name") == F.col("wanted_name"), "left_semi")
+        few = wanted.count() <= BROADCAST_ROWS
+        return F.broadcast(wanted) if few else wanted, few
 
     @cache
     def missing_documents() -> DataFrame | None:
         missing = materialise(
             chunks.select("document_id").distinct().join(known, "document_id", "left_anti"), "missing-documents"
         )
-        return missing if _at_most(missing, BROADCAST_ROWS) else None
+        return missing if missing.count() <= BROADCAST_ROWS else None
 
     def build(filtered: bool, unfiltered: bool) -> DataFrame:
         # the kernel itself drops vectors with NULL elements
         usable = chunks.filter((F.size("embedding") == dim) & F.col("document_id").isNotNull())
-        wanted = collections.select("collection_id", F.col("name").alias("collection_name"))
-        if names is not None:
-            wanted = wanted.join(names, F.col("collection_name") == F.col("wanted_name"), "left_semi")
+        wanted, few = wanted_collections() if filtered else (None, True)
         how = "left" if unfiltered else "inner"
         if few_documents():
             found = known.join(wanted, "collection_id", how) if filtered else known
             return usable.drop("collection_id").join(F.broadcast(found), "document_id")
-        if (not filtered or "collection_id" in chunks.columns) and missing_documents() is not None:
+        placed = not filtered or ("collection_id" in chunks.columns and few)
+        if placed and missing_documents() is not None:
             present = usable.join(F.broadcast(missing_documents()), "document_id", "left_anti")
             return present.join(wanted, "collection_id", how) if filtered else present
         if not filtered:

@@ -181,3 +181,27 @@ def test_shape_without_broadcast(spark, monkeypatch):
     got = {(r.query_id, r.rk): (r.chunk_text, r.collection_selectionnee) for r in shaped.collect()}
     want = {k: (f"text {v[0]}", "a" if k[0] == 0 else "Aucune collection") for k, v in brute(data, rows).items()}
     assert got == want
+
+
+def test_copies_are_found_and_pruned_exactly():
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(50, 6)).astype(np.float32)
+    m[10:30] = m[3]
+    m[40] = 0.0
+    m[41] = -0.0
+    copies = knn_module._copies(m)
+    assert (copies[10:30] == 3).all() and copies[41] == 40 and len(np.unique(copies)) == 50 - 21
+    kept = knn_module._without_spare_copies(copies, np.arange(50)[::-1].copy(), 2)
+    assert set(range(50)) - set(kept) == {3, *range(10, 28)}
+
+
+def test_profile_counts_copies(spark):
+    data = sample(7, 120)
+    chunks, docs, cols = tables(spark, data)
+    rows = [(0, data[19], 1, None), (1, data[20], 1, "a"), (2, data[21], 1, "missing")]
+    profile = knn_module.distance_profile(requests(spark, rows), search.candidates(chunks, docs, cols, DIM), DIM)
+    got = {r.query_id: (r.n_candidates, round(r.min_distance, 6), round(r.mean_distance, 6), round(r.max_distance, 6)) for r in profile.collect()}
+    for qid in (0, 1):
+        d = [v[1] for v in brute(data, [(qid, rows[qid][1], None, rows[qid][3])]).values()]
+        assert got[qid][0] == len(d) and got[qid][1:] == pytest.approx((min(d), sum(d) / len(d), max(d)), abs=2e-6)
+    assert 2 not in got
