@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from passagelake.operators.access import ENDPOINTS, SEED_ROLES, endpoint_permission_map
 from passagelake.schema import GRANTS
@@ -146,6 +147,9 @@ VIEWS: dict[str, str] = {
 _REFERENCE = re.compile(r"\{(" + "|".join([*BASE_TABLES, *VIEWS]) + r")\}")
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 class Bindings:
     """Base tables and views of one data directory as DataFrames."""
 
@@ -169,9 +173,16 @@ class Bindings:
         cores = self.spark.sparkContext.defaultParallelism
         return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
 
+    def _base(self, path: str) -> DataFrame:
+        """A base table; its schema is taken from the file once per application."""
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _schemas:
+            _schemas[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[key]).parquet(path)
+
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._base(f"{self.sf_dir}/{name}.parquet")
         if name == "v_endpoints":
             return endpoint_permission_map(self.spark)
         text = VIEWS[name].replace("<ts>", "TIMESTAMP_NTZ")

@@ -68,10 +68,6 @@ class QueryBlock:
     def filtered(self) -> bool:
         return any(f is not None for f in self.filters)
 
-    @property
-    def unfiltered(self) -> bool:
-        return any(f is None for f in self.filters)
-
 
 def valid_queries(queries: DataFrame, dim: int) -> DataFrame:
     """Queries in kernel form: ``(query_id, embedding, top_n, filtre)``.
@@ -287,8 +283,10 @@ def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def _scan(block: QueryBlock, candidates: Callable[[bool, bool], DataFrame], dim: int) -> DataFrame:
-    rows = candidates(block.filtered, block.unfiltered)
+def _scan(block: QueryBlock, candidates: Callable[[set[str | None]], DataFrame], dim: int) -> DataFrame:
+    rows = candidates(set(block.filters))
+    if not len(block.query_id):
+        rows = rows.filter(F.lit(False))  # nothing asked, nothing read
     broadcast = rows.sparkSession.sparkContext.broadcast(block)
     columns = ["chunk_id", "document_id", "embedding"] + (["collection_name"] if block.filtered else [])
     return rows.select(
@@ -318,14 +316,14 @@ def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[Que
 
 def knn(
     queries: DataFrame,
-    candidates: Callable[[bool, bool], DataFrame],
+    candidates: Callable[[set[str | None]], DataFrame],
     dim: int,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Best ``top_n`` chunks per query: ``query_id, chunk_id, document_id, distance, cos, rk``.
 
-    ``candidates(filtered, unfiltered)`` gives the chunks to compare, with a
-    ``collection_name`` when some query filters on one.
+    ``candidates(filters)`` gives the chunks to compare for a block of queries,
+    with a ``collection_name`` when some query filters on one.
     """
     parts, most = _by_block(
         queries, dim, block_bytes, PARTIAL_SCHEMA, lambda block: _scan(block, candidates, dim)
@@ -366,7 +364,7 @@ def _largest_limit(block: QueryBlock) -> int | None:
     return None if (block.top_n < 0).any() else int(block.top_n.max(initial=0))
 
 
-def distance_profile(queries: DataFrame, candidates: Callable[[bool, bool], DataFrame], dim: int) -> DataFrame:
+def distance_profile(queries: DataFrame, candidates: Callable[[set[str | None]], DataFrame], dim: int) -> DataFrame:
     """Candidates of each query and the least, mean and largest distance to them.
 
     The whole query-by-chunk comparison as an aggregate: tasks emit one partial
@@ -374,7 +372,7 @@ def distance_profile(queries: DataFrame, candidates: Callable[[bool, bool], Data
     """
 
     def scan(block: QueryBlock) -> DataFrame:
-        rows = candidates(block.filtered, block.unfiltered)
+        rows = candidates(set(block.filters))
         shared = rows.sparkSession.sparkContext.broadcast(block)
         columns = ["embedding"] + (["collection_name"] if block.filtered else [])
         return rows.select(*columns).mapInArrow(_partial_profile(shared, dim), PROFILE_SCHEMA)

@@ -23,6 +23,8 @@ NO_COLLECTION = "Aucune collection"
 
 # Rows of a narrow table that may be broadcast, after counting them.
 BROADCAST_ROWS = 500_000
+# Names that are compared in a filter, which reaches the file scan, and not in a join.
+LISTED_NAMES = 1_000
 
 
 def null_embedding_filter(chunks: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -49,13 +51,14 @@ def join_chunks_documents_collections(
 
 
 def candidates(
-    chunks: DataFrame, documents: DataFrame, collections: DataFrame, dim: int, names: DataFrame | None = None
-) -> Callable[[bool, bool], DataFrame]:
+    chunks: DataFrame, documents: DataFrame, collections: DataFrame, dim: int
+) -> Callable[[set[str | None]], DataFrame]:
     """Chunks to compare, joined only as far as the requests need and without moving vectors if possible.
 
-    Without a filtered request the collections are not read; with only filtered
-    ones, just the chunks of the wanted collections (``names``) remain. In order
-    of preference, the join with the documents is
+    The result takes the filters of a block of requests, None standing for no
+    filter. Without a filtered request the collections are not read; with only
+    filtered ones, just the chunks of the wanted collections remain. In order of
+    preference, the join with the documents is
 
     - a broadcast of the narrow document side, when it is counted to be small,
     - a broadcast of the document ids that are missing, when those are few, the
@@ -71,11 +74,18 @@ def candidates(
         return known.count() <= BROADCAST_ROWS
 
     @cache
-    def wanted_collections() -> tuple[DataFrame, bool]:
+    def few_collections() -> bool:
+        return collections.count() <= BROADCAST_ROWS
+
+    def named_collections(names: list[str]) -> tuple[DataFrame, bool]:
+        """Collections of these names, and whether they are few enough to broadcast."""
         wanted = collections.select("collection_id", F.col("name").alias("collection_name"))
-        if names is not None:
-            wanted = wanted.join(names, F.col("collection_name") == F.col("wanted_name"), "left_semi")
-        few = wanted.count() <= BROADCAST_ROWS
+        if len(names) <= LISTED_NAMES:
+            wanted = wanted.filter(F.col("collection_name").isin(names))
+        else:
+            listed = collections.sparkSession.createDataFrame([(name,) for name in names], "collection_name string")
+            wanted = wanted.join(listed, "collection_name", "left_semi").select("collection_id", "collection_name")
+        few = few_collections() or wanted.count() <= BROADCAST_ROWS
         return F.broadcast(wanted) if few else wanted, few
 
     @cache
@@ -85,10 +95,12 @@ def candidates(
         )
         return missing if missing.count() <= BROADCAST_ROWS else None
 
-    def build(filtered: bool, unfiltered: bool) -> DataFrame:
+    def build(filters: set[str | None]) -> DataFrame:
+        names = sorted(name for name in filters if name is not None)
+        filtered, unfiltered = bool(names), None in filters
         # the kernel itself drops vectors with NULL elements
         usable = chunks.filter((F.size("embedding") == dim) & F.col("document_id").isNotNull())
-        wanted, few = wanted_collections() if filtered else (None, True)
+        wanted, few = named_collections(names) if filtered else (None, True)
         how = "left" if unfiltered else "inner"
         if few_documents():
             found = known.join(wanted, "collection_id", how) if filtered else known
@@ -118,10 +130,7 @@ def topk_search_batch(
     collections of several owners are all searched. A query without hits gives
     no rows.
     """
-    names = queries.select(optional_filter(F.col("filtre")).alias("wanted_name")).filter(
-        F.col("wanted_name").isNotNull()
-    )
-    return knn(queries, candidates(chunks, documents, collections, dim, names.distinct()), dim, **budget)
+    return knn(queries, candidates(chunks, documents, collections, dim), dim, **budget)
 
 
 def search(

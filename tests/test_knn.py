@@ -205,3 +205,10 @@ def test_profile_counts_copies(spark):
         d = [v[1] for v in brute(data, [(qid, rows[qid][1], None, rows[qid][3])]).values()]
         assert got[qid][0] == len(d) and got[qid][1:] == pytest.approx((min(d), sum(d) / len(d), max(d)), abs=2e-6)
     assert 2 not in got
+
+
+def test_many_names_are_joined(spark, monkeypatch):
+    data = sample(8, 90)
+    rows = [(0, data[20], 3, "a"), (1, data[21], 2, "b"), (2, data[22], 2, None)]
+    monkeypatch.setattr(search, "LISTED_NAMES", 1)
+    assert found(search.topk_search_batch(requests(spark, rows), *tables(spark, data), DIM)) == brute(data, rows)
