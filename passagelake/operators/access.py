@@ -124,11 +124,9 @@ def _with_outcome(
         .when(_grant_of(F.col("required_grant")), "allowed")
         .otherwise("denied")
     )
-    asked = rows.join(F.broadcast(endpoints), "endpoint_id", "left")  # a fixed seventeen rows
     known = known.withColumn("_known", F.lit(True))
-    joined = (
-        spread_join(asked, known, ["username"], spread_by) if spread_by else asked.join(known, "username", "left")
-    )
+    judged = spread_join(rows, known, ["username"], spread_by) if spread_by else rows.join(known, "username", "left")
+    joined = judged.join(F.broadcast(endpoints), "endpoint_id", "left")  # a fixed seventeen rows
     return (
         joined.withColumn("outcome", outcome)
         .withColumn("role_id", F.when(~is_super, F.col("role_id")))
