@@ -51,3 +51,20 @@ def test_row_wise_operators_do_not_shuffle(spark, name):
 def test_audit_counts_before_joining(spark):
     text = plan(spark, "access_audit")
     assert "partial_count(1)" in text and text.index("Join") < text.index("partial_count(1)")
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from passagelake.session import scratch_path
+    from passagelake.sources.sinks import save_bucketed
+
+    chunks = spark.range(100).selectExpr("id AS chunk_id", "id % 10 AS document_id")
+    documents = spark.range(10).selectExpr("id AS document_id", "1 AS collection_id")
+    try:
+        save_bucketed(chunks, "bucketed_chunks", "document_id", 4, scratch_path(spark, "b"))
+        save_bucketed(documents, "bucketed_documents", "document_id", 4, scratch_path(spark, "b"))
+        joined = spark.table("bucketed_chunks").hint("merge").join(spark.table("bucketed_documents"), "document_id")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text and joined.count() == 100
+    finally:
+        spark.sql("DROP TABLE IF EXISTS bucketed_chunks")
+        spark.sql("DROP TABLE IF EXISTS bucketed_documents")
