@@ -31,3 +31,27 @@ def words(text: Column) -> Column:
 def tail(values: Column, first: int = 2) -> Column:
     """The elements from the ``first`` one (counted from 1) on."""
     return F.slice(values, first, F.greatest(F.size(values) - (first - 1), F.lit(0)))
+
+
+def prefix_sums(values: Column, block: int = 512) -> Column:
+    """Sum of the elements before each element of an integer array.
+
+    Works in blocks, so that a long array is not copied once for each element.
+    """
+
+    def running(part: Column, start: Column) -> Column:
+        begin = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(part, begin, step, lambda a: a["out"])
+
+    def blocks(v: Column) -> Column:
+        count = F.ceil(F.size(v) / block).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda k: F.slice(v, (k - 1) * block + 1, F.lit(block)))).otherwise(
+            F.array().cast("array<array<bigint>>")
+        )
+
+    def joined(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+        return F.flatten(F.zip_with(parts, running(sums, F.lit(0)), running))
+
+    return let(let(values.cast("array<bigint>"), blocks), joined)
