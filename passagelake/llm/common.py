@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
@@ -55,3 +60,30 @@ def prefix_sums(values: Column, block: int = 512) -> Column:
         return F.flatten(F.zip_with(parts, running(sums, F.lit(0)), running))
 
     return let(let(values.cast("array<bigint>"), blocks), joined)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that a piece holds about ``most`` bytes of a text column, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes) // most
+        ends = [*(np.flatnonzero(np.diff(group)) + 1), batch.num_rows] if batch.num_rows else []
+        start = 0
+        for end in map(int, ends):
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def arrow_map(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work`` maps each piece of a partition (about 4 MB of ``text``) to the columns of ``schema``."""
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            columns = work(piece)
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(c, target.field(n).type) for n, c in zip(names, columns, strict=True)], names
+            )
+
+    return df.mapInArrow(run, schema)
