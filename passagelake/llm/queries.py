@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passagelake.llm import bpe, pii, quality, token_files
+from passagelake.llm import bpe, html_text, pii, quality, token_files
 from passagelake.llm.common import table
 from passagelake.session import ship_package
 
@@ -32,6 +32,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     def shipped(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
