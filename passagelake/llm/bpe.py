@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagelake.llm.common import arrow_map
+from passagelake.llm.common import arrow_map, map_batches
 
 #: Entries of a table of pieces or words; a full table is emptied.
 TABLE_SIZE = 400_000
@@ -224,7 +224,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [codec.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

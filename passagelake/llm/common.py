@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from passagelake.session import materialise, ship_package
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -86,4 +88,32 @@ def arrow_map(df: DataFrame, work: Callable, schema: str) -> DataFrame:
                 [c if isinstance(c, pa.Array) else pa.array(c, target.field(n).type) for n, c in zip(names, columns, strict=True)], names
             )
 
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package given to the workers."""
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def global_rank(df: DataFrame, label: str, *order: Column | str) -> DataFrame:
+    """Adds ``_rank`` (from 0) in a total order without gathering the rows in one task.
+
+    The rows are range-partitioned and stored with their partition; the driver reads one count for each
+    partition to find where it begins. Rows that are equal in ``order`` get any of their ranks.
+    """
+    stored = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
+    counts = {r["_part"]: r["count"] for r in stored.groupBy("_part").count().collect()}
+    starts, total = {}, 0
+    for part in sorted(counts):
+        starts[part] = total
+        total += counts[part]
+    if not starts:
+        return stored.drop("_part").withColumn("_rank", F.lit(0).cast("long"))
+    start = F.create_map(*[F.lit(x) for part, at in starts.items() for x in (part, at)])[F.col("_part")] if len(starts) <= 64 else None
+    if start is None:
+        firsts = df.sparkSession.createDataFrame(list(starts.items()), "_part int, _start long")
+        stored, start = stored.join(F.broadcast(firsts), "_part"), F.col("_start")  # one row for each partition
+    within = Window.partitionBy("_part").orderBy(*order)
+    return stored.withColumn("_rank", (F.row_number().over(within) - 1 + start).cast("long")).drop("_part", "_start")

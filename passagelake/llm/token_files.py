@@ -30,7 +30,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagelake.llm.common import slices
+from passagelake.llm.common import map_batches, slices
 from passagelake.session import scratch_path
 
 #: Entries of a worker's table of frequent pieces; a full table is emptied.
@@ -158,7 +158,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["part", "n_docs", "n_null", "n_tokens", "width"])
 
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    map_batches(ordered, run, MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     table = spark.createDataFrame(parts, "part int, base long, n_null long, width int")
-    return table.repartition(max(1, len(parts)), "part").mapInArrow(run, READ)
+    return map_batches(table.repartition(max(1, len(parts)), "part"), run, READ)
 
 
 def write_and_read(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
