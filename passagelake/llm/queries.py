@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passagelake.llm import bpe, fingerprints, html_text, mixing, pii, quality, token_files
+from passagelake.llm import bpe, fingerprints, html_text, language, mixing, pii, quality, token_files
 from passagelake.llm.common import table
 from passagelake.session import ship_package
 
@@ -22,6 +22,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
