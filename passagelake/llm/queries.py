@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passagelake.llm import bpe, fingerprints, html_text, language, mixing, pii, quality, token_files
+from passagelake.llm import bpe, fingerprints, html_text, language, mixing, near_dup, pii, quality, token_files
 from passagelake.llm.common import table
 from passagelake.session import ship_package
 
@@ -18,6 +18,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
