@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passagelake.llm import bpe, fingerprints, html_text, language, mixing, near_dup, pii, quality, token_files
+from passagelake.llm import bpe, fingerprints, html_text, language, mixing, near_dup, pii, quality, suffix_dedup, token_files
 from passagelake.llm.common import table
 from passagelake.session import ship_package
 
@@ -48,6 +48,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
