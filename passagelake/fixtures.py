@@ -91,7 +91,7 @@ VIEWS: dict[str, str] = {
                WHEN vec_id % 10 = 0 THEN slice(embedding, 1, 63) ELSE embedding END AS embedding
         FROM {embeddings}""",
     "v_queries": """
-        SELECT vec_id AS query_id, CAST(1 + vec_id % 5 AS INT) AS top_n,
+        SELECT vec_id AS query_id, CAST(1 + vec_id % 12 AS INT) AS top_n,
                CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'string'
                                ELSE concat('src', CAST(vec_id % 23 AS STRING)) END AS filtre, embedding
         FROM {embeddings}""",
@@ -127,7 +127,7 @@ VIEWS: dict[str, str] = {
         FROM {orders}""",
     "v_collection_changes": """
         SELECT CAST(o_custkey + 1 AS INT) AS collection_id, o_orderkey AS seq,
-               CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Updated Collection'
+               CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Second Shelf'
                     WHEN 2 THEN concat('Renamed_', o_orderpriority)
                     ELSE concat('src', CAST(o_custkey AS STRING)) END AS name,
                CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('order ', CAST(o_orderkey AS STRING)) END AS description

@@ -3,7 +3,7 @@
 Every function takes current tables and a change table and returns new tables.
 Change tables carry ``seq``, the order in which single requests would arrive;
 several changes to one row are folded before the join, so each row meets at
-most one. Write results with ``sources.sinks.TableVersions``.
+most one.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from passagelake.functions.text import bucket_name, keep_if_falsy, slug_create,
 from passagelake.operators.guards import guard_duplicate_collection, guard_duplicate_username
 from passagelake.operators.ids import assign_ids
 from passagelake.operators.projections import first_row
+from passagelake.operators.search import BROADCAST_ROWS
 from passagelake.operators.skew import spread_join
+from passagelake.session import materialise
 
 # Bucket states.
 BUCKET_CREATED = "créé"
 BUCKET_EXISTS = "existant"
 BUCKET_FAILED = "non-créé: "
+BUCKET_NOT_UPDATED = "non-mis à jour: "
 BUCKET_UPDATED = "mis à jour"
 
 
@@ -114,11 +117,14 @@ def create_collections(
     return collections.unionByName(stamped.select(*[F.col(f.name).cast(f.dataType) for f in collections.schema]))
 
 
-def update_collections(collections: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+def update_collections(
+    collections: DataFrame, changes: DataFrame, now: Column, failures: DataFrame | None = None
+) -> DataFrame:
     """Collection table with changes applied; '' keeps the old value, names are stored as given.
 
     The modification time is set on every touched collection, the bucket state
-    on renamed ones.
+    on renamed ones. ``failures`` gives ``collection_id, error`` of buckets that
+    could not be moved; their state says so.
     """
     given = F.nullif(F.col("name"), F.lit(""))
     folded = changes.groupBy("collection_id").agg(
@@ -130,9 +136,12 @@ def update_collections(collections: DataFrame, changes: DataFrame, now: Column)
     )
     # some given name differs from the current one, even if a later one restores it
     renamed = (F.col("_least_name") != F.col("name")) | (F.col("_largest_name") != F.col("name"))
+    touched, state = collections.join(folded, "collection_id", "left"), F.lit(BUCKET_UPDATED)
+    if failures is not None:
+        touched = touched.join(failures.select("collection_id", F.col("error").alias("_error")), "collection_id", "left")
+        state = F.when(F.col("_error").isNotNull(), F.concat(F.lit(BUCKET_NOT_UPDATED), "_error")).otherwise(state)
     return (
-        collections.join(folded, "collection_id", "left")
-        .withColumn("etat_bucket", F.when(renamed, BUCKET_UPDATED).otherwise(F.col("etat_bucket")))
+        touched.withColumn("etat_bucket", F.when(renamed, state).otherwise(F.col("etat_bucket")))
         .withColumn("name", keep_if_falsy(F.col("_name"), F.col("name"), ""))
         .withColumn("description", keep_if_falsy(F.col("_description"), F.col("description"), ""))
         .withColumn(
@@ -143,23 +152,24 @@ def update_collections(collections: DataFrame, changes: DataFrame, now: Column)
     )
 
 
-def rekey_objects(objects: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Objects to move after a rename: ``old_bucket, new_bucket, object_name, size_bytes``.
-
-    Only where the key really changes; a rename to an equal key moves nothing.
-    """
+def renamed_buckets(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``bucket, new_bucket`` of the collections whose key really changes; equal keys move nothing."""
     key = lambda table, alias: table.select(
         "collection_id", bucket_name(F.col("collection_id"), slug_update(F.col("name"))).alias(alias)
     )
     moved = key(before, "bucket").join(key(after, "new_bucket"), "collection_id").filter("bucket <> new_bucket")
-    return objects.join(moved, "bucket").select(
+    return moved.select("bucket", "new_bucket")
+
+
+def rekey_objects(objects: DataFrame, renamed: DataFrame) -> DataFrame:
+    """Objects to move after renames: ``old_bucket, new_bucket, object_name, size_bytes``."""
+    return objects.join(renamed, "bucket").select(
         F.col("bucket").alias("old_bucket"), "new_bucket", "object_name", "size_bytes"
     )
 
 
-def apply_rekey(objects: DataFrame, moves: DataFrame) -> DataFrame:
+def apply_rekey(objects: DataFrame, renamed: DataFrame) -> DataFrame:
     """Object manifest after the moves."""
-    renamed = moves.select(F.col("old_bucket").alias("bucket"), "new_bucket").distinct()
     return (
         objects.join(renamed, "bucket", "left")
         .withColumn("bucket", F.coalesce("new_bucket", "bucket"))
@@ -178,6 +188,14 @@ def bucket_key_drift(collections: DataFrame) -> DataFrame:
     ).filter("create_key <> update_key OR create_key <> lookup_key")
 
 
+def _without(chunks: DataFrame, doomed: DataFrame) -> DataFrame:
+    """Chunks of other documents. While the doomed ids are counted few, no chunk is moved."""
+    doomed = materialise(doomed.distinct(), "doomed")
+    if doomed.count() <= BROADCAST_ROWS:
+        return chunks.join(F.broadcast(doomed), "document_id", "left_anti")
+    return spread_join(chunks, doomed, ["document_id"], "chunk_id", "left_anti")
+
+
 def delete_collections_cascade(
     ids: DataFrame, collections: DataFrame, documents: DataFrame, chunks: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -187,7 +205,7 @@ def delete_collections_cascade(
     return (
         collections.join(wanted, "collection_id", "left_anti"),
         documents.join(wanted, "collection_id", "left_anti"),
-        chunks.join(doomed, "document_id", "left_anti"),
+        _without(chunks, doomed),
     )
 
 
@@ -208,5 +226,4 @@ def delete_documents_cascade(
         bucket_name(F.col("collection_id"), slug_lookup(F.col("name"))).alias("bucket"),
         F.col("title_document").alias("object_name"),
     )
-    remaining = spread_join(chunks, gone, ["document_id"], "chunk_id", "left_anti")
-    return documents.join(gone, "document_id", "left_anti"), remaining, removed
+    return documents.join(gone, "document_id", "left_anti"), _without(chunks, gone), removed

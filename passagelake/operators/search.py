@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagelake.functions.text import optional_filter
 from passagelake.functions.vectors import cosine_similarity, dim_ok
 from passagelake.operators.knn import knn
 from passagelake.operators.skew import spread_join
-from passagelake.schema import VECTOR_DIM
+from passagelake.schema import COLLECTION_BUCKET, VECTOR_DIM, collection_bucket
 from passagelake.session import materialise
 
 # Hits per request by default, and the collection shown for an
@@ -27,6 +27,14 @@ BROADCAST_ROWS = 500_000
 LISTED_NAMES = 1_000
 
 
+def in_collections(chunks: DataFrame, collection_ids: list[int]) -> Column:
+    """Chunks of these collections; on a table laid out in buckets a filter on the bucket folders too."""
+    wanted = F.col("collection_id").isin(collection_ids)
+    if COLLECTION_BUCKET in chunks.columns:
+        wanted &= F.col(COLLECTION_BUCKET).isin(sorted({collection_bucket(i) for i in collection_ids}))
+    return wanted
+
+
 def null_embedding_filter(chunks: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Chunks that can be compared: a vector of ``dim`` numbers, none of them NULL."""
     return chunks.filter(dim_ok(F.col(vector), dim))
@@ -51,22 +59,28 @@ def join_chunks_documents_collections(
 
 
 def candidates(
-    chunks: DataFrame, documents: DataFrame, collections: DataFrame, dim: int
+    chunks: DataFrame, documents: DataFrame, collections: DataFrame, dim: int, placed: bool = False
 ) -> Callable[[set[str | None]], DataFrame]:
     """Chunks to compare, joined only as far as the requests need and without moving vectors if possible.
 
     The result takes the filters of a block of requests, None standing for no
     filter. Without a filtered request the collections are not read; with only
-    filtered ones, just the chunks of the wanted collections remain. In order of
-    preference, the join with the documents is
+    filtered ones, just the chunks of the wanted collections remain.
+
+    Whatever the size of the catalog, the document decides to which collection
+    its chunks belong, and a document counts once, with its smallest collection
+    id. In order of preference, the join with the documents is
 
     - a broadcast of the narrow document side, when it is counted to be small,
-    - a broadcast of the document ids that are missing, when those are few, the
-      chunks know their collection and the wanted collections are few,
+    - without filters a broadcast of the missing document ids, when those are few,
     - a shuffle join, which AQE splits where one document has very many chunks.
+
+    ``placed`` says that the chunks carry the collection of their document, as
+    tables of ``sinks.sink_documents_chunks`` do; the wanted collections, if they
+    are few, then also reach the scan of the chunks, which skips other files.
     """
 
-    known = documents.select("document_id", "collection_id")
+    known = documents.groupBy("document_id").agg(F.min("collection_id").alias("collection_id"))
 
     # asked once, however many blocks of queries are scanned
     @cache
@@ -77,8 +91,8 @@ def candidates(
     def few_collections() -> bool:
         return collections.count() <= BROADCAST_ROWS
 
-    def named_collections(names: list[str]) -> tuple[DataFrame, bool]:
-        """Collections of these names, and whether they are few enough to broadcast."""
+    def named_collections(names: list[str]) -> DataFrame:
+        """Collections of these names."""
         wanted = collections.select("collection_id", F.col("name").alias("collection_name"))
         if len(names) <= LISTED_NAMES:
             wanted = wanted.filter(F.col("collection_name").isin(names))
@@ -86,7 +100,7 @@ def candidates(
             listed = collections.sparkSession.createDataFrame([(name,) for name in names], "collection_name string")
             wanted = wanted.join(listed, "collection_name", "left_semi").select("collection_id", "collection_name")
         few = few_collections() or wanted.count() <= BROADCAST_ROWS
-        return F.broadcast(wanted) if few else wanted, few
+        return F.broadcast(wanted) if few else wanted
 
     @cache
     def missing_documents() -> DataFrame | None:
@@ -100,17 +114,19 @@ def candidates(
         filtered, unfiltered = bool(names), None in filters
         # the kernel itself drops vectors with NULL elements
         usable = chunks.filter((F.size("embedding") == dim) & F.col("document_id").isNotNull())
-        wanted, few = named_collections(names) if filtered else (None, True)
+        wanted = named_collections(names) if filtered else None
         how = "left" if unfiltered else "inner"
+        if placed and filtered and not unfiltered:
+            listed = [r.collection_id for r in wanted.select("collection_id").distinct().limit(LISTED_NAMES + 1).collect()]
+            if len(listed) <= LISTED_NAMES:
+                usable = usable.filter(in_collections(chunks, listed))
         if few_documents():
             found = known.join(wanted, "collection_id", how) if filtered else known
             return usable.drop("collection_id").join(F.broadcast(found), "document_id")
-        placed = not filtered or ("collection_id" in chunks.columns and few)
-        if placed and missing_documents() is not None:
-            present = usable.join(F.broadcast(missing_documents()), "document_id", "left_anti")
-            return present.join(wanted, "collection_id", how) if filtered else present
         if not filtered:
-            return join_chunks_documents(usable.drop("collection_id"), documents)
+            if missing_documents() is not None:
+                return usable.join(F.broadcast(missing_documents()), "document_id", "left_anti")
+            return join_chunks_documents(usable.drop("collection_id"), known)
         return usable.drop("collection_id").join(known.join(wanted, "collection_id", how), "document_id")
 
     return build
@@ -192,10 +208,11 @@ def mean_cos_similarity(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.avg("cos").alias("mean_cos_similarity"))
 
 
-def cos_similarity_top_i(hits: DataFrame, n: int = DEFAULT_TOP_N) -> DataFrame:
-    """One column per rank, ``cos_similarity_top_1`` to ``cos_similarity_top_n``."""
+def cos_similarity_top_i(hits: DataFrame, n: int) -> DataFrame:
+    """One column per rank, ``cos_similarity_top_1`` to ``cos_similarity_top_n``; fails on a higher rank."""
     ranks = list(range(1, n + 1))
-    wide = hits.groupBy("query_id").pivot("rk", ranks).agg(F.first("cos"))
+    too_high = F.raise_error(F.concat(F.lit(f"rank above {n}: "), F.col("rk").cast("string")))
+    wide = hits.withColumn("rk", F.when(F.col("rk") <= n, F.col("rk")).otherwise(too_high.cast("int"))).groupBy("query_id").pivot("rk", ranks).agg(F.first("cos"))
     return wide.select("query_id", *[F.col(str(i)).alias(f"cos_similarity_top_{i}") for i in ranks])
 
 

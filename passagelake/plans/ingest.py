@@ -72,8 +72,8 @@ def ingest(
     ``files``: ``upload_id, arrival, collection_id, collection_name, title,
     filename, size_bytes, content``. ``stored`` is the current document table.
     The guards see names and sizes only. Contents are read for files that pass
-    the extension and size gates, and meet the accepted ids in one join; as
-    those ids are unique it also spreads the files evenly for what follows. The
+    the extension and size gates, and meet the accepted ids in one join that
+    builds on the ids and sorts no contents; as those ids are unique it also spreads the files evenly for what follows. The
     extracted texts are written to the shared folder once, so the results do
     not extract them again.
     """
@@ -85,7 +85,7 @@ def ingest(
     )
     readable = named.filter(extension_allowed(F.col("title_document")) & size_allowed(F.col("size_bytes")))
     texts = materialise(
-        extract_text(readable.join(accepted, "upload_id", "left_semi"), pdf_decoder).drop("content"), "extracted"
+        extract_text(readable.join(accepted.hint("shuffle_hash"), "upload_id", "left_semi"), pdf_decoder).drop("content"), "extracted"
     )
     unreadable = texts.filter(F.col("error").isNotNull()).select(
         "upload_id", "title_document", F.col("error").alias("reason")

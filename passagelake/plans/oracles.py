@@ -48,6 +48,7 @@ _HITS = _REQUEST + """,
 _METRICS = _HITS + """,
     logged AS (
         SELECT query_id, 'param' AS kind, 'model_name' AS key, 'hashing-encoder' AS value FROM req
+        UNION ALL SELECT query_id, 'param', 'model_version', '1' FROM req
         UNION ALL SELECT query_id, 'param', 'source', 'batch search' FROM req
         UNION ALL SELECT query_id, 'param', 'collection_choisie', CASE WHEN f IS NULL THEN 'False' ELSE 'True' END FROM req
         UNION ALL SELECT query_id, 'param', 'collection_name', f FROM req WHERE f IS NOT NULL
@@ -248,7 +249,7 @@ _RAW: dict[str, str] = {
         string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rk) AS chunk_ids FROM hits GROUP BY query_id""",
     "mean_cos_similarity": f"WITH {_HITS} SELECT query_id, round(avg(c), 6) AS mean_cos_similarity FROM hits GROUP BY query_id",
     "cos_similarity_top_i": f"WITH {_HITS} SELECT query_id, " + ", ".join(
-        f"round(max(CASE WHEN rk = {i} THEN c END), 6) AS cos_similarity_top_{i}" for i in range(1, 6)
+        f"round(max(CASE WHEN rk = {i} THEN c END), 6) AS cos_similarity_top_{i}" for i in range(1, 13)
     ) + " FROM hits GROUP BY query_id",
     "search_metrics_long": f"WITH {_METRICS} SELECT query_id, kind, key, value FROM logged",
     "count_chunks_per_document": f"""SELECT doc_id, CAST(ceil(len({_words("text")}) / 400.0) AS INT) AS num_of_chunks
@@ -426,14 +427,15 @@ _RAW["sink_documents_chunks"] = f"""WITH {_NORMALISED}, {_dup},
 _RAW["search_texts"] = f"""
     WITH {_CHUNKS}, {_slots('cut', 'document_id, chunk_index', 'w').replace("hashed", "chunk_hashed").replace("slots", "chunk_slots")},
     {_slots('{benchmark}', 'item_id', _words('text')).replace("hashed", "query_hashed").replace("slots", "query_slots")},
+    numbered AS ({_ids("cut", "document_id || '|' || chunk_index", "document_id, chunk_index", "chunk_id", "0", "document_id, chunk_index")}),
     cn AS (SELECT document_id, chunk_index, sum(weight * weight) AS sq FROM chunk_slots GROUP BY ALL),
     qn AS (SELECT item_id, sum(weight * weight) AS sq FROM query_slots GROUP BY ALL),
     dots AS (SELECT q.item_id, c.document_id, c.chunk_index, sum(q.weight * c.weight) AS dot
              FROM query_slots q JOIN chunk_slots c ON c.slot = q.slot GROUP BY ALL),
-    pairs AS (SELECT b.item_id AS query_id, c.document_id, c.document_id * 1000 + c.chunk_index AS chunk_id,
+    pairs AS (SELECT b.item_id AS query_id, c.document_id, i.chunk_id,
                      sqrt(coalesce(qn.sq, 0) + coalesce(cn.sq, 0) - 2 * coalesce(dot, 0)) AS d,
                      coalesce(dot / (sqrt(qn.sq) * sqrt(cn.sq)), 0) AS c
-              FROM {{benchmark}} b CROSS JOIN cut c LEFT JOIN qn ON qn.item_id = b.item_id
+              FROM {{benchmark}} b CROSS JOIN cut c JOIN numbered i USING (document_id, chunk_index) LEFT JOIN qn ON qn.item_id = b.item_id
               LEFT JOIN cn ON cn.document_id = c.document_id AND cn.chunk_index = c.chunk_index
               LEFT JOIN dots x ON x.item_id = b.item_id AND x.document_id = c.document_id AND x.chunk_index = c.chunk_index)
     SELECT query_id, chunk_id, document_id, round(d, 6) AS distance, round(c, 6) AS cos,

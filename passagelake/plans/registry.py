@@ -35,7 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NOW = "TIMESTAMP_NTZ '2025-01-01 08:00:00'"
 SESSION_TIME = "TIMESTAMP_NTZ '2024-01-15 12:00:00'"
 SIZE_BOUNDS = [1e4, 1e5, 5e5, 1_048_576.0, 2e6, 5e6]
-RUN_PARAMS = {"model_name": "hashing-encoder", "source": "batch search"}
+RUN_PARAMS = {"model_name": "hashing-encoder", "model_version": "1", "source": "batch search"}
 
 _QUERIES: dict[str, Query] = {}
 
@@ -146,7 +146,7 @@ def sink_documents_chunks(t: Bindings) -> DataFrame:
     """Full ingest written to both tables and read back: stored count, actual rows, characters."""
     root = scratch_path(t.spark, "ingested")
     result = _ingested(t)
-    sinks.sink_documents_chunks(result.documents, result.chunks, root, batch_id=0)
+    sinks.sink_documents_chunks(result.documents, result.chunks, root, "bulk", batch_id=0)
     chunks = t.spark.read.parquet(f"{root}/chunks").groupBy("document_id").agg(
         F.count("*").alias("n_chunks"), F.sum("taille_chunk").alias("n_chars")
     )
@@ -410,7 +410,8 @@ def mean_cos_similarity(t: Bindings) -> DataFrame:
 
 @query
 def cos_similarity_top_i(t: Bindings) -> DataFrame:
-    wide = search.cos_similarity_top_i(_hits(t))
+    most = t["v_queries"].agg(F.max("top_n")).first()[0]
+    wide = search.cos_similarity_top_i(_hits(t), most or 0)
     return _rounded(wide, *[c for c in wide.columns if c != "query_id"])
 
 
@@ -578,9 +579,8 @@ def text_measures():
 def search_texts(t: Bindings) -> DataFrame:
     """Text search end to end: cut and embed all documents, embed all questions, nearest five chunks each."""
     encoder = HashingEncoder(DIM)
-    chunks = ingest.embed_chunks(_cut(t), encoder).withColumn(
-        "chunk_id", F.col("document_id") * F.lit(1000) + F.col("chunk_index")
-    )
+    numbered = ids.assign_ids(_cut(t), ["document_id", "chunk_index"], "chunk_id")
+    chunks = ingest.embed_chunks(numbered, encoder)
     asked = ingest.embed_queries(t["benchmark"], encoder, "text").select(
         F.col("item_id").alias("query_id"), "embedding", F.lit(search.DEFAULT_TOP_N).alias("top_n"),
         F.lit(None).cast("string").alias("filtre"),
@@ -740,19 +740,19 @@ def update_collections(t: Bindings) -> DataFrame:
     return catalog.update_collections(t["v_collections"], t["v_collection_changes"], _now())
 
 
-def _moves(t: Bindings) -> DataFrame:
+def _renamed(t: Bindings) -> DataFrame:
     after = catalog.update_collections(t["v_collections"], t["v_collection_changes"], _now())
-    return catalog.rekey_objects(t["v_objects"], t["v_collections"], after)
+    return catalog.renamed_buckets(t["v_collections"], after)
 
 
 @query
 def rekey_objects(t: Bindings) -> DataFrame:
-    return _moves(t)
+    return catalog.rekey_objects(t["v_objects"], _renamed(t))
 
 
 @query
 def apply_rekey(t: Bindings) -> DataFrame:
-    return catalog.apply_rekey(t["v_objects"], _moves(t)).select("bucket", "object_name")
+    return catalog.apply_rekey(t["v_objects"], _renamed(t)).select("bucket", "object_name")
 
 
 def _remaining(name: str, df: DataFrame, key: str) -> DataFrame:
@@ -793,10 +793,10 @@ def deleted_objects(t: Bindings) -> DataFrame:
 def stream_upload_metrics(t: Bindings) -> DataFrame:
     """The request log replayed as a stream; windows the watermark has closed."""
     source = t["events"]
-    replay = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    replay = streaming_metrics.replay(t.spark, source.schema, f"{t.sf_dir}/events.parquet")
     path = scratch_path(t.spark, "upload-metrics")
     streaming_metrics.stream_upload_metrics(replay, path, path + "-checkpoint").awaitTermination()
-    closed = t.spark.read.parquet(path)
+    closed = t.spark.read.schema(streaming_metrics.upload_metrics(source).schema).parquet(path)
     return _rounded(closed, "total_seconds").withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     )

@@ -109,3 +109,12 @@ FOREIGN_KEYS = [
     ("documents", "collection_id", "collections", "collection_id"),
     ("chunks", "document_id", "documents", "document_id"),
 ]
+
+
+#: Chunks of stored tables lie in this many folders by ``collection_id``; the column names the folder.
+COLLECTION_BUCKETS = 64
+COLLECTION_BUCKET = "collection_bucket"
+
+
+def collection_bucket(collection_id: int) -> int:
+    return collection_id % COLLECTION_BUCKETS

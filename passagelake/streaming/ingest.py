@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,12 +18,20 @@ from passagelake.sources.files import FILE_SCHEMA
 from passagelake.sources.sinks import sink_documents_chunks
 
 
-def stored_documents(spark: SparkSession, root: str, before_batch: int) -> DataFrame:
-    """Documents of earlier batches; what this batch wrote in a failed try is not stored yet."""
-    schema = T.StructType([*TABLES["documents"].fields, T.StructField("batch_id", T.LongType())])
-    if before_batch == 0:
-        return spark.createDataFrame([], schema).drop("batch_id")
-    return spark.read.schema(schema).parquet(f"{root}/documents").filter(F.col("batch_id") < before_batch).drop("batch_id")
+def stored_documents(spark: SparkSession, root: str, run_id: str, before_batch: int) -> DataFrame:
+    """Documents of all other runs and of this run's earlier batches.
+
+    What a batch wrote in a failed try is not stored yet.
+    """
+    places = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())]
+    schema = T.StructType([*TABLES["documents"].fields, *places])
+    try:
+        stored = spark.read.schema(schema).parquet(f"{root}/documents")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], schema)  # the first batch of the first run
+    return stored.filter((F.col("run_id") != run_id) | (F.col("batch_id") < before_batch)).drop("run_id", "batch_id")
 
 
 def stream_ingest(
@@ -41,7 +50,10 @@ def stream_ingest(
 
     ``to_uploads`` turns ``path, modificationTime, length, content`` into the
     upload columns of ``plans.ingest.ingest``. Each batch writes folders named
-    by its id, so a repeated batch replaces its own output.
+    by the stream's id, which its checkpoint keeps, and the batch's id: a repeated
+    batch replaces its own output, and a new checkpoint or a bulk ingest on the
+    same root adds to what is there. The file source does not report empty
+    files, so unlike a bulk ingest the stream stores no documents without text.
     """
     reader = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
@@ -51,12 +63,13 @@ def stream_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        run_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
         result = ingest(
-            to_uploads(batch), stored_documents(session, root, batch_id), now, posted_by, encoder,
+            to_uploads(batch), stored_documents(session, root, run_id, batch_id), now, posted_by, encoder,
             pdf_decoder=pdf_decoder, small_batch=files_per_batch is not None and files_per_batch <= BROADCAST_ROWS,
         )
-        result.quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
-        sink_documents_chunks(result.documents, result.chunks, root, batch_id)
+        result.quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/run_id={run_id}/batch_id={batch_id}")
+        sink_documents_chunks(result.documents, result.chunks, root, run_id, batch_id)
 
     return (
         reader.load(folder)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from passagelake.operators.metrics import DEFAULT_BOUNDS
 
@@ -27,6 +28,15 @@ def upload_metrics(
     )
 
 
+def replay(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """A stored table as a stream, whether ``path`` is one file or a folder of part files.
+
+    The file source takes a folder or a pattern; a pattern for just this name stands for both kinds.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
+
+
 def stream_upload_metrics(
     requests: DataFrame, path: str, checkpoint: str, ts: str = "ts", late_by: str = "1 hour", **options
 ) -> StreamingQuery:

@@ -36,18 +36,26 @@ def test_update_folds_changes_in_order(spark):
 
 
 def test_collection_rename_state_and_time(spark):
-    current = collections(spark, [(1, 1, "first-collection", "d", "créé"), (2, 1, "b", None, "créé"), (3, 1, "c", "z", None)])
+    current = collections(spark, [(1, 1, "poems", "d", "créé"), (2, 1, "b", None, "créé"), (3, 1, "c", "z", None)])
     changes = spark.createDataFrame(
-        [(1, 0, "Updated Collection", ""), (2, 0, "x", ""), (2, 1, "b", "new"), (9, 0, "q", "q")],
+        [(1, 0, "Second Shelf", ""), (2, 0, "x", ""), (2, 1, "b", "new"), (9, 0, "q", "q")],
         "collection_id int, seq int, name string, description string",
     )
     got = {r.collection_id: r for r in catalog.update_collections(current, changes, F.lit(NOW)).collect()}
-    assert (got[1].name, got[1].description, got[1].etat_bucket) == ("Updated Collection", "d", "mis à jour")
+    assert (got[1].name, got[1].description, got[1].etat_bucket) == ("Second Shelf", "d", "mis à jour")
     assert (got[2].name, got[2].description, got[2].etat_bucket) == ("b", "new", "mis à jour")  # renamed and back
     assert (got[3].name, got[3].etat_bucket, got[3].derniere_modification) == ("c", None, T0)
     assert got[1].derniere_modification == got[2].derniere_modification == NOW and len(got) == 3
 
 
+def test_failed_rename_is_shown(spark):
+    current = collections(spark, [(1, 1, "poems", "d", "créé"), (2, 1, "maps", None, "créé")])
+    changes = spark.createDataFrame([(1, 0, "verse", ""), (2, 0, "charts", "")], "collection_id int, seq int, name string, description string")
+    failures = spark.createDataFrame([(2, "no space")], "collection_id int, error string")
+    got = catalog.update_collections(current, changes, F.lit(NOW), failures).collect()
+    assert {(r.collection_id, r.etat_bucket) for r in got} == {(1, "mis à jour"), (2, "non-mis à jour: no space")}
+
+
 def test_rename_to_an_equal_key_moves_nothing(spark):
     before = collections(spark, [(1, 1, "a b", None, "créé"), (2, 1, "old", None, "créé")])
     after = collections(spark, [(1, 1, "a-b", None, "créé"), (2, 1, "néw", None, "créé")])
@@ -55,25 +63,26 @@ def test_rename_to_an_equal_key_moves_nothing(spark):
         [("collection-1-a-b", "x.txt", 1), ("collection-2-old", "y.txt", 2), ("collection-2-old", "z.txt", 3)],
         "bucket string, object_name string, size_bytes long",
     )
-    moves = catalog.rekey_objects(objects, before, after)
+    renamed = catalog.renamed_buckets(before, after)
+    moves = catalog.rekey_objects(objects, renamed)
     assert {(r.old_bucket, r.new_bucket, r.object_name) for r in moves.collect()} == {
         ("collection-2-old", "collection-2-n-w", "y.txt"), ("collection-2-old", "collection-2-n-w", "z.txt"),
     }
-    assert {tuple(r) for r in catalog.apply_rekey(objects, moves).select("bucket", "object_name").collect()} == {
+    assert {tuple(r) for r in catalog.apply_rekey(objects, renamed).select("bucket", "object_name").collect()} == {
         ("collection-1-a-b", "x.txt"), ("collection-2-n-w", "y.txt"), ("collection-2-n-w", "z.txt"),
     }
 
 
 def test_create_collections_per_owner_with_bucket_states(spark):
-    current = collections(spark, [(4, 1, "first-collection", None, "créé")])
+    current = collections(spark, [(4, 1, "old-maps", None, "créé")])
     requests = spark.createDataFrame(
-        [(0, 1, "First_Collection", "taken"), (1, 2, "First Collection", "other owner"), (2, 2, "first-collection", "late"),
-         (3, 1, "Second Collection", "s")],
+        [(0, 1, "Old_Maps", "taken"), (1, 2, "Old Maps", "other owner"), (2, 2, "old-maps", "late"),
+         (3, 1, "New Charts", "s")],
         "seq int, user_id int, name string, description string",
     )
     got = catalog.create_collections(requests, current, F.lit(NOW)).filter("collection_id > 4").collect()
     assert {(r.user_id, r.name, r.description, r.etat_bucket) for r in got} == {
-        (2, "first-collection", "other owner", "créé"), (1, "second-collection", "s", "créé"),
+        (2, "old-maps", "other owner", "créé"), (1, "new-charts", "s", "créé"),
     }
     assert sorted(r.collection_id for r in got) == [5, 6]
     key = next(r for r in got if r.user_id == 2)

@@ -1,11 +1,14 @@
 import datetime as dt
+import io
 import os
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from passagelake.functions.encoders import HashingEncoder, embed
+from passagelake.functions import extract
 from passagelake.functions.extract import docx_text
 from passagelake.operators import guards, ids, quality
 from passagelake.plans.ingest import explode_chunks, ingest
@@ -14,7 +17,7 @@ from passagelake.schema import TABLES
 from passagelake.session import scratch_path
 from passagelake.sources import files, sinks, tables
 from passagelake.streaming.ingest import stream_ingest
-from passagelake.streaming.metrics import stream_upload_metrics, upload_metrics
+from passagelake.streaming.metrics import replay, stream_upload_metrics, upload_metrics
 
 def now():
     return F.lit(dt.datetime(2025, 1, 1, 8))
@@ -41,7 +44,7 @@ def folder(spark, tmp_path):
     target = tmp_path / "up load"
     target.mkdir()
     contents = {
-        "a file.txt": b"This is a test document. " * 20,
+        "a file.txt": b"Rivers carve slow valleys. " * 20,
         "empty.txt": b"",
         "bad.txt": b"\xff\xfe",
         "page.HTML": b"<p>un</p><script>no</script><p>deux</p>",
@@ -86,12 +89,24 @@ def test_files_to_tables(spark, folder):
     chunks = {(r.document_id, r.chunk_index): r for r in result.chunks.collect()}
     assert len(chunks) == 1314
     first = chunks[documents["a-file.txt"].document_id, 0]
-    assert first.chunk_text == ("This is a test document. " * 20).strip() and first.taille_chunk == len(first.chunk_text)
+    assert first.chunk_text == ("Rivers carve slow valleys. " * 20).strip() and first.taille_chunk == len(first.chunk_text)
     assert first.embedding == list(range(1024))
     assert chunks[documents["page.HTML"].document_id, 0].chunk_text == "un deux"
     assert chunks[documents["letter.docx"].document_id, 0].chunk_text == "first line second"
 
 
+def test_docx_layout_breaks_give_no_text():
+    body = (
+        '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r>'
+        '<w:t>ab</w:t><w:br w:type="page"/><w:t>cd</w:t><w:br w:type="column"/><w:ptab/><w:t>ef</w:t><w:br/><w:t>gh</w:t>'
+        "</w:r></w:p></w:body></w:document>"
+    )
+    target = io.BytesIO()
+    with zipfile.ZipFile(target, "w") as archive:
+        archive.writestr("word/document.xml", body)
+    assert extract.paragraph_texts(target.getvalue()) == ["abcd\tef\ngh"]
+
+
 def test_pdf_through_a_given_decoder(spark, folder):
     found = files.scan_files(spark, folder, glob="*.pdf")
     result = ingest(
@@ -188,22 +203,14 @@ def test_sinks_round_trip(spark, folder):
     root = scratch_path(spark, "t")
     result = ingest(as_uploads(files.scan_files(spark, folder)), spark.createDataFrame([], STORED), now(), F.lit("me"))
     for _ in range(2):  # a repeated batch replaces itself
-        sinks.sink_documents_chunks(result.documents, result.chunks, root, 0)
-    assert spark.read.parquet(f"{root}/documents").count() == 4
+        sinks.sink_documents_chunks(result.documents, result.chunks, root, "bulk", 0)
+    assert spark.read.parquet(f"{root}/documents").count() == 5
     assert spark.read.parquet(f"{root}/chunks").count() == 1314
     documents = tables.read(spark, root, "documents")
-    assert documents.columns == TABLES["documents"].names and documents.count() == 4
+    assert documents.columns == TABLES["documents"].names and documents.count() == 5
     assert quality.stored_chunk_count_check(documents, tables.read(spark, root, "chunks")).count() == 0
 
 
-def test_table_versions_replace_what_they_read(spark):
-    versions = sinks.TableVersions(spark, scratch_path(spark, "v"))
-    assert versions.current() is None
-    versions.replace(spark.range(3))
-    versions.replace(versions.read().filter("id <> 1"))
-    assert sorted(r.id for r in versions.read().collect()) == [0, 2] and versions.current() == 2
-
-
 def test_constraint_report_needs_declared_columns(spark):
     with pytest.raises(ValueError, match="lacks columns"):
         quality.constraint_violations(spark.range(1), "users")
@@ -218,7 +225,7 @@ def run_stream(spark, folder, root, **options):
 def test_stream_equals_batch_and_restarts(spark, folder):
     root = scratch_path(spark, "stream")
     run_stream(spark, folder, root, files_per_batch=4)
-    batch = ingest(as_uploads(files.scan_files(spark, folder)), spark.createDataFrame([], STORED), now(), F.lit("me"), counting_encoder)
+    batch = ingest(as_uploads(files.scan_files(spark, folder, include_empty=False)), spark.createDataFrame([], STORED), now(), F.lit("me"), counting_encoder)
     key = ["title_document", "num_of_chunks", "minio_link"]
     read = lambda: sorted(map(tuple, spark.read.parquet(f"{root}/documents").select(key).collect()))
     assert read() == sorted(map(tuple, batch.documents.select(key).collect()))
@@ -235,12 +242,37 @@ def test_stream_equals_batch_and_restarts(spark, folder):
     assert reasons.count("duplicate") == 1
 
 
-def test_stream_metrics_equal_batch_for_closed_windows(spark):
+def test_new_checkpoint_and_bulk_ingest_add_to_a_root(spark, tmp_path):
+    root = scratch_path(spark, "shared-root")
+    folders = []
+    for n in range(2):
+        folders.append(str(tmp_path / f"arrivals{n}"))
+        os.makedirs(folders[-1])
+        for name, body in ((f"own{n}.txt", b"a b c"), ("common.txt", b"d e")):
+            with open(f"{folders[-1]}/{name}", "wb") as target:
+                target.write(body)
+    bulk = ingest(as_uploads(files.scan_files(spark, folders[0])), spark.createDataFrame([], STORED), now(), F.lit("me"), counting_encoder)
+    sinks.sink_documents_chunks(bulk.documents, bulk.chunks, root, "bulk", 0)
+    for n in range(2):
+        stream_ingest(
+            spark, folders[n], root, f"{root}/_checkpoint{n}", as_uploads, now(), F.lit("me"), counting_encoder
+        ).awaitTermination()
+    titles = [r.title_document for r in spark.read.parquet(f"{root}/documents").collect()]
+    assert sorted(titles) == ["common.txt", "own0.txt", "own1.txt"]
+    reasons = [r.reason for r in spark.read.parquet(f"{root}/quarantine").collect()]
+    assert reasons == ["duplicate"] * 3
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_metrics_equal_batch_for_closed_windows(spark, parts):
     path = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{path}/events.parquet")
     root = scratch_path(spark, "metrics")
-    replay = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(path)
-    stream_upload_metrics(replay, root, root + "-c").awaitTermination()
+    if parts > 1:  # a table as a folder of part files
+        path = scratch_path(spark, "parts")
+        events.repartition(parts).write.parquet(f"{path}/events.parquet")
+    stream = replay(spark, events.schema, f"{path}/events.parquet")
+    stream_upload_metrics(stream, root, root + "-c").awaitTermination()
     columns = ["window_start", "n_uploads", "le_10_0"]
     cast = lambda df: {tuple(map(str, r)) for r in df.select(columns).collect()}
     closed = cast(spark.read.parquet(root))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from passagelake.operators import knn as knn_module
 from passagelake.operators import search
 from passagelake.functions import vectors
+from passagelake.session import scratch_path
+from passagelake.sources import sinks
 
 DIM = 8
 
@@ -102,6 +104,36 @@ def test_every_join_path_gives_the_same(spark, monkeypatch, limit, with_collecti
     assert found(search.topk_search_batch(requests(spark, only), chunks, docs, cols, DIM)) == brute(data, only)
 
 
+@pytest.mark.parametrize("limit", [0, 2, 500_000])
+def test_documents_decide_at_every_size(spark, monkeypatch, limit):
+    """A stale collection in a chunk row and a repeated document change nothing, however large the catalog is."""
+    data = sample(3, 60)
+    chunks, docs, cols = tables(spark, data)
+    stale = chunks.withColumn("collection_id", F.lit(999))
+    rows = asked(data)
+    want = brute(data, rows)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", limit)
+    assert found(search.topk_search_batch(requests(spark, rows), stale, docs.unionAll(docs.limit(1)), cols, DIM)) == want
+    only = [r for r in rows if r[3] == "a"]
+    assert found(search.topk_search_batch(requests(spark, only), stale, docs.unionAll(docs.limit(1)), cols, DIM)) == brute(data, only)
+
+
+def test_filtered_search_reads_the_wanted_folders_only(spark):
+    data = sample(4, 80)
+    chunks, docs, cols = tables(spark, data)
+    root = scratch_path(spark, "laid-out")
+    named = chunks.drop("collection_id").join(docs.select("document_id", "collection_id"), "document_id")
+    sinks.sink_documents_chunks(docs, named, root, "bulk", 0)
+    stored = spark.read.parquet(f"{root}/chunks")
+    rows = [(0, data[20], 5, "a")]
+    build = search.candidates(stored, docs, cols, DIM, placed=True)
+    read = build({"a"})
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(collection_bucket" in plan or "PartitionFilters: [collection_bucket" in plan
+    got = found(knn_module.knn(requests(spark, rows), build, DIM))
+    assert got == brute(data, rows)
+
+
 def test_untracked_limits_are_exact(spark, monkeypatch):
     data = sample(2, 120)
     rows = asked(data)
