@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from passagelake.llm import bpe, fingerprints, html_text, language, mixing, near_dup, pii, quality, suffix_dedup, token_files
 from passagelake.llm.common import table
+from passagelake.llm.oracles import oracle_sql  # noqa: F401
 from passagelake.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +66,3 @@ def queries() -> dict[str, Query]:
         return run
 
     return {name: shipped(build) for name, build in globals().items() if name.startswith("op")}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
