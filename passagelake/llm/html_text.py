@@ -27,8 +27,10 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: Elements that a start tag of the same group closes.
 SIBLINGS = [{"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"}, {"thead", "tbody", "tfoot"}]
 
+#: Elements whose content is no text.
+CODE = {"script", "style"}
 #: Elements that are never part of the main text.
-OTHER = set("head title script style noscript template iframe object svg math canvas nav footer aside form select option button textarea dialog menu".split())
+OTHER = set("head title noscript template iframe object svg math canvas nav footer aside form select option button textarea dialog menu".split())
 #: Words in class, id or role that name something else than the main text.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|adbox|banner|sponsor\w*|promo\w*|sidebar|side|menu|navbar|navigation|nav|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|"
@@ -67,6 +69,7 @@ class Blocks(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.count = 0
+        self.code: str | None = None
         if page.rfind("<!--") > page.rfind("-->"):
             page += "-->"  # an open comment ends with the page
         self.feed(re.sub(r"<[a-zA-Z/][^<>]*$", "", page))  # and an open tag is none
@@ -103,6 +106,9 @@ class Blocks(HTMLParser):
         return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in CODE:
+            self.code = tag
+            return
         if tag not in INLINE:
             place = self.closes(tag)
             if place is not None:
@@ -126,6 +132,9 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in CODE:
+            self.code = None
+            return None
         for place in range(len(self.stack) - 1, -1, -1):
             if self.stack[place][0] == tag:
                 return self.drop(place)
@@ -134,6 +143,8 @@ class Blocks(HTMLParser):
         return None
 
     def handle_data(self, data: str) -> None:
+        if self.code:
+            return
         self.parts.append(data)
         if any(e[0] == "a" for e in self.stack):
             self.linked += len(data.strip())

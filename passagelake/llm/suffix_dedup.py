@@ -249,10 +249,9 @@ def _resolve(rows: list[tuple]) -> Iterator[tuple]:
     """Ranges covered by later strings among segments ``(key, doc_id, name, start, strings, segment)`` of whole keys."""
     firsts: dict[bytes, tuple] = {}
     for row in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
-        if row[5] in firsts:  # the same segment starts earlier
+        first = firsts.setdefault(row[5], row)
+        if first[1:4] != row[1:4]:  # the same segment starts earlier
             yield row[1], row[2], row[3], row[3] + row[4] - 1 + LENGTH
-        else:
-            firsts[row[5]] = row
     by_key: dict[int, list[tuple]] = {}
     for row in firsts.values():
         by_key.setdefault(row[0], []).append(row)
@@ -302,6 +301,8 @@ def _ranges(docs: DataFrame) -> DataFrame:
                         other = firsts.get(segment)
                         if other is None:
                             firsts[segment] = (key, doc_id, name, start, count, segment)
+                        elif (doc_id, name, start) == other[1:4]:
+                            continue  # a repeated row
                         elif (doc_id, name, start) < other[1:4]:
                             firsts[segment] = (key, doc_id, name, start, count, segment)
                             cover(*other[1:5])
