@@ -69,13 +69,18 @@ def primary(code: Column) -> Column:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Trigram model from ``SAMPLE`` documents of each language, the first ones by a hash of their id and text.
+    """Trigram model from ``SAMPLE`` documents of each language, the first ones by a hash of their id and length
+    (rows that tie with the last one are taken too).
 
     Needs ``doc_id, text, lang``; rows without text or with no valid code are left out. What reaches the driver
     is ``BUCKETS`` counts for each language.
     """
-    rows = labelled.select(primary(F.col("lang")).alias("lang"), "text", F.xxhash64("doc_id", F.length("text")).alias("_order")).where("lang is not null and text is not null")
-    chosen = rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_order"))).where(F.col("_n") <= SAMPLE)
+    order = F.xxhash64("doc_id", F.length("text"))
+    rows = labelled.select(primary(F.col("lang")).alias("lang"), "text", order.alias("_order")).where("lang is not null and text is not null")
+    # The texts are read again by the last hash of each language's sample, so none of them is shuffled.
+    ranked = rows.select("lang", "_order").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_order")))
+    limits = materialise(ranked.where(F.col("_n") <= SAMPLE).groupBy("lang").agg(F.max("_order").alias("_last")), "language-sample")
+    chosen = rows.join(F.broadcast(limits), "lang").where("_order <= _last")  # codes of two or three letters: 18,954 rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

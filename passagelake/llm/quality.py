@@ -156,15 +156,15 @@ def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """
     names = [f"hi_{r}" for r in UPPER] + [f"lo_{r}" for r in LOWER]
     fence = F.struct("n_docs", *names)
-    corpus = fences.where("level = 3").select(fence.alias("_corpus"))
     by_lang = fences.where((F.col("level") == 1) & (F.col("n_docs") >= MIN_GROUP)).select(F.col("lang").alias("_lang_only"), fence.alias("_by_lang"))
     by_both = fences.where((F.col("level") == 0) & (F.col("n_docs") >= MIN_GROUP)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), fence.alias("_by_both"))
     joined = (
         measured.join(by_both, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
         .join(by_lang, F.col("lang").eqNullSafe(F.col("_lang_only")), "left")
-        .join(F.broadcast(corpus), F.lit(True), "left")  # one row
     )
-    used = F.coalesce("_by_both", "_by_lang", "_corpus")
+    corpus = fences.where("level = 3").select("n_docs", *names).first()  # one row
+    known = F.struct(*[F.lit(corpus[c]).alias(c) for c in ("n_docs", *names)]) if corpus else F.lit(None).cast(by_lang.schema["_by_lang"].dataType)
+    used = F.coalesce("_by_both", "_by_lang", known)
     inside = F.lit(True)
     for r in UPPER:
         inside &= F.coalesce(F.col(r) <= used[f"hi_{r}"], F.lit(True))
