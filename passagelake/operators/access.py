@@ -65,10 +65,13 @@ def seed_roles(roles: DataFrame) -> DataFrame:
     return roles.unionByName(added)
 
 
-def seed_admin(spark, passwords: str, now: Column) -> DataFrame:
-    """The first user; the password comes hashed."""
-    return spark.range(1).select(
-        F.lit(1).alias("user_id"),
+def seed_admin(users: DataFrame, passwords: str, now: Column) -> DataFrame:
+    """User table with the first user added unless a user has that name; the password comes hashed."""
+    top = users.agg(F.coalesce(F.max("user_id"), F.lit(0)), F.bool_or(F.col("username") == "admin")).first()
+    if top[1]:
+        return users
+    admin = users.sparkSession.range(1).select(
+        F.lit(top[0] + 1).alias("user_id"),
         F.lit("admin").alias("username"),
         F.lit(passwords).alias("passwords"),
         F.lit("admin@example.com").alias("email"),
@@ -76,6 +79,7 @@ def seed_admin(spark, passwords: str, now: Column) -> DataFrame:
         F.to_date(now).alias("date_de_creation"),
         now.alias("created_at"),
     )
+    return users.unionByName(admin.select(*[F.col(f.name).cast(f.dataType) for f in users.schema]))
 
 
 def roles_unpivot(roles: DataFrame) -> DataFrame:

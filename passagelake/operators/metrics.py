@@ -48,6 +48,8 @@ def upload_size_histogram(judged: DataFrame, bounds: list[float] = DEFAULT_BOUND
     return histogram(judged, "size_bytes", bounds, F.col("outcome").isin("accepted", "too_large"))
 
 
-def upload_time_histogram(log: DataFrame, seconds: str, bounds: list[float] = DEFAULT_BOUNDS) -> DataFrame:
-    """Processing times of successful uploads."""
-    return histogram(log, seconds, bounds)
+def upload_time_histogram(
+    log: DataFrame, seconds: str, succeeded: Column, bounds: list[float] = DEFAULT_BOUNDS
+) -> DataFrame:
+    """Processing times of uploads that ``succeeded``; a refused or failed one is not observed."""
+    return histogram(log, seconds, bounds, succeeded)

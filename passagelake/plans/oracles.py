@@ -186,6 +186,8 @@ _RAW: dict[str, str] = {
     "put_objects": """SELECT CAST(substr(source, 4) AS INT) + 1 AS collection_id, 'Doc-' || doc_id || '.txt' AS title_document,
         CAST(strlen(text) AS BIGINT) AS size_bytes FROM {documents}""",
     "seed_roles": _seeds(),
+    "seed_admin": """SELECT user_id, username, email, role_id FROM {v_users} UNION ALL
+        SELECT CAST(max(user_id) + 1 AS INT), 'admin', 'admin@example.com', 1 FROM {v_users} HAVING NOT bool_or(username = 'admin')""",
     "constraint_violations": _rules(),
     "search_log_sink": f"WITH {_METRICS} SELECT 'run-1' AS run_id, query_id, kind, key, value FROM logged",
     "list_users": "SELECT user_id, username, email, role_id, date_de_creation, created_at FROM {v_users}",
@@ -262,7 +264,7 @@ _RAW: dict[str, str] = {
     "upload_size_histogram": f"WITH {_JUDGED} " + _histogram(
         "judged", "size_bytes", [1e4, 1e5, 5e5, 1_048_576.0, 2e6, 5e6], "outcome IN ('accepted', 'too_large')"
     ),
-    "upload_time_histogram": _histogram("{v_requests}", "value", DEFAULT_BOUNDS, digits=True),
+    "upload_time_histogram": _histogram("{v_requests}", "value", DEFAULT_BOUNDS, "username <> 'ghost'", digits=True),
     "mean_pool": """SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(v), 6) AS mean FROM (SELECT label,
         unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS pos FROM {embeddings}) GROUP BY label, pos""",
     "latest_version": """SELECT model, max(CAST(version AS INT)) AS latest_version FROM {v_model_versions} GROUP BY model""",

@@ -167,6 +167,11 @@ def seed_roles(t: Bindings) -> DataFrame:
     return access.seed_roles(t["v_custom_roles"])
 
 
+@query
+def seed_admin(t: Bindings) -> DataFrame:
+    return access.seed_admin(t["v_users"], "hashed", _now()).select("user_id", "username", "email", "role_id")
+
+
 @query
 def constraint_violations(t: Bindings) -> DataFrame:
     reports = [
@@ -451,7 +456,7 @@ def upload_size_histogram(t: Bindings) -> DataFrame:
 
 @query
 def upload_time_histogram(t: Bindings) -> DataFrame:
-    return _rounded(metrics.upload_time_histogram(t["v_requests"], "value"), "total_sum")
+    return _rounded(metrics.upload_time_histogram(t["v_requests"], "value", F.col("username") != "ghost"), "total_sum")
 
 
 @query

@@ -148,7 +148,9 @@ def test_seeded_grants(spark, roles):
     assert held["user"] == [g for g in GRANTS if g.endswith("_doc")] + ["author_get_collection", "author_get_user"]
     assert sorted(r.role_id for r in roles.collect()) == [1, 2, 3]
     assert access.seed_roles(roles).count() == 3
-    assert access.seed_admin(spark, "hash", F.lit(NOW)).first().username == "admin"
+    people = access.seed_admin(users(spark, [(4, "a", "e", 1)]), "hash", F.lit(NOW))
+    assert {(r.user_id, r.username) for r in people.collect()} == {(4, "a"), (5, "admin")}
+    assert access.seed_admin(people, "hash", F.lit(NOW)).count() == 2
     back = {(r.role_name, r.required_grant) for r in access.roles_unpivot(roles).filter("granted").collect()}
     assert back == {(name, g) for name, grants in held.items() for g in grants}
 
