@@ -29,7 +29,7 @@ from passagelake.session import materialise
 
 SAMPLES = 128
 #: Terms that are sampled at a time; bounds the memory of a long text.
-CHUNK = 2_048
+CHUNK = 1024
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -53,9 +53,7 @@ def _gamma_quantiles() -> np.ndarray:
 
 
 _R = _gamma_quantiles().astype(np.float32)
-_LN_C = np.log(_gamma_quantiles())
-_LN_C_STEP = np.append(np.diff(_LN_C), 0).astype(np.float32) / np.float32(1 << 16)
-_LN_C = _LN_C.astype(np.float32)
+_LN_C = np.log(_gamma_quantiles()).astype(np.float32)
 _SEEDS = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _GOLDEN)
 _LN = np.array([math.log(max(n, 1)) for n in range(4_096)], np.float32)
 
@@ -75,39 +73,77 @@ def terms(text: str) -> np.ndarray:
     return _mix(hashes[:-1] * _GOLDEN + hashes[1:]) if len(hashes) > 1 else hashes
 
 
+class _Buffers:
+    """Arrays of one chunk, made once: new ones of this size would cost more than the arithmetic."""
+
+    def __init__(self):
+        shape = (SAMPLES, CHUNK)
+        self.bits, self.other = np.empty(shape, np.uint64), np.empty(shape, np.uint64)
+        self.r, self.c, self.b = (np.empty(shape, np.float32) for _ in range(3))
+
+    def of(self, count: int) -> list[np.ndarray]:
+        return [x.reshape(-1)[: SAMPLES * count].reshape(SAMPLES, count) for x in (self.bits, self.other, self.r, self.c, self.b)]
+
+
+_buffers = _Buffers()
+
+
+def _draws(part: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost of every draw over terms with their weights, and its (term, t) as a hash.
+
+    The hash of a term and a draw holds 16 bits each for ``r``, ``c`` and ``b``.
+    """
+    bits, other, r, c, b = _buffers.of(len(part))
+    np.add(part, _SEEDS[:, None], out=bits)
+    np.multiply(bits, _M1, out=bits)
+    np.right_shift(bits, np.uint64(32), out=other)
+    np.bitwise_xor(bits, other, out=bits)
+    np.multiply(bits, _M2, out=bits)
+    np.right_shift(bits, np.uint64(48), out=other)
+    np.take(_R, other.view(np.int64), out=r, mode="clip")
+    np.right_shift(bits, np.uint64(32), out=other)
+    np.bitwise_and(other, np.uint64(0xFFFF), out=other)
+    np.take(_LN_C, other.view(np.int64), out=c, mode="clip")
+    np.copyto(b, bits.view(np.uint16).reshape(SAMPLES, len(part), 4)[:, :, 1])
+    np.multiply(b, np.float32(1 / (1 << 16)), out=b)
+    often = np.flatnonzero(weights > 1)  # t is 0 for weight 1
+    t = np.floor(_ln(weights[often]) / r[:, often] + b[:, often])
+    b[:, often] -= t
+    np.subtract(b, np.float32(1), out=b)
+    np.multiply(b, r, out=b)
+    np.add(c, b, out=c)
+    rows, best = np.arange(SAMPLES), c.argmin(axis=1)
+    where = np.full(len(part), -1)
+    where[often] = np.arange(len(often))
+    column = where[best]
+    step = np.where(column < 0, 0, t[rows, column]) if len(often) else np.zeros(SAMPLES)
+    return c[rows, best], _mix(part[best] + _SEEDS + step.astype(np.int64).astype(np.uint64) * _GOLDEN)
+
+
 def sample(*texts: np.ndarray) -> list[bytes]:
-    """Fingerprint of each text from its terms: 16 bits for every draw, nothing for a text without terms.
+    """Fingerprint of one or two texts from their terms: 16 bits for every draw, nothing without terms.
 
-    Texts with common terms share the work on them.
+    A term that both texts have with the same weight is drawn once: the columns hold what only the first text
+    has, then what both have, then the rest, and each of these stretches is searched for its least cost.
     """
+    both = len(texts) > 1
     every, place = np.unique(np.concatenate(texts), return_inverse=True)
-    ends = np.cumsum([0, *map(len, texts)])
-    weights = [np.bincount(place[a:b], minlength=len(every)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    best = [np.full(SAMPLES, np.inf, np.float32) for _ in texts]
-    value = [np.zeros(SAMPLES, np.uint64) for _ in texts]
-    columns = np.arange(SAMPLES)
-    for first in range(0, len(every), CHUNK):
-        part = every[first : first + CHUNK]
-        bits = _mix(part[:, None] + _SEEDS)
-        r = _R[bits & np.uint64(0xFFFF)]
-        b = ((bits >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32) / np.float32(1 << 16)
-        high = bits >> np.uint64(48)
-        ln_c = _LN_C[high] + _LN_C_STEP[high] * ((bits >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float32)
-        for k, weight in enumerate(weights):
-            own = np.flatnonzero(weight[first : first + CHUNK])
-            if not len(own):
-                continue
-            whole = len(own) == len(part)
-            r_, b_, c_ = (r, b, ln_c) if whole else (r[own], b[own], ln_c[own])
-            t = np.floor(_ln(weight[first : first + CHUNK][own])[:, None] / r_ + b_)
-            cost = c_ - r_ * (t - b_ + np.float32(1))
-            least = cost.argmin(axis=0)
-            found = cost[least, columns]
-            better = found < best[k]
-            best[k] = np.where(better, found, best[k])
-            taken = _mix(part[own][least] + _SEEDS + t[least, columns].astype(np.int64).astype(np.uint64) * _GOLDEN)
-            value[k] = np.where(better, taken, value[k])
-    return [(v >> np.uint64(48)).astype("<u2").tobytes() if len(t) else b"" for v, t in zip(value, texts, strict=True)]
+    first = np.bincount(place[: len(texts[0])], minlength=len(every))
+    second = np.bincount(place[len(texts[0]) :], minlength=len(every)) if both else np.zeros_like(first)
+    alike = np.flatnonzero((first == second) & (first > 0))
+    own = np.flatnonzero((first != second) & (first > 0))
+    other = np.flatnonzero((first != second) & (second > 0))
+    least = [np.full(SAMPLES, np.inf, np.float32) for _ in range(2)]
+    value = [np.zeros(SAMPLES, np.uint64) for _ in range(2)]
+    for chosen, weights, sides in ((own, first, (0,)), (alike, first, (0, 1)), (other, second, (1,))):
+        for start in range(0, len(chosen), CHUNK):
+            part = chosen[start : start + CHUNK]
+            found, taken = _draws(every[part], weights[part])
+            for side in sides:
+                better = found < least[side]
+                least[side] = np.where(better, found, least[side])
+                value[side] = np.where(better, taken, value[side])
+    return [(v >> np.uint64(48)).astype("<u2").tobytes() if len(t) else b"" for v, t in zip(value, texts, strict=False)]
 
 
 def likeness(a: bytes, b: bytes) -> float:
