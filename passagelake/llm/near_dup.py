@@ -7,8 +7,10 @@ equal to their similarity. Four values, the minima and maxima of two orders, for
 
 Documents with equal sets form a class, and only classes are compared. In each bucket of a band the members are
 first paired with the smallest one. Members that thereby came into its component need no other pair of the
-bucket; the rest is paired with all members of other components, so no link is lost and a group of near-copies
-costs as many pairs as it has members. Pairs that pass a comparison of signatures are confirmed on full sets.
+bucket; the rest is compared with all members of other components, so no link is lost and a group of near-copies
+costs as many pairs as it has members. The rest meets the other members in blocks of bounded size, with
+signatures and full sets; a task compares them in memory and gives back links, not pairs. All links are confirmed
+on full sets.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BAND_ORDERS = 2
 BANDS = PERMUTATIONS // BAND_ORDERS
 #: Estimated similarity below which a pair is not confirmed: about six standard errors below a link's.
 LEAST_ESTIMATE = 0.55
+#: Members of a bucket on either side of a block comparison.
+BLOCK = 2_048
 #: Shingles that are hashed at a time; bounds the memory of a long text.
 CHUNK = 4_096
 #: Bits of the filter that spares documents without candidate pairs; its size does not grow.
@@ -156,15 +160,18 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_batches(rows, run, "id long, members binary")
 
 
+def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity from sketches; two different values have the same byte once in 256 cases."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
 def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose sketches agree well enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for c in ("sketch_a", "sketch_b"))
-            equal = (x == y).mean(axis=1)
-            hit = pa.array((equal - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE)
-            yield batch.select(["a", "b"]).filter(hit)
+            yield batch.select(["a", "b"]).filter(pa.array(_estimate(x, y) >= LEAST_ESTIMATE))
 
     joined = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(
         sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a"
@@ -190,6 +197,73 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, label: st
     return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links")
 
 
+def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links between members that are apart from their bucket's leader and members of other components.
+
+    A bucket's apart members are dealt to blocks, and so are all its members; every block of the first kind meets
+    every block of the second. A pair is compared in the first band that it shares.
+    """
+    apart = F.col("own") != F.col("lead")
+    sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if(apart).alias("u")).where("u > 0")
+    sizes = sizes.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("u") / BLOCK).cast("int").alias("nu"))
+    rows = materialise(placed.select("band", "id", "own", apart.alias("apart")).join(materialise(sizes, "near-dup-sizes"), "band"), "near-dup-blocks")
+    ids = rows.select("id").distinct()
+    known = heads.join(_sets_of(docs, ids), "id").select("id", "bands", "sketch", "members")
+
+    def dealt(count: str, seed: int):
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count)).cast("int")
+
+    every = F.sequence(F.lit(0), F.col("nu") - 1)
+    asked = rows.where("apart").select("band", "id", "own", "apart", F.lit(True).alias("asks"), dealt("nu", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    met = rows.select("band", "id", "own", "apart", F.lit(False).alias("asks"), F.explode(every).alias("i"), dealt("nb", 2).alias("j"))
+    blocks = asked.unionAll(met).join(known, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def links(band: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """rows: (id, own, apart, asks, bands, sketch, members)"""
+        others = [r for r in rows if not r[3]]
+        if not others:
+            return
+        ids, own = np.array([r[0] for r in others]), np.array([r[1] for r in others])
+        is_apart = np.array([r[2] for r in others])
+        bands = np.array([r[4] for r in others])
+        sketch = np.frombuffer(b"".join(r[5] for r in others), np.uint8).reshape(len(others), -1)
+        sets = [np.frombuffer(r[6], np.uint64) for r in others]
+        lengths = np.array([len(x) for x in sets])
+        at = int(np.flatnonzero(bands[0] == band)[0])
+        for r in rows:
+            if not r[3]:
+                continue
+            mine = np.frombuffer(r[6], np.uint64)
+            # Two apart members ask about each other; the smaller one does it. Sizes alone rule some pairs out.
+            todo = (own != r[1]) & ~(is_apart & (ids < r[0])) & (100 * np.minimum(lengths, len(mine)) >= PERCENT * np.maximum(lengths, len(mine)))
+            todo = np.flatnonzero(todo)
+            todo = todo[_estimate(sketch[todo], np.frombuffer(r[5], np.uint8)) >= LEAST_ESTIMATE]
+            todo = todo[(bands[todo] == np.array(r[4])).argmax(axis=1) == at]
+            for k in todo.tolist():
+                if alike(mine, sets[k]):
+                    yield min(r[0], others[k][0]), max(r[0], others[k][0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in slices(batches, "members"):
+            found: list[tuple[int, int]] = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:3] != key and held:
+                    found += links(key[0], held)
+                    held = []
+                key = row[:3]
+                held.append(row[3:])
+            yield _pairs(found)
+        yield _pairs(list(links(key[0], held)) if held else [])
+
+    columns = ["band", "i", "j", "id", "own", "apart", "asks", "bands", "sketch", "members"]
+    return materialise(map_batches(blocks.select(*columns), run, "a long, b long").distinct(), "near-dup-rest-links")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 
@@ -220,14 +294,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("band", "id", "leader", F.coalesce("_own", "id").alias("own"), F.coalesce("_lead", "leader").alias("lead"))
     )
     placed = materialise(placed, "near-dup-placed")
-    apart = placed.where("own <> lead").select("band", F.col("id").alias("x"), F.col("own").alias("x_own"))
-    if not apart.isEmpty():
-        others = placed.where("id <> leader").select("band", F.col("id").alias("y"), F.col("own").alias("y_own"))
-        rest = apart.join(others, "band").where("x_own <> y_own")
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = _confirmed(docs, rest, sketches, "near-dup-rest")
-        if not more.isEmpty():
-            found = components(links.unionAll(more))
+    more = _block_links(docs, placed, heads)
+    if not more.isEmpty():
+        found = components(links.unionAll(more))
 
     reached = found.select(F.col("node").alias("id"), "component")
     group = materialise(classes.join(reached, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "near-dup-groups")
