@@ -34,7 +34,7 @@ from passagelake.llm.common import map_batches, slices
 from passagelake.session import scratch_path
 
 #: Entries of a worker's table of frequent pieces; a full table is emptied.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 800_000
 MANIFEST = "part int, n_docs long, n_null long, n_tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -63,28 +63,44 @@ class Encoder:
         self.tokenizer.no_padding()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.begins[number] = token.startswith(space)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each with a space before it, from one text: a token that begins with a space begins a piece."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, self.type)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(pieces):
+            raise ValueError("a token of the vocabulary has a space inside")
+        data, width = ids.tobytes(), self.type.itemsize
+        ends = [*(starts[1:] * width).tolist(), len(data)]
+        return [data[a:b] for a, b in zip((starts * width).tolist(), ends, strict=True)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. The first piece of a text stands without a space, the others with one."""
-        cut = []
+        cut, missing = [], set()
         for text in texts:
             pieces = text.split(" ")
-            # An empty piece is no key, and a key was checked when it was added.
-            if not all(p in self.known or _UNIT.fullmatch(p) for p in pieces):
+            new = set(pieces[1:]).difference(self.known)
+            if not _UNIT.fullmatch(pieces[0]) or not all(map(_UNIT.fullmatch, new)):  # known pieces were checked before
                 pieces = _CUT.split(text)
+                new = set(pieces[1:]).difference(self.known)
+            missing |= new
             cut.append(pieces)
+        plain, spaced = [p for p in missing if " " not in p], [p for p in missing if " " in p]
+        found = dict(zip(plain, self._pieces(plain), strict=True)) if plain else {}
+        found |= zip(spaced, self._library([" " + p for p in spaced]), strict=True)
+        # The last piece of a text that was cut by the pattern may end with white space; such a piece is not kept.
+        odd = {p: found.pop(p) for p in list(found) if len(p) > 64 or not _UNIT.fullmatch(p)}
+        self.known |= found
         firsts = self._library([pieces[0] for pieces in cut])
-        extra: dict[str, bytes] = {}
-        missing = list({p for pieces in cut for p in pieces[1:] if p not in self.known})
-        for piece, ids in zip(missing, self._library([" " + p for p in missing]), strict=True):
-            (self.known if len(piece) <= 64 and _UNIT.fullmatch(piece) else extra)[piece] = ids
-        if extra:
-            out = [b"".join([first, *[self.known[p] if p in self.known else extra[p] for p in pieces[1:]]]) for first, pieces in zip(firsts, cut, strict=True)]
-        else:
-            out = [b"".join([first, *map(self.known.__getitem__, pieces[1:])]) for first, pieces in zip(firsts, cut, strict=True)]
+        look_up = (lambda p: odd[p] if p in odd else self.known[p]) if odd else self.known.__getitem__
+        out = [b"".join([first, *map(look_up, pieces[1:])]) for first, pieces in zip(firsts, cut, strict=True)]
         if len(self.known) > TABLE_SIZE:
             self.known.clear()
         return out
