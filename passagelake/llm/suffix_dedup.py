@@ -4,10 +4,12 @@ Each byte covered by a string of ``LENGTH`` bytes that also starts earlier is re
 same task by their smallest hash of ``GRAM`` neighbouring bytes: consecutive strings with the same smallest hash form a
 segment, keyed by it, so a text has about one segment for every 36 bytes. Three passes over the texts:
 
-1. The keys, packed as numbers, are dealt by their leading bits; keys that occur in two different texts, or twice in
-   one, set bits of a filter of fixed size. A key in exact copies only counts once.
-2. Segments whose key passes the filter are dealt by key, with their bytes. A task drops equal segments, builds a
-   suffix array of what is left, compares neighbours, and reports the strings that are not the first of their kind.
+1. The keys, packed as numbers with a hash of their segment, are dealt by their leading bits; keys that occur in two
+   different texts, or twice in one, set bits of a filter of fixed size, and of a second one if their segments differ. A
+   key in exact copies only counts once.
+2. Segments whose key passes the first filter are dealt by key, with their bytes only if it passes the second one too:
+   otherwise all of them are equal. A task drops equal segments, builds a suffix array of what is left, compares
+   neighbours, and reports the strings that are not the first of their kind.
 3. The reported ranges meet the texts that have any.
 
 The suffix array is built in two stages: suffixes smaller than their successors are sorted directly, the rest is
@@ -32,8 +34,8 @@ GRAM = 32
 _SPAN = LENGTH - GRAM + 1  # grams in a string
 #: Bytes of segments that a suffix array is built over; whole keys only.
 CHUNK = 1 << 20
-#: Bits of the filter of repeated keys: 32 MB, whatever the corpus. A fuller filter lets more segments through.
-FILTER_BITS = 28
+#: Bits of the two filters of repeated keys: 16 MB each, whatever the corpus. Fuller ones let more segments through.
+FILTER_BITS = 27
 #: Packed keys that a task of the first pass meets at a time, in bytes of text.
 FLUSH = 32 << 20
 #: Text bytes for each bucket of the first pass.
@@ -63,14 +65,14 @@ class _Powers:
 _powers = _Powers()
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first string and number of strings of every segment of a text.
+def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first string, number of strings and a hash of the bytes of every segment of a text.
 
     The strings of a segment share their leftmost gram of smallest hash, so a segment has ``LENGTH - GRAM + 1``
-    strings at most and a key that occurs twice in a text gives two segments.
+    strings at most, no two of them equal, and a key that occurs twice in a text gives two segments.
     """
     if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     up, down = _powers.get(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
@@ -85,7 +87,10 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size += step
     left = grams[: len(key) - 1] == key[:-1]  # the next string has lost this gram
     starts = np.flatnonzero(np.concatenate([[True], left | (key[1:] != key[:-1])]))
-    return key[starts], starts, np.diff(np.append(starts, len(key)))
+    counts = np.diff(np.append(starts, len(key)))
+    ends = starts + counts - 1 + LENGTH
+    whole = (sums[ends] - sums[starts]) * down[starts] + counts.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    return key[starts], starts, counts, whole
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -166,41 +171,54 @@ def _bytes_of(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+def _name(data: bytes) -> int:
+    """64 bits of a text's MD5; with ``doc_id`` it tells rows apart."""
+    return int.from_bytes(hashlib.md5(data).digest()[:8], "big", signed=True)
+
+
+def _by_key(key: np.ndarray, text: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys with their least and largest text and segment hash."""
+    rank = np.argsort(key, kind="stable")
+    key, text, whole = key[rank], text[rank], whole[rank]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = [f.reduceat(x, first) for x in (text, whole) for f in (np.minimum, np.maximum)]
+    return key[first], *ends
+
+
 def _repeated_keys(docs: DataFrame) -> np.ndarray:
-    """Filter bits of the keys that occur in two different texts or twice in one."""
+    """Two rows of filter bits: keys that occur in two different texts or twice in one, and those whose segments differ."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(6, int(np.ceil(np.log2(size / BUCKET_TEXT + 1)))), 16)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, held = [], [], 0
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            """Of each key the smallest and the largest text; a key has two entries at most."""
-            key, text = np.concatenate(keys), np.concatenate(texts)
-            rank = np.lexsort((text, key))
-            key, text = key[rank], text[rank]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            last = np.concatenate([first[1:], [True]])
-            kept = first | (last & (text != text[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]))
-            key, text = key[kept], text[kept]
-            ends = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+            """One entry of each key, and a second one that differs if its texts or segments do."""
+            key, least, most, low, high = _by_key(*map(np.concatenate, zip(*found, strict=True)))
+            again = least != most  # segments differ only if texts do
+            entries = np.stack([np.concatenate([key, key[again]]), np.concatenate([least, most[again]]), np.concatenate([low, high[again]])])
+            entries = entries[:, np.argsort(entries[0], kind="stable")]
+            ends = np.searchsorted(entries[0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             used = [b for b in range(1 << bits) if ends[b] < ends[b + 1]]
-            packed = [np.stack([key[ends[b] : ends[b + 1]], text[ends[b] : ends[b + 1]]]).tobytes() for b in used]
+            packed = [entries[:, ends[b] : ends[b + 1]].tobytes() for b in used]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
         for batch in slices(batches):
             for data in _bytes_of(batch):
-                found = np.sort(segments(data)[0])
-                if len(found):
-                    name = np.frombuffer(hashlib.md5(data).digest()[:8], np.uint64)
-                    twice = found[1:][found[1:] == found[:-1]]
-                    keys += [found, twice]
-                    texts += [np.repeat(name, len(found)), np.repeat(~name, len(twice))]
+                key, _, _, whole = segments(data)
+                if len(key):
+                    rank = np.argsort(key, kind="stable")
+                    key, whole = key[rank], whole[rank]
+                    name = np.full(len(key), _name(data), np.int64).view(np.uint64)
+                    name[1:][key[1:] == key[:-1]] ^= np.uint64(0xFFFFFFFFFFFFFFFF)
+                    found.append((key, name, whole))
                 held += len(data)
-            if held >= FLUSH and keys:
+            if held >= FLUSH and found:
                 yield flush()
-                keys, texts, held = [], [], 0
-        if keys:
+                found, held = [], 0
+        if found:
             yield flush()
 
     width = 1 << (FILTER_BITS - bits)
@@ -209,14 +227,13 @@ def _repeated_keys(docs: DataFrame) -> np.ndarray:
         bucket, held = None, []
 
         def filled() -> pa.RecordBatch:
-            both = np.concatenate([np.frombuffer(h, np.uint64).reshape(2, -1) for h in held], axis=1)
-            rank = np.lexsort((both[1], both[0]))
-            key, text = both[0][rank], both[1][rank]
-            again = np.flatnonzero((key[1:] == key[:-1]) & (text[1:] != text[:-1])) + 1
-            slot = (key[again] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - bucket * width
-            flags = np.zeros(width, np.uint8)
-            flags[slot] = 1
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["bucket", "bits"])
+            entries = np.concatenate([np.frombuffer(h, np.uint64).reshape(3, -1) for h in held], axis=1)
+            key, least, most, low, high = _by_key(*entries)
+            slot = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - bucket * width
+            flags = np.zeros((2, width), np.uint8)
+            flags[0, slot[least != most]] = 1
+            flags[1, slot[low != high]] = 1
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(flags, axis=1).tobytes()], pa.binary())], ["bucket", "bits"])
 
         for batch in batches:
             for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
@@ -229,37 +246,36 @@ def _repeated_keys(docs: DataFrame) -> np.ndarray:
             yield filled()
 
     dealt = map_batches(docs.select("text"), deal, "bucket int, packed binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-    out = np.zeros((1 << bits, width // 8), np.uint8)
-    for row in map_batches(dealt, gather, "bucket int, bits binary").toLocalIterator():  # FILTER_BITS bits in all
-        out[row.bucket] = np.frombuffer(row.bits, np.uint8)
-    return out.ravel()
+    out = np.zeros((2, 1 << bits, width // 8), np.uint8)
+    for row in map_batches(dealt, gather, "bucket int, bits binary").toLocalIterator():  # both filters in all
+        out[:, row.bucket] = np.frombuffer(row.bits, np.uint8).reshape(2, -1)
+    return out.reshape(2, -1)
 
 
-_RANGE = "doc_id long, name binary, start long, end long"
-_SEGMENT = "key long, doc_id long, name binary, start long, strings int, segment binary"
+_RANGE = "doc_id long, name long, start long, end long"
+_SEGMENT = "key long, doc_id long, name long, start long, strings int, segment binary"
 
 
 def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 4
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.int64()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "name", "start", "end"])
 
 
 def _resolve(rows: list[tuple]) -> Iterator[tuple]:
-    """Ranges covered by later strings among segments ``(key, doc_id, name, start, strings, segment)`` of whole keys."""
-    firsts: dict[bytes, tuple] = {}
+    """Ranges covered by later strings among segments ``(key, doc_id, name, start, strings, segment)`` of whole keys.
+
+    An empty segment is one of a key whose segments are all equal.
+    """
+    firsts: dict[bytes | int, tuple] = {}
     for row in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
-        first = firsts.setdefault(row[5], row)
+        first = firsts.setdefault(row[5] or row[0], row)
         if first[1:4] != row[1:4]:  # the same segment starts earlier
             yield row[1], row[2], row[3], row[3] + row[4] - 1 + LENGTH
     by_key: dict[int, list[tuple]] = {}
     for row in firsts.values():
         by_key.setdefault(row[0], []).append(row)
-    kept = [
-        r for group in by_key.values()
-        if len(group) > 1 or len({group[0][5][i : i + LENGTH] for i in range(group[0][4])}) < group[0][4]
-        for r in group
-    ]
+    kept = [r for group in by_key.values() if len(group) > 1 for r in group]
     if not kept:
         return
     names = {n: i for i, n in enumerate(sorted({(r[1], r[2]) for r in kept}))}
@@ -276,11 +292,11 @@ def _ranges(docs: DataFrame) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(_repeated_keys(docs))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=16 << 20):
-            firsts: dict[bytes, tuple] = {}
-            later: dict[tuple[int, bytes], list[list[int]]] = {}
+        for batch in slices(batches, most=8 << 20):
+            firsts: dict[bytes | int, tuple] = {}
+            later: dict[tuple[int, int], list[list[int]]] = {}
 
-            def cover(doc_id: int, name: bytes, start: int, count: int, later=later) -> None:
+            def cover(doc_id: int, name: int, start: int, count: int, later=later) -> None:
                 """Joins the strings of a segment that starts earlier elsewhere to the document's ranges."""
                 found = later.setdefault((doc_id, name), [])
                 if found and found[-1][0] <= start <= found[-1][1]:
@@ -289,30 +305,29 @@ def _ranges(docs: DataFrame) -> DataFrame:
                     found.append([start, start + count - 1 + LENGTH])
 
             for doc_id, data in zip(_id_of(batch), _bytes_of(batch), strict=True):
-                keys, starts, counts = segments(data)
+                keys, starts, counts, _ = segments(data)
                 slot = keys >> np.uint64(64 - FILTER_BITS)
-                hit = (shipped.value[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1
-                hit = np.flatnonzero(hit)
-                name = hashlib.md5(data).digest() if len(hit) else b""
+                place, shift = slot >> np.uint64(3), (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)
+                repeated, differ = ((bits[place] >> shift) & 1 for bits in shipped.value)
+                hit = np.flatnonzero(repeated)
+                name = _name(data) if len(hit) else 0
                 for first in range(0, len(hit), 1 << 16):
                     block = hit[first : first + (1 << 16)]
-                    for key, start, count in zip(keys[block].view(np.int64).tolist(), starts[block].tolist(), counts[block].tolist(), strict=True):
-                        segment = data[start : start + count - 1 + LENGTH]
-                        other = firsts.get(segment)
-                        if other is None:
-                            firsts[segment] = (key, doc_id, name, start, count, segment)
-                        elif (doc_id, name, start) == other[1:4]:
-                            continue  # a repeated row
-                        elif (doc_id, name, start) < other[1:4]:
-                            firsts[segment] = (key, doc_id, name, start, count, segment)
+                    columns = (keys[block].view(np.int64), starts[block], counts[block], differ[block])
+                    for key, start, count, with_bytes in zip(*[c.tolist() for c in columns], strict=True):
+                        segment = data[start : start + count - 1 + LENGTH] if with_bytes else b""
+                        row = (key, doc_id, name, start, count, segment)
+                        other = firsts.setdefault(segment or key, row)
+                        if row[1:4] < other[1:4]:
+                            firsts[segment or key] = row
                             cover(*other[1:5])
-                        else:
+                        elif row[1:4] > other[1:4]:  # else the same segment, or that of a repeated row
                             cover(doc_id, name, start, count)
             # Ranges are dealt by where they are, so that those of one frequent key are spread.
             out: list[tuple] = [(d ^ a << 20, d, n, a, b - a + 1 - LENGTH, None) for (d, n), found in later.items() for a, b in found]
             out += firsts.values()
             columns = list(zip(*out, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "doc_id", "name", "start", "strings", "segment"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +344,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
                     rows, held = [], 0
                 last = row[0]
                 rows.append(row)
-                held += len(row[5])
+                held += len(row[5]) + 32
             yield _range_batch(done)
         yield _range_batch(list(_resolve(rows)))
 
@@ -352,9 +367,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     ranges = materialise(_ranges(docs), "repeats-ranges")
     order = F.coalesce("doc_id", F.lit(_LAST))
-    named = docs.where(F.octet_length("text") >= LENGTH).select(order.alias("doc_id"), F.unhex(F.md5("text")).alias("name"))
-    firsts = materialise(named.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats-firsts")
-    copies = named.join(firsts, "name").where("doc_id > first").select("doc_id", "name").distinct()
+    named = docs.where(F.octet_length("text") >= LENGTH).select(order.alias("doc_id"), F.unhex(F.md5("text")).alias("md5"))
+    firsts = materialise(named.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats-firsts")
+    name = F.conv(F.substring(F.hex("md5"), 1, 16), 16, -10).cast("long")  # as in _name
+    copies = named.join(firsts, "md5").where("doc_id > first").select("doc_id", name.alias("name")).distinct()
     merged = ranges.groupBy("doc_id", "name").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     merged = merged.select("doc_id", "name", F.transform("ranges", lambda r: r["start"]).alias("starts"), F.transform("ranges", lambda r: r["end"]).alias("ends"))
     marks = materialise(
@@ -378,7 +394,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("place"),
-                    pa.array([hashlib.md5(d).digest() for d in data], pa.binary()),
+                    pa.array([_name(d) for d in data], pa.int64()),
                     pa.array([len(d) for d in data], pa.int64()),
                     pa.array([not h for h in hit], pa.bool_()),
                     pa.array([d if h or with_text else None for d, h in zip(data, hit, strict=True)], pa.binary()),
@@ -389,7 +405,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     placed = docs.withColumn("place", order)
     placed = placed.withColumn("bit", F.bitmap_bit_position(_slot(F.col("place")))).withColumn("bucket", F.bitmap_bucket_number(_slot(F.col("place"))))
-    texts = map_batches(placed, sort_out, "doc_id long, place long, name binary, n_bytes long, whole boolean, text binary, whole_sha256 string")
+    texts = map_batches(placed, sort_out, "doc_id long, place long, name long, n_bytes long, whole boolean, text binary, whole_sha256 string")
     joined = texts.join(marks.withColumnRenamed("doc_id", "place").hint("shuffle_hash"), ["place", "name"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

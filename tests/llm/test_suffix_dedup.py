@@ -43,7 +43,7 @@ def test_segments_hold_every_string_once():
     rng = random.Random(2)
     for _ in range(60):
         data = bytes(rng.choice(b"ab" if rng.random() < 0.5 else b"abcdefgh") for _ in range(rng.randint(0, 600)))
-        keys, starts, counts = sd.segments(data)
+        keys, starts, counts, _ = sd.segments(data)
         assert counts.sum() == max(0, len(data) - 99) and (counts <= sd._SPAN).all()
         by_string = {}
         for key, start, count in zip(keys, starts, counts, strict=True):
