@@ -38,6 +38,8 @@ CHUNK = 1 << 20
 FILTER_BITS = 27
 #: Packed keys that a task of the first pass meets at a time, in bytes of text.
 FLUSH = 32 << 20
+#: Text bytes whose equal segments are combined before the second pass deals them.
+COMBINE = 64 << 20
 #: Text bytes for each bucket of the first pass.
 BUCKET_TEXT = 32 << 20
 #: Bits of the filter of documents with ranges.
@@ -292,7 +294,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(_repeated_keys(docs))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=COMBINE):
             firsts: dict[bytes | int, tuple] = {}
             later: dict[tuple[int, int], list[list[int]]] = {}
 
