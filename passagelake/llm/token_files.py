@@ -41,7 +41,10 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # Printable characters that are surely no white space; a space between two of them is where tokens start.
 _PLAIN = "!-~¡-¬®-ɏ"
 _CUT = re.compile(f"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
-_UNIT = re.compile(f"[{_PLAIN}](?:.*[{_PLAIN}])?", re.DOTALL)
+# A piece worth keeping: short, and with such characters at both ends.
+_UNIT = re.compile(f"[{_PLAIN}](?:.{{0,62}}[{_PLAIN}])?", re.DOTALL)
+# Pieces that are handed to the library as one text.
+_TOGETHER = 50
 
 
 class Encoder:
@@ -69,8 +72,9 @@ class Encoder:
             self.begins[number] = token.startswith(space)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each with a space before it, from one text: a token that begins with a space begins a piece."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, self.type)
+        """Ids of pieces, each with a space before it and none inside: a token that begins with a space begins a piece."""
+        texts = [" " + " ".join(pieces[k : k + _TOGETHER]) for k in range(0, len(pieces), _TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(pieces):
             raise ValueError("a token of the vocabulary has a space inside")
@@ -83,21 +87,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. The first piece of a text stands without a space, the others with one."""
-        cut, missing = [], set()
+        cut, fresh, odd = [], set(), set()
         for text in texts:
             pieces = text.split(" ")
-            new = set(pieces[1:]).difference(self.known)
-            if not _UNIT.fullmatch(pieces[0]) or not all(map(_UNIT.fullmatch, new)):  # known pieces were checked before
+            new = set(pieces[1:]).difference(self.known).difference(fresh)
+            if not all(map(_UNIT.fullmatch, new)):  # pieces that are known were checked before
                 pieces = _CUT.split(text)
-                new = set(pieces[1:]).difference(self.known)
-            missing |= new
+                new = set(pieces[1:]).difference(self.known).difference(fresh)
+                odd |= {p for p in new if " " in p or not _UNIT.fullmatch(p)}
+                new -= odd
+            fresh |= new
             cut.append(pieces)
-        plain, spaced = [p for p in missing if " " not in p], [p for p in missing if " " in p]
-        found = dict(zip(plain, self._pieces(plain), strict=True)) if plain else {}
-        found |= zip(spaced, self._library([" " + p for p in spaced]), strict=True)
-        # The last piece of a text that was cut by the pattern may end with white space; such a piece is not kept.
-        odd = {p: found.pop(p) for p in list(found) if len(p) > 64 or not _UNIT.fullmatch(p)}
-        self.known |= found
+        if fresh:
+            added = list(fresh)
+            self.known.update(zip(added, self._pieces(added), strict=True))
+        others = list(odd)
+        odd = dict(zip(others, self._library([" " + p for p in others]), strict=True))
         firsts = self._library([pieces[0] for pieces in cut])
         look_up = (lambda p: odd[p] if p in odd else self.known[p]) if odd else self.known.__getitem__
         out = [b"".join([first, *map(look_up, pieces[1:])]) for first, pieces in zip(firsts, cut, strict=True)]
