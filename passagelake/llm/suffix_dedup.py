@@ -71,7 +71,8 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """Key, first string, number of strings and a hash of the bytes of every segment of a text.
 
     The strings of a segment share their leftmost gram of smallest hash, so a segment has ``LENGTH - GRAM + 1``
-    strings at most, no two of them equal, and a key that occurs twice in a text gives two segments.
+    strings at most, no two of them equal, and a key that occurs twice in a text gives two segments. Smallest hashes
+    crowd near 0, so a key is one mixed again: its leading bits are even.
     """
     if len(data) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -92,7 +93,14 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     counts = np.diff(np.append(starts, len(key)))
     ends = starts + counts - 1 + LENGTH
     whole = (sums[ends] - sums[starts]) * down[starts] + counts.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    return key[starts], starts, counts, whole
+    return _mixed(key[starts]), starts, counts, whole
+
+
+def _mixed(key: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers that spreads neighbours."""
+    key = (key ^ (key >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    key = (key ^ (key >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return key ^ (key >> np.uint64(33))
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:

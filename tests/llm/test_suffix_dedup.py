@@ -51,6 +51,12 @@ def test_segments_hold_every_string_once():
                 assert by_string.setdefault(data[at : at + 100], key) == key
 
 
+def test_leading_bits_of_keys_are_even():
+    keys = sd.segments(np.random.default_rng(5).integers(0, 256, 1 << 20, np.uint8).tobytes())[0]
+    shares = np.bincount((keys >> np.uint64(58)).astype(int), minlength=64) / len(keys)
+    assert len(keys) > 20_000 and shares.min() > 0.01 and shares.max() < 0.025  # a 64th each
+
+
 def samples(seed):
     rng = random.Random(seed)
     base = ["".join(rng.choice("abcde é") for _ in range(400)) for _ in range(6)]
