@@ -9,7 +9,8 @@ segment, keyed by it, so a text has about one segment for every 36 bytes. Three
    key in exact copies only counts once.
 2. Segments whose key passes the first filter are dealt by key, with their bytes only if it passes the second one too:
    otherwise all of them are equal. A task drops equal segments, builds a suffix array of what is left, compares
-   neighbours, and reports the strings that are not the first of their kind.
+   neighbours, and reports the strings that are not the first of their kind. A key with very many segments that differ
+   is not dealt: its strings are, each by a hash of its bytes.
 3. The reported ranges meet the texts that have any.
 
 The suffix array is built in two stages: suffixes smaller than their successors are sorted directly, the rest is
@@ -34,6 +35,8 @@ GRAM = 32
 _SPAN = LENGTH - GRAM + 1  # grams in a string
 #: Bytes of segments that a suffix array is built over; whole keys only.
 CHUNK = 1 << 20
+#: Segments of a key from which its strings are dealt one by one; fewer than these fill no more than a suffix array.
+HOT = CHUNK // (LENGTH + _SPAN)
 #: Bits of the two filters of repeated keys: 16 MB each, whatever the corpus. Fuller ones let more segments through.
 FILTER_BITS = 27
 #: Packed keys that a task of the first pass meets at a time, in bytes of text.
@@ -187,16 +190,27 @@ def _name(data: bytes) -> int:
 
 
 def _by_key(key: np.ndarray, text: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys with their least and largest text and segment hash."""
+    """Distinct keys with the number of their entries, and their least and largest text and segment hash."""
     rank = np.argsort(key, kind="stable")
     key, text, whole = key[rank], text[rank], whole[rank]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = [f.reduceat(x, first) for x in (text, whole) for f in (np.minimum, np.maximum)]
-    return key[first], *ends
+    return key[first], np.diff(np.append(first, len(key))), *ends
 
 
-def _repeated_keys(docs: DataFrame) -> np.ndarray:
-    """Two rows of filter bits: keys that occur in two different texts or twice in one, and those whose segments differ."""
+def _different(key: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the number of their different segments."""
+    rank = np.lexsort((whole, key))
+    key, whole = key[rank], whole[rank]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
+    return np.unique(key[new], return_counts=True)
+
+
+def _repeated_keys(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two rows of filter bits, and the sorted keys with ``HOT`` segments or more that differ.
+
+    The bits are of keys that occur in two different texts or twice in one, and of those whose segments differ.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(6, int(np.ceil(np.log2(size / BUCKET_TEXT + 1)))), 16)
 
@@ -206,14 +220,27 @@ def _repeated_keys(docs: DataFrame) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             """One entry of each key, and a second one that differs if its texts or segments do."""
-            key, least, most, low, high = _by_key(*map(np.concatenate, zip(*found, strict=True)))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            key, sizes, least, most, low, high = _by_key(*columns)
             again = least != most  # segments differ only if texts do
             entries = np.stack([np.concatenate([key, key[again]]), np.concatenate([least, most[again]]), np.concatenate([low, high[again]])])
             entries = entries[:, np.argsort(entries[0], kind="stable")]
             ends = np.searchsorted(entries[0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             used = [b for b in range(1 << bits) if ends[b] < ends[b + 1]]
             packed = [entries[:, ends[b] : ends[b + 1]].tobytes() for b in used]
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+            several = np.sort(key[(sizes > 2) & (low != high)])  # more segments than entries
+            if len(several):
+                at = np.minimum(np.searchsorted(several, columns[0]), len(several) - 1)
+                chosen = several[at] == columns[0]
+                several, counts = _different(columns[0][chosen], columns[2][chosen])
+                several, counts = several[counts > 2], counts[counts > 2].astype(np.uint64) - np.uint64(2)
+                more = np.stack([several, counts])
+            else:
+                more = np.zeros((2, 0), np.uint64)
+            ends = np.searchsorted(more[0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+            further = [more[:, ends[b] : ends[b + 1]].tobytes() for b in used]
+            columns = [pa.array(used, pa.int32()), pa.array(packed, pa.binary()), pa.array(further, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "more"])
 
         for batch in slices(batches):
             for data in _bytes_of(batch):
@@ -234,32 +261,39 @@ def _repeated_keys(docs: DataFrame) -> np.ndarray:
     width = 1 << (FILTER_BITS - bits)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, further = None, [], []
 
         def filled() -> pa.RecordBatch:
             entries = np.concatenate([np.frombuffer(h, np.uint64).reshape(3, -1) for h in held], axis=1)
-            key, least, most, low, high = _by_key(*entries)
+            key, sizes, least, most, low, high = _by_key(*entries)
+            for more in (np.frombuffer(f, np.uint64).reshape(2, -1) for f in further):
+                sizes[np.searchsorted(key, more[0])] += more[1].astype(np.int64)  # a batch names a key once
+            hot = key[(low != high) & (sizes >= HOT)]
             slot = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - bucket * width
             flags = np.zeros((2, width), np.uint8)
             flags[0, slot[least != most]] = 1
             flags[1, slot[low != high]] = 1
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(flags, axis=1).tobytes()], pa.binary())], ["bucket", "bits"])
+            columns = [pa.array([bucket], pa.int32()), pa.array([np.packbits(flags, axis=1).tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "bits", "hot"])
 
         for batch in batches:
-            for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            for b, packed, more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if b != bucket and held:
                     yield filled()
-                    held = []
+                    held, further = [], []
                 bucket = b
                 held.append(packed)
+                further.append(more)
         if held:
             yield filled()
 
-    dealt = map_batches(docs.select("text"), deal, "bucket int, packed binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    dealt = map_batches(docs.select("text"), deal, "bucket int, packed binary, more binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     out = np.zeros((2, 1 << bits, width // 8), np.uint8)
-    for row in map_batches(dealt, gather, "bucket int, bits binary").toLocalIterator():  # both filters in all
+    hot = [np.zeros(0, np.uint64)]
+    for row in map_batches(dealt, gather, "bucket int, bits binary, hot binary").toLocalIterator():  # both filters in all
         out[:, row.bucket] = np.frombuffer(row.bits, np.uint8).reshape(2, -1)
-    return out.reshape(2, -1)
+        hot.append(np.frombuffer(row.hot, np.uint64))
+    return out.reshape(2, -1), np.sort(np.concatenate(hot))  # one hot key for some 200 KB of text at most
 
 
 _RANGE = "doc_id long, name long, start long, end long"
@@ -275,7 +309,8 @@ def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _resolve(rows: list[tuple]) -> Iterator[tuple]:
     """Ranges covered by later strings among segments ``(key, doc_id, name, start, strings, segment)`` of whole keys.
 
-    An empty segment is one of a key whose segments are all equal.
+    An empty segment is one of a key whose segments are all equal. One shorter than a string is the digest of a string
+    of a hot key.
     """
     firsts: dict[bytes | int, tuple] = {}
     for row in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
@@ -285,7 +320,7 @@ def _resolve(rows: list[tuple]) -> Iterator[tuple]:
     by_key: dict[int, list[tuple]] = {}
     for row in firsts.values():
         by_key.setdefault(row[0], []).append(row)
-    kept = [r for group in by_key.values() if len(group) > 1 for r in group]
+    kept = [r for group in by_key.values() if len(group) > 1 for r in group if len(r[5]) >= LENGTH]
     if not kept:
         return
     names = {n: i for i, n in enumerate(sorted({(r[1], r[2]) for r in kept}))}
@@ -318,7 +353,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
                 keys, starts, counts, _ = segments(data)
                 slot = keys >> np.uint64(64 - FILTER_BITS)
                 place, shift = slot >> np.uint64(3), (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)
-                repeated, differ = ((bits[place] >> shift) & 1 for bits in shipped.value)
+                repeated, differ = ((bits[place] >> shift) & 1 for bits in shipped.value[0])
                 hit = np.flatnonzero(repeated)
                 name = _name(data) if len(hit) else 0
                 for first in range(0, len(hit), 1 << 16):
@@ -333,6 +368,24 @@ def _ranges(docs: DataFrame) -> DataFrame:
                             cover(*other[1:5])
                         elif row[1:4] > other[1:4]:  # else the same segment, or that of a repeated row
                             cover(doc_id, name, start, count)
+            hot = shipped.value[1]
+            if len(hot) and firsts:
+                keys = np.array([row[0] for row in firsts.values()], np.int64).view(np.uint64)
+                found = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+                strings: dict[bytes, tuple] = {}
+                for segment in [s for s, h in zip(firsts, found.tolist(), strict=True) if h]:
+                    _, doc_id, name, start, count, _ = firsts.pop(segment)
+                    for at in range(count):
+                        digest = hashlib.md5(segment[at : at + LENGTH]).digest()
+                        mine = (doc_id, name, start + at)
+                        other = strings.setdefault(digest, mine)
+                        if mine < other:
+                            strings[digest] = mine
+                            cover(*other, 1)
+                        elif mine > other:
+                            cover(*mine, 1)
+                for digest, mine in strings.items():
+                    firsts[digest] = (int.from_bytes(digest[:8], "big", signed=True), *mine, 1, digest)
             # Ranges are dealt by where they are, so that those of one frequent key are spread.
             out: list[tuple] = [(d ^ a << 20, d, n, a, b - a + 1 - LENGTH, None) for (d, n), found in later.items() for a, b in found]
             out += firsts.values()

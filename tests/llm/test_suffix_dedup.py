@@ -4,6 +4,7 @@ import random
 import numpy as np
 from conftest_llm import SCHEMA
 from passagelake.llm import suffix_dedup as sd
+from pyspark.sql import functions as F
 
 
 def brute(rows):
@@ -88,6 +89,18 @@ def test_equals_brute_force_on_the_small_table(small):
     assert found(sd.remove_repeats(small)) == brute(rows)
 
 
+def test_one_phrase_in_many_surroundings_is_spread(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase, lefts = "".join(rng.choices("abcdefgh", k=95)), ["".join(rng.choices("stuvwxyz", k=70)) for _ in range(40)]
+    rows = [(i, rng.choice(lefts) + phrase + "".join(rng.choices("klmnop", k=60 + i % 9))) for i in range(9_000)]
+    frame = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA).repartition(4)
+    tables, plain = [], sd.map_batches
+    monkeypatch.setattr(sd, "map_batches", lambda df, run, schema: (tables.append(df), plain(df, run, schema))[1])
+    assert found(sd.remove_repeats(frame)) == brute(rows)
+    dealt = next(t for t in tables if {"key", "segment"} <= set(t.columns))
+    assert dealt.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("n")).agg(F.max("n")).first()[0] <= sd.CHUNK
+
+
 def test_kept_bytes(spark):
     text = "".join(random.Random(4).choices("abcdefgh", k=300))
     frame = spark.createDataFrame([(1, text, "", "", 0), (2, "new " + text[50:200] + " end", "", "", 0), (3, text, "", "", 0), (4, "own", "", "", 0)], SCHEMA)
