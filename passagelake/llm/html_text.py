@@ -37,6 +37,9 @@ NAMED = re.compile(
     r"popup|modal|overlay|comments?|commentlist|replies|reply|respond|discussion|disqus|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|widget|toolbar|pagination|pager|contentinfo|complementary)(?:$|[\s_-]|\d)",
     re.IGNORECASE,
 )
+#: Names that tell what lies inside or is missing, and a header, which inside the main text is its own.
+ABOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S*", re.IGNORECASE)
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-]|\d)", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 
 #: A path is content if its score is at least this share of the best path's.
@@ -57,6 +60,7 @@ class Block:
     main: bool
     text: str
     linked: int
+    named: tuple[int, ...] = ()
 
 
 class Blocks(HTMLParser):
@@ -64,7 +68,8 @@ class Blocks(HTMLParser):
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, int, bool, bool]] = []  # tag, label, element, other, main
+        self.stack: list[tuple[str, str, int, bool, bool, bool]] = []  # tag, label, element, other, main, named
+        self.holders: set[int] = set()  # named elements around a main element or a title
         self.found: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -75,6 +80,7 @@ class Blocks(HTMLParser):
         self.feed(re.sub(r"<[a-zA-Z/][^<>]*$", "", page))  # and an open tag is none
         self.close()
         self.flush()
+        self.release()
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -84,10 +90,34 @@ class Blocks(HTMLParser):
                 Block(
                     tuple(e[1] for e in around), tuple(e[2] for e in around),
                     any(e[3] for e in self.stack), any(e[4] for e in self.stack), text, min(self.linked, len(text)),
+                    tuple(e[2] for e in self.stack if e[5]),
                 )
             )
         self.parts, self.linked = [], 0
 
+    def release(self) -> None:
+        """Blocks in named elements become others, except where such an element is a frame around the main text.
+
+        That is one with more text than all that is free, if no main element is free, and if it holds a main element or
+        a title or nothing is free at all.
+        """
+        while True:
+            free = [b for b in self.found if not b.other and not b.named]
+            sizes: dict[int, int] = {}
+            for b in self.found:
+                if b.named and not b.other:
+                    sizes[b.named[0]] = sizes.get(b.named[0], 0) + len(b.text) - b.linked
+            most = sum(len(b.text) - b.linked for b in free)
+            frames = [e for e, n in sizes.items() if n > most and (e in self.holders or not free)]
+            if not frames or any(b.main for b in free):
+                break
+            frame = max(frames, key=sizes.__getitem__)
+            for b in self.found:
+                if b.named[:1] == (frame,):
+                    b.named = b.named[1:]
+        for b in self.found:
+            b.other = b.other or bool(b.named)
+
     def drop(self, place: int) -> None:
         """Closes the element at a place of the stack and all inside it."""
         if any(e[0] not in INLINE for e in self.stack[place:]):
@@ -122,9 +152,13 @@ class Blocks(HTMLParser):
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         main = tag in ("article", "main") or "main" in named.split()
         within = any(e[4] for e in self.stack)
-        other = tag in OTHER or hidden or tag == "header" and not within or bool(NAMED.search(named)) and tag not in ("html", "body", "article", "main")
+        other = tag in OTHER or hidden or tag == "header" and not within
+        words = ABOUT.sub("", named)
+        says = bool(NAMED.search(HEADER.sub("", words) if within else words))
+        if (main and not says or tag == "h1") and not other and not any(e[3] for e in self.stack):
+            self.holders.update(e[2] for e in self.stack if e[5])
         self.count += 1
-        self.stack.append((tag, f"{tag}.{named}" if named else tag, self.count, other, main))
+        self.stack.append((tag, f"{tag}.{named}" if named else tag, self.count, other, main, says and tag not in ("html", "body", "article", "main")))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)

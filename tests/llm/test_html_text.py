@@ -44,6 +44,22 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='layout has-sidebar'><article><p>{PARAGRAPH}</p></article><div class=sidebar><p>{PARAGRAPH}</p></div></div>", PARAGRAPH),
+        (f"<div class='content no-comments'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
+        (f"<div id=page class='left-sidebar'><article><p>{PARAGRAPH}</p></article><div class=comments><p>{PARAGRAPH}</p></div></div><p>Legal.</p>", PARAGRAPH),
+        (f"<div id=page class='left-sidebar'><div id=content><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></div>", f"{PARAGRAPH}\n{PARAGRAPH}"),
+        (f"<article><header class='entry-header'><h1>Title</h1></header><div class='section-header'><h2>Part</h2></div><p>{PARAGRAPH}</p></article>", f"Title\nPart\n{PARAGRAPH}"),
+        (f"<article><p>{PARAGRAPH}</p></article><div class=related><article><p>{PARAGRAPH} {PARAGRAPH}</p></article></div>", PARAGRAPH),
+        (f"<div id=content><p>{PARAGRAPH}</p></div><ol class=comments><li><article class='comment-body'><p>{PARAGRAPH} {PARAGRAPH}</p></article></ol>", PARAGRAPH),
+    ],
+)
+def test_names_of_frames_and_headers(page, text):
+    assert main_text(page) == text
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, f"<article><p>{PARAGRAPH * 3_000}</p></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
