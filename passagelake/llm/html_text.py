@@ -4,7 +4,8 @@ A page is cut into blocks, each with its path of tags from the root. For every p
 the length inside links and the punctuation of its blocks are summed; the ratio of text and the ratio of
 punctuation to the number of blocks are fused, smoothed over neighbouring blocks and averaged for each path again.
 Paths above a share of the best one are content. What lies in the smallest element around the content is the main
-text, without the parts that its tags or attributes name as something else.
+text, without the parts that its tags or attributes name as something else. Where that is the whole page, the main text
+reaches from the first to the last block of content. Lists of links in it stay.
 
 Pages are independent of each other: nothing is shuffled.
 """
@@ -46,8 +47,6 @@ PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 SHARE = 0.2
 #: Weight of paths inside an element that says it is the main text.
 MAIN_WEIGHT = 20.0
-#: A block of a content element with more of its text in links is a list of links.
-MAX_LINKS = 0.8
 
 
 @dataclass
@@ -214,19 +213,16 @@ def main_text(page: str) -> str:
     around = content[0].elements
     for b in content:
         around = around[: next((i for i, (x, y) in enumerate(zip(around, b.elements, strict=False)) if x != y), min(len(around), len(b.elements)))]
-    paths = {b.path for b in content}
-    # Inside a single block or right below <body> the paths decide; inside an element all of it is taken.
+    # Inside a single block or right below <body> all between its ends is taken; inside an element all of it.
     depth = len(around)
     whole = depth > 0 and content[0].path[depth - 1].split(".")[0] not in ("html", "body") and (depth < len(content[0].path) or len(content) > 1)
     if not whole and depth == len(content[0].path) and depth > 1 and content[0].path[depth - 2].split(".")[0] not in ("html", "body"):
         around, whole = around[:-1], True  # one block of content: its element's other blocks belong to it
         depth -= 1
-    kept = [
-        b for b in blocks
-        if not b.other
-        and (b.elements[:depth] == around if whole else b.path in paths)
-        and (b.path in paths or b.linked <= MAX_LINKS * len(b.text))
-    ]
+    if not whole:
+        places = [i for i, b in enumerate(blocks) if not b.other and scores[b.path] >= SHARE * best]
+        blocks = blocks[places[0] : places[-1] + 1]
+    kept = [b for b in blocks if not b.other and (not whole or b.elements[:depth] == around)]
     return "\n".join(b.text for b in kept)
 
 

@@ -60,6 +60,17 @@ def test_names_of_frames_and_headers(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("count", [1, 3, 5, 12])
+def test_lists_in_the_main_text_stay(count):
+    linked, plain = ("".join(f"<li>{t}" for _ in range(count)) for t in ("<a href=x>Source</a>", "short item"))
+    prose = f"<p>{PARAGRAPH}</p>" * 3
+    lines = [PARAGRAPH] * 3
+    assert main_text(f"<article>{prose}<ul>{linked}</ul></article>").split("\n") == lines + ["Source"] * count
+    assert main_text(f"<div>{prose}<ul>{linked}</ul>{prose}</div>").split("\n") == lines + ["Source"] * count + lines
+    for items, text in ((linked, "Source"), (plain, "short item")):
+        assert main_text(f"<body>{prose}<ul>{items}</ul>{prose}<nav>x</nav></body>").split("\n") == lines + [text] * count + lines
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, f"<article><p>{PARAGRAPH * 3_000}</p></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
