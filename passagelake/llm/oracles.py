@@ -76,5 +76,37 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     NOT base_failed AND {inside.replace("f.", "")} AS kept, n AS group_docs FROM chosen"""
 
 
+def _ngram_join() -> str:
+    """As for near-duplicates, with shingles of four words and a similarity of 0.85."""
+    body = NEAR_DUP.replace("len(words) < 5", "len(words) < 4").replace("len(words) - 4", "len(words) - 3").replace("i + 5]", "i + 4]")
+    return body.replace(">= 75 *", ">= 85 *").replace(", r.least = d.doc_id AS kept", "")
+
+
+def _centroids() -> str:
+    """Three rounds of means, and the last assignment."""
+    steps = [
+        """v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x) AND abs(x) < 2097152)) = 64)""",
+        """c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, p) - 1 AS INT) AS k, p FROM
+    (SELECT p, sha256('1:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, p LIMIT 16))""",
+    ]
+    for r in range(4):
+        steps.append(f"""a{r} AS (SELECT row, vec_id, v.p, k, list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, k) = 1)""")
+        if r < 3:
+            steps.append(f"""m{r} AS (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(range(64)) AS i, unnest(p) AS x FROM a{r}) GROUP BY ALL)""")
+            steps.append(f"""c{r + 1} AS (SELECT c.k, coalesce(q.p, c.p) AS p FROM c{r} c LEFT JOIN
+    (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM m{r} GROUP BY k) q USING (k))""")
+    return f"""
+WITH {", ".join(steps)},
+sums AS (SELECT k, CAST(sum(d) AS BIGINT) AS s FROM a3 GROUP BY k)
+SELECT vec_id, k AS cluster, CAST(d AS BIGINT) AS distance, s AS cluster_inertia, (SELECT CAST(sum(s) AS BIGINT) FROM sums) AS inertia,
+       sha256(array_to_string(c3.p, ',')) AS centroid_sha256
+FROM a3 JOIN sums USING (k) JOIN c3 USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": NEAR_DUP, "op8_quality_rules": _quality(), "op9_suffix_dedup": SUFFIX_DEDUP}
+    return {
+        "op2_near_dup": NEAR_DUP, "op8_quality_rules": _quality(), "op9_suffix_dedup": SUFFIX_DEDUP,
+        "op12_ngram_join": _ngram_join(), "op13_centroids": _centroids(),
+    }
