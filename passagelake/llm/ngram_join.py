@@ -100,23 +100,28 @@ def _hits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-def meets(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
-    """Whether two prefixes of one order leave a link possible.
+def meets(x: np.ndarray, n: int, y: np.ndarray, m: int, sizes: int | None = None) -> bool:
+    """Whether two prefixes of one order leave a link possible; ``n`` and ``m`` tokens are left from their begin on.
 
     They must share a token. Up to the end of the shorter reach both prefixes are complete, so the overlap is what
     they share there and at most all that follows. Places may be cut to their leading bits: equal ones then only
-    raise the bound.
+    raise the bound. ``sizes`` is the sum of the sets' sizes, where tokens that they don't share went before.
     """
     if not _hits(x, y).any():
         return False
     reach = min(x[-1], y[-1])
     a, b = int(np.searchsorted(x, reach)), int(np.searchsorted(y, reach))
     both = int(_hits(x[:a], y[:b]).sum()) if a and b else 0
-    return bool(linked(both + min(n - a, m - b), n, m))
+    return bool(linked(both + min(n - a, m - b), sizes or n + m, 0))
+
+
+def node_of(members: np.ndarray) -> int:
+    """Name of a set: equal sets have the same, two different ones about once in 10**19 pairs."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).view(np.int64))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest`` of every document, and rows with ``piece, counts``: tokens of a task by slot."""
+    """``doc_id, n_shingles, node`` of every document, and rows with ``piece, counts``: tokens of a task by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.uint32)
@@ -127,18 +132,18 @@ def measured(docs: DataFrame) -> DataFrame:
             n = batch.num_rows
             yield _record(
                 doc_id=batch.column("doc_id"), n_shingles=pa.array([len(s) for s in sets], pa.int64()),
-                digest=pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                node=pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 piece=pa.nulls(n, pa.int32()), counts=pa.nulls(n, pa.binary()),
             )
         pieces = total.reshape(-1, PIECE)
         used = np.flatnonzero(pieces.any(axis=1))
         none = len(used)
         yield _record(
-            doc_id=pa.nulls(none, pa.int64()), n_shingles=pa.nulls(none, pa.int64()), digest=pa.nulls(none, pa.binary()),
+            doc_id=pa.nulls(none, pa.int64()), n_shingles=pa.nulls(none, pa.int64()), node=pa.nulls(none, pa.int64()),
             piece=pa.array(used.astype(np.int32)), counts=pa.array([pieces[k].tobytes() for k in used], pa.binary()),
         )
 
-    schema = "doc_id long, n_shingles long, digest binary, piece int, counts binary"
+    schema = "doc_id long, n_shingles long, node long, piece int, counts binary"
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
@@ -173,7 +178,7 @@ def count_classes(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """``doc_id, digest, n, first, orders``: places in the first order, and the leading 32 bits of those in all."""
+    """``node, doc_id, n, first, others``: places in the first order, and the leading 32 bits of those in the others."""
     shipped = docs.sparkSession.sparkContext.broadcast(classes)  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,76 +186,119 @@ def _prefixed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             rows = [(d, m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if len(m := tokens(t or ""))]
             found = [prefixes(m, shipped.value) for _, m in rows]
             yield _record(
+                node=pa.array([node_of(m) for _, m in rows], pa.int64()),
                 doc_id=pa.array([d for d, _ in rows], pa.int64()),
-                digest=pa.array([xxhash.xxh3_128_digest(m.tobytes()) for _, m in rows], pa.binary()),
                 n=pa.array([len(m) for _, m in rows], pa.int64()),
                 first=pa.array([p[0].view(np.int64) for p in found], pa.list_(pa.int64())),
-                orders=pa.array([(p >> np.uint64(32)).astype(np.uint32).tobytes() for p in found], pa.binary()),
+                others=pa.array([_leading(p[1:]).tobytes() for p in found], pa.binary()),
             )
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return map_batches(rows, run, "doc_id long, digest binary, n long, first array<long>, orders binary")
+    return map_batches(rows, run, "node long, doc_id long, n long, first array<long>, others binary")
+
+
+def _leading(places: np.ndarray) -> np.ndarray:
+    return (places >> np.uint64(32)).astype(np.uint32)
+
+
+class _Filter:
+    """Bits of the slots of some keys, for finding rows that may have one of them without a shuffle.
+
+    Its size follows the number of keys up to a limit; beyond it more rows pass, which the join after it drops.
+    """
+
+    def __init__(self, keys: DataFrame, slot):
+        """``slot(bits)`` gives the slot of a row of ``keys``."""
+        self.bits = min(max(1 << (16 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+        place = (slot(self.bits) + 1).alias("place")  # Spark counts bits from 1
+        parts = keys.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+        table, size = np.zeros(self.bits // 8, np.uint8), 4_096
+        for row in parts.toLocalIterator():  # bits / 32768 rows of 4 KB
+            table[(row.bucket - 1) * size : row.bucket * size] = np.frombuffer(bytes(row.bits), np.uint8)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def __call__(self, slots: np.ndarray) -> np.ndarray:
+        return (self.table.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
+def _id_slot(bits: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+
+
+def _members(prefixed: DataFrame, shared: DataFrame) -> DataFrame:
+    """``token, node, n, pos, least`` of the shared tokens in first-order prefixes, once for each set."""
+    passes = _Filter(shared, lambda bits: F.col("token").bitwiseAND(bits - 1))  # tokens are evenly mixed already
+    most = passes.bits - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column("first")
+            flat, sizes = first.flatten().to_numpy(), np.diff(first.offsets.to_numpy())
+            hit = np.flatnonzero(passes(flat & most))
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            pos = hit - (np.cumsum(sizes) - sizes)[row]
+            node, n = (batch.column(c).to_numpy()[row] for c in ("node", "n"))
+            yield _record(token=pa.array(flat[hit]), node=pa.array(node), n=pa.array(n), pos=pa.array(pos.astype(np.int64)))
+
+    found = map_batches(prefixed.select("node", "n", "first"), run, "token long, node long, n long, pos long")
+    return found.join(shared, "token").distinct()
+
+
+def _heads(prefixed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Prefixes of the documents ``node, doc_id`` in ``wanted``."""
+    passes = _Filter(wanted, _id_slot)
+    schema = prefixed.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column("slot").to_numpy()))).drop_columns(["slot"])
+
+    near = map_batches(prefixed.withColumn("slot", _id_slot(passes.bits)), run, schema)
+    return near.join(wanted, ["node", "doc_id"]).dropDuplicates(["node"])  # a row may be repeated with its id
 
 
 def _meeting(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose prefixes leave a link possible in all orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(batch: pa.RecordBatch, side: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+            for n, first, others in zip(*[batch.column(f"{c}_{side}") for c in ("n", "first", "others")], strict=True):
+                others = np.frombuffer(others.as_py(), np.uint32).reshape(ORDERS - 1, -1)
+                yield n.as_py(), [first.values.to_numpy().view(np.uint64), *others]
+
         for batch in batches:
-            sides = [
-                [(n, np.frombuffer(o, np.uint32).reshape(ORDERS, -1)) for n, o in zip(batch.column(f"n_{s}").to_pylist(), batch.column(f"orders_{s}").to_pylist(), strict=True)]
-                for s in ("a", "b")
+            hit = [
+                all(meets(p, n, q, m) for p, q in zip(x, y, strict=True))
+                for (n, x), (m, y) in zip(sets(batch, "a"), sets(batch, "b"), strict=True)
             ]
-            hit = [all(meets(x[k], n, y[k], m) for k in range(ORDERS)) for (n, x), (m, y) in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     def side(name: str) -> DataFrame:
-        return heads.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("orders").alias(f"orders_{name}"))
+        return heads.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "first", "others")])
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return map_batches(joined.select("a", "b", "n_a", "n_b", "orders_a", "orders_b"), run, "a long, b long")
+    return map_batches(joined.select("a", "b", *[f"{c}_{s}" for s in "ab" for c in ("n", "first", "others")]), run, "a long, b long")
 
 
-def _members_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, members`` (sorted tokens) for ``node, doc_id, digest`` in ``wanted``.
-
-    Documents are found by a bit filter that grows with their number to a limit, so texts are not shuffled to find
-    them; beyond the limit more texts pass it, which the join drops.
-    """
-    bits = min(max(1 << (16 * wanted.count()).bit_length(), LEAST_BITS), MOST_BITS)
-
-    def slot(column: str):
-        return F.pmod(F.xxhash64(column), F.lit(bits))
-
-    slots = wanted.select(slot("doc_id").alias("slot"))
-    parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    size = 4_096
-    table = np.zeros(bits // 8 + 2 * size, np.uint8)
-    for row in parts.toLocalIterator():  # bits / 32768 rows of 4 KB
-        table[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(bytes(row.bits), np.uint8)
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, members`` (sorted tokens) of the documents ``node, doc_id`` in ``wanted``."""
+    passes = _Filter(wanted, _id_slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            bit, where = batch.column("bit").to_numpy(), batch.column("bucket").to_numpy()
-            hit = (shipped.value[where * size + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            chosen = batch.filter(pa.array(hit.astype(bool)))
+            chosen = batch.filter(pa.array(passes(batch.column("slot").to_numpy())))
             sets = [tokens(t or "") for t in chosen.column("text").to_pylist()]
-            yield _record(
-                doc_id=chosen.column("doc_id"), digest=pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                members=pa.array([s.tobytes() for s in sets], pa.binary()),
-            )
+            yield _record(node=pa.array([node_of(x) for x in sets], pa.int64()), doc_id=chosen.column("doc_id"), members=pa.array([x.tobytes() for x in sets], pa.binary()))
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    rows = rows.withColumn("bit", F.bitmap_bit_position(slot("doc_id"))).withColumn("bucket", F.bitmap_bucket_number(slot("doc_id")))
-    return map_batches(rows, run, "doc_id long, digest binary, members binary").join(wanted, ["doc_id", "digest"]).select("node", "members")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("slot", _id_slot(passes.bits))
+    return map_batches(rows, run, "node long, doc_id long, members binary").join(wanted, ["node", "doc_id"]).select("node", "members")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame, label: str) -> DataFrame:
     """Links ``a, b`` among candidates, on full sets."""
     chosen = materialise(pairs, f"{label}-candidates")
-    nodes = materialise(chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads.select("node", "doc_id", "digest"), "node"), f"{label}-nodes")
-    sets = _members_of(docs, nodes)
+    nodes = materialise(chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads.select("node", "doc_id"), "node"), f"{label}-nodes")
+    sets = _sets_of(docs, nodes)
     # a row repeated with its id gives its set more than once, and then a link more than once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +317,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame, label: str) -
 def _block_pairs(placed: DataFrame, heads: DataFrame) -> DataFrame:
     """Candidates between members that are apart from their bucket's leader and members of other components.
 
-    A bucket's apart members are dealt to blocks, and so are all its members; every block of the first kind meets
-    every block of the second. A pair counts in the bucket of the first token that it shares.
+    A bucket's apart members are dealt to blocks, and so are all its members but the leader, with whom all were
+    compared; every block of the first kind meets every block of the second. A pair counts in the bucket of the
+    first token that it shares.
     """
     apart = F.col("own") != F.col("lead")
-    sizes = placed.groupBy("token").agg(F.count("*").alias("n_all"), F.count_if(apart).alias("n_apart")).where("n_apart > 0")
-    sizes = sizes.select("token", F.ceil(F.col("n_all") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("n_apart") / BLOCK).cast("int").alias("nu"))
-    rows = placed.select("token", "node", "n", "pos", "own", apart.alias("apart")).join(materialise(sizes, "ngram-sizes"), "token")
-    rows = materialise(rows, "ngram-blocks")
+    rest = placed.where("node <> leader").select("token", "node", "n", "pos", "own", apart.alias("apart"))
+    sizes = rest.groupBy("token").agg(F.count("*").alias("n_all"), F.count_if("apart").alias("n_apart"), F.min("own").alias("lo"), F.max("own").alias("hi"))
+    sizes = sizes.where("n_apart > 0 AND lo < hi").select("token", F.ceil(F.col("n_all") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("n_apart") / BLOCK).cast("int").alias("nu"))
+    rows = materialise(rest.join(materialise(sizes, "ngram-sizes"), "token"), "ngram-blocks")
 
     def dealt(count: str, seed: int):
         return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
@@ -287,28 +336,29 @@ def _block_pairs(placed: DataFrame, heads: DataFrame) -> DataFrame:
     columns = ["token", "node", "n", "pos", "own", "apart"]
     asked = rows.where("apart").select(*columns, F.lit(True).alias("asks"), dealt("nu", 1).alias("i"), every("nb").alias("j"))
     met = rows.select(*columns, F.lit(False).alias("asks"), every("nu").alias("i"), dealt("nb", 2).alias("j"))
-    blocks = asked.unionAll(met).join(heads.select("node", "first"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    before = F.slice("first", F.lit(1), F.col("pos").cast("int")).alias("before")
+    after = F.transform(F.slice("first", F.col("pos").cast("int") + 1, F.size("first")), lambda x: F.shiftrightunsigned(x, 32)).cast("array<int>")
+    blocks = asked.unionAll(met).join(heads.select("node", "first"), "node").select(*columns, "asks", "i", "j", before, after.alias("after"))
+    blocks = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def candidates(token: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        """rows: (node, n, pos, own, apart, asks, first)"""
+    def candidates(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """rows: (node, n, pos, own, apart, asks, before, after)"""
         others = [r for r in rows if not r[5]]
         if not others:
             return
         node, n, pos, own, is_apart = (np.array([r[k] for r in others]) for k in range(5))
-        first: list[np.ndarray | None] = [None] * len(others)
-        place = np.int64(token).view(np.uint64)
+        sides: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(others)
         for r in rows:
             if not r[5]:
                 continue
             # Two apart members ask about each other; the smaller one does it. If this is the first token that they
             # share, the overlap is at most what follows it.
             todo = (own != r[3]) & ~(is_apart & (node < r[0])) & linked(np.minimum(n - pos, r[1] - r[2]), n, r[1])
-            mine = np.array(r[6], np.int64).view(np.uint64)
+            mine = _sides(r)
             for k in np.flatnonzero(todo).tolist():
-                if first[k] is None:
-                    first[k] = np.array(others[k][6], np.int64).view(np.uint64)
-                theirs = first[k]
-                if mine[_hits(mine, theirs)][0] == place and meets(mine, r[1], theirs, others[k][1]):
+                theirs = sides[k] = sides[k] or _sides(others[k])
+                sooner = len(theirs[0]) and _hits(mine[0], theirs[0]).any()
+                if not sooner and meets(mine[1], r[1] - r[2], theirs[1], others[k][1] - others[k][2], r[1] + others[k][1]):
                     yield min(r[0], others[k][0]), max(r[0], others[k][0])
 
     def pack(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -320,14 +370,19 @@ def _block_pairs(placed: DataFrame, heads: DataFrame) -> DataFrame:
             found: list[tuple[int, int]] = []
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[:3] != key and held:
-                    found += candidates(key[0], held)
+                    found += candidates(held)
                     held = []
                 key = row[:3]
                 held.append(row[3:])
             yield pack(found)
-        yield pack(list(candidates(key[0], held)) if held else [])
+        yield pack(list(candidates(held)) if held else [])
+
+    return map_batches(blocks.select("token", "i", "j", *columns[1:], "asks", "before", "after"), run, "a long, b long")
 
-    return map_batches(blocks.select("token", "i", "j", *columns[1:], "asks", "first"), run, "a long, b long").distinct()
+
+def _sides(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """A member's places before its bucket's token, and the leading bits of the others."""
+    return np.array(row[6], np.int64).view(np.uint64), np.array(row[7], np.int32).view(np.uint32)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -338,23 +393,21 @@ def join(docs: DataFrame) -> DataFrame:
     equal ``doc_id`` are judged one by one by their texts. An empty table gives no rows.
     """
     every = materialise(measured(docs), "ngram-measured")
-    sizes = every.where("piece is null").select("doc_id", "n_shingles", "digest")
-    alike = sizes.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    alike = materialise(alike.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")  # numbered once, as stored
-
-    heads = _prefixed(docs, count_classes(every)).join(alike, ["digest", "doc_id"])
-    heads = materialise(heads.dropDuplicates(["node"]).select("node", "doc_id", "digest", "n", "first", "orders"), "ngram-heads")
+    sizes = every.where("piece is null").select("doc_id", "n_shingles", "node")
+    alike = materialise(sizes.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
+    prefixed = materialise(_prefixed(docs, count_classes(every)), "ngram-prefixes")
 
-    postings = heads.select("node", "n", F.posexplode("first").alias("pos", "token"))
+    postings = prefixed.select("node", "n", F.explode("first").alias("token"))
     shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least"))
     shared = materialise(shared.where("lo < hi").select("token", "least"), "ngram-tokens")
     # Rarer tokens of a member are missing in the partner that it first shares this token with.
     smallest = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
     possible = linked(F.col("n") - F.col("pos"), F.col("n"), smallest)
-    members = materialise(postings.join(shared, "token").where(possible).select("token", "node", "n", "pos"), "ngram-members")
+    members = materialise(_members(prefixed, shared).where(possible).select("token", "node", "n", "pos"), "ngram-members")
 
     leaders = members.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("lead"), F.count("*").alias("_size")).where("_size > 1")
     members = materialise(members.join(materialise(leaders.select("token", "lead"), "ngram-leaders"), "token"), "ngram-led")
+    heads = materialise(_heads(prefixed, materialise(members.select("node").distinct().join(alike, "node"), "ngram-wanted")), "ngram-heads")
     near = linked(F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")), F.col("n"), F.col("lead.n"))
     pairs = members.where((F.col("node") != F.col("lead.node")) & near).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(docs, _meeting(pairs, heads), heads, "ngram-first")
@@ -365,15 +418,15 @@ def join(docs: DataFrame) -> DataFrame:
 
     placed = members.select("token", "node", "n", "pos", F.col("lead.node").alias("leader"))
     placed = placed.join(label("node", "_own"), "node", "left").join(label("leader", "_lead"), "leader", "left")
-    placed = placed.select("token", "node", "n", "pos", F.coalesce("_own", "node").alias("own"), F.coalesce("_lead", "leader").alias("lead"))
+    placed = placed.select("token", "node", "leader", "n", "pos", F.coalesce("_own", "node").alias("own"), F.coalesce("_lead", "leader").alias("lead"))
     rest = _meeting(_block_pairs(materialise(placed, "ngram-placed"), heads), heads)
     more = _verified(docs, rest, heads, "ngram-rest")
     if not more.isEmpty():
         found = components(links.unionAll(more))
 
     reached = found.select("node", "component")
-    group = materialise(alike.join(reached, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component")), "ngram-groups")
+    group = materialise(alike.join(reached, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "ngram-groups")
     least = materialise(group.groupBy("component").agg(F.min("doc_id").alias("least")), "ngram-least")
-    group = materialise(group.join(least, "component").select("digest", "least"), "ngram-named")
-    out = sizes.join(group, "digest", "left")
+    group = materialise(group.join(least, "component").select("node", "least"), "ngram-named")
+    out = sizes.join(group, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
