@@ -5,7 +5,8 @@ Two linked sets of sizes ``n`` and ``m`` share a token among the first ``n - cei
 in a table of fixed size, where several tokens share a slot: an order stays an order) and mixes the tokens of a
 class by a seed of its own. The first order deals sets to buckets, one for each token of the prefix; a pair is
 a candidate only if its prefixes meet in all the orders and leave enough tokens for the overlap that a link
-needs. Candidates are verified on their full sets.
+needs, and if the parities of the sets (a bit a token) don't differ in too many places. Candidates are verified on
+their full sets.
 
 Sets that are equal form a class and only classes are compared, first with the member of each bucket that has the
 fewest rarer tokens. Members thereby in its component need no other pair of the bucket; the rest meets the members
@@ -100,19 +101,44 @@ def _hits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-def meets(x: np.ndarray, n: int, y: np.ndarray, m: int, sizes: int | None = None) -> bool:
-    """Whether two prefixes of one order leave a link possible; ``n`` and ``m`` tokens are left from their begin on.
+def meets(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
+    """Whether two prefixes of one order leave a link possible.
 
     They must share a token. Up to the end of the shorter reach both prefixes are complete, so the overlap is what
     they share there and at most all that follows. Places may be cut to their leading bits: equal ones then only
-    raise the bound. ``sizes`` is the sum of the sets' sizes, where tokens that they don't share went before.
+    raise the bound.
     """
     if not _hits(x, y).any():
         return False
     reach = min(x[-1], y[-1])
     a, b = int(np.searchsorted(x, reach)), int(np.searchsorted(y, reach))
     both = int(_hits(x[:a], y[:b]).sum()) if a and b else 0
-    return bool(linked(both + min(n - a, m - b), sizes or n + m, 0))
+    return bool(linked(both + min(n - a, m - b), n, m))
+
+
+def parity(members: np.ndarray) -> bytes:
+    """One bit for each slot, set where an odd number of tokens falls; about as many slots as tokens.
+
+    Tokens that two sets don't share differ in at least as many places as their parities do.
+    """
+    slots = max(64, 1 << (len(members) - 1).bit_length())
+    odd = np.bincount((members & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Parities (one a row, or a single one) with fewer slots."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def near_parity(x: np.ndarray, n: int, y: np.ndarray, m):
+    """Whether sets with these parities and sizes can be linked; y and m may hold several."""
+    width = min(x.shape[-1], y.shape[-1])
+    apart = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=-1, dtype=np.int64)
+    return linked((n + m - apart) // 2, n, m)
 
 
 def node_of(members: np.ndarray) -> int:
@@ -178,7 +204,7 @@ def count_classes(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """``node, doc_id, n, first, others``: places in the first order, and the leading 32 bits of those in the others."""
+    """``node, doc_id, n, first, others, parity``: first-order places, the leading 32 bits of those in other orders."""
     shipped = docs.sparkSession.sparkContext.broadcast(classes)  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +217,11 @@ def _prefixed(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 n=pa.array([len(m) for _, m in rows], pa.int64()),
                 first=pa.array([p[0].view(np.int64) for p in found], pa.list_(pa.int64())),
                 others=pa.array([_leading(p[1:]).tobytes() for p in found], pa.binary()),
+                parity=pa.array([parity(m) for _, m in rows], pa.binary()),
             )
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return map_batches(rows, run, "node long, doc_id long, n long, first array<long>, others binary")
+    return map_batches(rows, run, "node long, doc_id long, n long, first array<long>, others binary, parity binary")
 
 
 def _leading(places: np.ndarray) -> np.ndarray:
@@ -244,40 +271,48 @@ def _members(prefixed: DataFrame, shared: DataFrame) -> DataFrame:
     return found.join(shared, "token").distinct()
 
 
-def _heads(prefixed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Prefixes of the documents ``node, doc_id`` in ``wanted``."""
+def _heads(prefixed: DataFrame, alike: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Prefixes of some sets, each from the one document that stands for it."""
+    wanted = materialise(nodes.join(alike, "node"), "ngram-wanted")
     passes = _Filter(wanted, _id_slot)
-    schema = prefixed.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passes(batch.column("slot").to_numpy()))).drop_columns(["slot"])
 
-    near = map_batches(prefixed.withColumn("slot", _id_slot(passes.bits)), run, schema)
-    return near.join(wanted, ["node", "doc_id"]).dropDuplicates(["node"])  # a row may be repeated with its id
+    near = map_batches(prefixed.withColumn("slot", _id_slot(passes.bits)), run, prefixed.schema)
+    own = near.join(wanted.withColumnRenamed("doc_id", "_id"), "node").where("doc_id = _id").drop("_id")
+    return own.dropDuplicates(["node"])  # a row may be repeated with its id
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-def _meeting(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+
+def _meeting(pairs: DataFrame, prefixed: DataFrame, alike: DataFrame, label: str) -> DataFrame:
     """Pairs ``a, b`` whose prefixes leave a link possible in all orders."""
+    pairs = materialise(pairs, f"{label}-pairs")
+    heads = materialise(_heads(prefixed, alike, _ends(pairs)), f"{label}-heads")
+    columns = ["n", "first", "others", "parity"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(batch: pa.RecordBatch, side: str) -> Iterator[tuple[int, list[np.ndarray]]]:
-            for n, first, others in zip(*[batch.column(f"{c}_{side}") for c in ("n", "first", "others")], strict=True):
-                others = np.frombuffer(others.as_py(), np.uint32).reshape(ORDERS - 1, -1)
-                yield n.as_py(), [first.values.to_numpy().view(np.uint64), *others]
+    def sets(batch: pa.RecordBatch, side: str) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        for n, first, others, bits in zip(*[batch.column(f"{c}_{side}") for c in columns], strict=True):
+            others = np.frombuffer(others.as_py(), np.uint32).reshape(ORDERS - 1, -1)
+            yield n.as_py(), np.frombuffer(bits.as_py(), np.uint8), [first.values.to_numpy().view(np.uint64), *others]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = [
-                all(meets(p, n, q, m) for p, q in zip(x, y, strict=True))
-                for (n, x), (m, y) in zip(sets(batch, "a"), sets(batch, "b"), strict=True)
+                all(meets(p, n, q, m) for p, q in zip(x, y, strict=True)) and bool(near_parity(a, n, b, m))
+                for (n, a, x), (m, b, y) in zip(sets(batch, "a"), sets(batch, "b"), strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     def side(name: str) -> DataFrame:
-        return heads.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "first", "others")])
+        return heads.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return map_batches(joined.select("a", "b", *[f"{c}_{s}" for s in "ab" for c in ("n", "first", "others")]), run, "a long, b long")
+    return map_batches(joined.select("a", "b", *[f"{c}_{s}" for s in "ab" for c in columns]), run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -294,11 +329,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(rows, run, "node long, doc_id long, members binary").join(wanted, ["node", "doc_id"]).select("node", "members")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame, label: str) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, alike: DataFrame, label: str) -> DataFrame:
     """Links ``a, b`` among candidates, on full sets."""
     chosen = materialise(pairs, f"{label}-candidates")
-    nodes = materialise(chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads.select("node", "doc_id"), "node"), f"{label}-nodes")
-    sets = _sets_of(docs, nodes)
+    sets = _sets_of(docs, materialise(_ends(chosen).join(alike, "node"), f"{label}-nodes"))
     # a row repeated with its id gives its set more than once, and then a link more than once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,12 +348,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, heads: DataFrame, label: str) -
     return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links")
 
 
-def _block_pairs(placed: DataFrame, heads: DataFrame) -> DataFrame:
+def _block_pairs(placed: DataFrame, parities: DataFrame) -> DataFrame:
     """Candidates between members that are apart from their bucket's leader and members of other components.
 
     A bucket's apart members are dealt to blocks, and so are all its members but the leader, with whom all were
-    compared; every block of the first kind meets every block of the second. A pair counts in the bucket of the
-    first token that it shares.
+    compared; every block of the first kind meets every block of the second. What the members' parities leave is
+    very nearly linked, so few pairs are given, and few of them by several buckets.
     """
     apart = F.col("own") != F.col("lead")
     rest = placed.where("node <> leader").select("token", "node", "n", "pos", "own", apart.alias("apart"))
@@ -336,30 +370,30 @@ def _block_pairs(placed: DataFrame, heads: DataFrame) -> DataFrame:
     columns = ["token", "node", "n", "pos", "own", "apart"]
     asked = rows.where("apart").select(*columns, F.lit(True).alias("asks"), dealt("nu", 1).alias("i"), every("nb").alias("j"))
     met = rows.select(*columns, F.lit(False).alias("asks"), every("nu").alias("i"), dealt("nb", 2).alias("j"))
-    before = F.slice("first", F.lit(1), F.col("pos").cast("int")).alias("before")
-    after = F.transform(F.slice("first", F.col("pos").cast("int") + 1, F.size("first")), lambda x: F.shiftrightunsigned(x, 32)).cast("array<int>")
-    blocks = asked.unionAll(met).join(heads.select("node", "first"), "node").select(*columns, "asks", "i", "j", before, after.alias("after"))
-    blocks = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    blocks = asked.unionAll(met).join(parities, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def candidates(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        """rows: (node, n, pos, own, apart, asks, before, after)"""
+        """rows: (node, n, pos, own, apart, asks, parity)"""
         others = [r for r in rows if not r[5]]
         if not others:
             return
         node, n, pos, own, is_apart = (np.array([r[k] for r in others]) for k in range(5))
-        sides: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(others)
+        widths = np.array([len(r[6]) for r in others])
+        bits = {w: np.frombuffer(b"".join(r[6] for r in others if len(r[6]) == w), np.uint8).reshape(-1, w) for w in set(widths.tolist())}
         for r in rows:
             if not r[5]:
                 continue
             # Two apart members ask about each other; the smaller one does it. If this is the first token that they
             # share, the overlap is at most what follows it.
             todo = (own != r[3]) & ~(is_apart & (node < r[0])) & linked(np.minimum(n - pos, r[1] - r[2]), n, r[1])
-            mine = _sides(r)
-            for k in np.flatnonzero(todo).tolist():
-                theirs = sides[k] = sides[k] or _sides(others[k])
-                sooner = len(theirs[0]) and _hits(mine[0], theirs[0]).any()
-                if not sooner and meets(mine[1], r[1] - r[2], theirs[1], others[k][1] - others[k][2], r[1] + others[k][1]):
-                    yield min(r[0], others[k][0]), max(r[0], others[k][0])
+            mine = np.frombuffer(r[6], np.uint8)
+            for width, matrix in bits.items():
+                here = np.flatnonzero(widths == width)
+                some = todo[here]
+                if some.any():
+                    here = here[some]
+                    for k in here[near_parity(mine, r[1], matrix[some], n[here])].tolist():
+                        yield min(r[0], others[k][0]), max(r[0], others[k][0])
 
     def pack(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return _record(a=pa.array([x for x, _ in found], pa.int64()), b=pa.array([y for _, y in found], pa.int64()))
@@ -377,12 +411,7 @@ def _block_pairs(placed: DataFrame, heads: DataFrame) -> DataFrame:
             yield pack(found)
         yield pack(list(candidates(held)) if held else [])
 
-    return map_batches(blocks.select("token", "i", "j", *columns[1:], "asks", "before", "after"), run, "a long, b long")
-
-
-def _sides(row: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """A member's places before its bucket's token, and the leading bits of the others."""
-    return np.array(row[6], np.int64).view(np.uint64), np.array(row[7], np.int32).view(np.uint32)
+    return map_batches(blocks.select("token", "i", "j", *columns[1:], "asks", "parity"), run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -407,10 +436,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     leaders = members.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("lead"), F.count("*").alias("_size")).where("_size > 1")
     members = materialise(members.join(materialise(leaders.select("token", "lead"), "ngram-leaders"), "token"), "ngram-led")
-    heads = materialise(_heads(prefixed, materialise(members.select("node").distinct().join(alike, "node"), "ngram-wanted")), "ngram-heads")
     near = linked(F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")), F.col("n"), F.col("lead.n"))
     pairs = members.where((F.col("node") != F.col("lead.node")) & near).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(docs, _meeting(pairs, heads), heads, "ngram-first")
+    links = _verified(docs, _meeting(pairs, prefixed, alike, "ngram-first"), alike, "ngram-first")
     found = components(links)
 
     def label(column: str, alias: str) -> DataFrame:
@@ -419,8 +447,9 @@ def join(docs: DataFrame) -> DataFrame:
     placed = members.select("token", "node", "n", "pos", F.col("lead.node").alias("leader"))
     placed = placed.join(label("node", "_own"), "node", "left").join(label("leader", "_lead"), "leader", "left")
     placed = placed.select("token", "node", "leader", "n", "pos", F.coalesce("_own", "node").alias("own"), F.coalesce("_lead", "leader").alias("lead"))
-    rest = _meeting(_block_pairs(materialise(placed, "ngram-placed"), heads), heads)
-    more = _verified(docs, rest, heads, "ngram-rest")
+    parities = prefixed.select("node", "parity").join(members.select("node").distinct(), "node", "left_semi").distinct()
+    rest = _block_pairs(materialise(placed, "ngram-placed"), parities)
+    more = _verified(docs, _meeting(rest, prefixed, alike, "ngram-rest"), alike, "ngram-rest")
     if not more.isEmpty():
         found = components(links.unionAll(more))
 

@@ -93,7 +93,7 @@ def test_pairs_beyond_the_leader_are_found(spark, monkeypatch):
 def test_prefixes_of_linked_sets_always_meet():
     rng = np.random.default_rng(5)
     classes = rng.integers(1, 20, 1 << ngram_join.SLOT_BITS).astype(np.uint8)
-    missed = 0
+    missed = far = 0
     for _ in range(600):
         both = rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)
         x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, rng.integers(0, 25)).astype(np.uint64)])) for _ in "xy")
@@ -101,11 +101,14 @@ def test_prefixes_of_linked_sets_always_meet():
         meet = [ngram_join.meets(p[k], len(x), q[k], len(y)) for k in range(ngram_join.ORDERS)]
         cut = [ngram_join.meets(p[k] >> np.uint64(60), len(x), q[k] >> np.uint64(60), len(y)) for k in range(ngram_join.ORDERS)]
         assert all(c or not m for m, c in zip(meet, cut, strict=True))
+        bits = [np.frombuffer(ngram_join.parity(s), np.uint8) for s in (x, y)]
+        close = ngram_join.near_parity(bits[0], len(x), bits[1], len(y))
         if ngram_join.linked(len(np.intersect1d(x, y)), len(x), len(y)):
-            assert all(meet)
+            assert all(meet) and close
         else:
             missed += not all(meet)
-    assert missed > 100
+            far += not close
+    assert missed > 100 and far > 100
 
 
 def test_one_id_with_two_texts(spark):
