@@ -95,6 +95,12 @@ VIEWS: dict[str, str] = {
                CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'string'
                                ELSE concat('src', CAST(vec_id % 23 AS STRING)) END AS filtre, embedding
         FROM {embeddings}""",
+    # one vector of each label, without limit or with one of 10,001
+    "v_wide_queries": """
+        SELECT CAST(e.label AS BIGINT) AS query_id, CASE WHEN e.label % 2 = 1 THEN 10001 END AS top_n,
+               CASE WHEN e.label % 3 = 2 THEN concat('src', CAST(e.label AS STRING)) END AS filtre, e.embedding
+        FROM {embeddings} e JOIN (SELECT label, min(vec_id) AS vec_id FROM {embeddings} GROUP BY label) f
+             ON f.vec_id = e.vec_id""",
     "v_uploads": """
         SELECT doc_id AS upload_id, CAST(substr(source, 4) AS INT) + 1 AS collection_id,
                concat('Doc ', CAST(doc_id % 300 AS STRING), '.',

@@ -5,29 +5,41 @@ Arrow batches, keeps the best ``top_n`` per query and emits only those. What is
 shuffled for the final ranking is therefore at most ``top_n`` rows per query
 and task, never a vector and never the full set of pairs.
 
-Queries beyond the broadcast budget are run block by block, each block's
-partial results being written to the shared folder.
+Queries beyond the broadcast budget make several blocks, which one scan of the
+chunks runs together: a task takes its chunks in pieces of bounded size, goes
+through all blocks for each piece, emits the piece's hits and keeps only the
+distance that a later hit has to beat. Hits of a query without limit, or with a
+very large one, are ranked by ranges and not in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagelake.functions.text import optional_filter
 from passagelake.functions.vectors import dim_ok
+from passagelake.operators.ranking import rank_in_groups
 from passagelake.session import materialise, scratch_path
 
 # Bytes of vectors and running results that one broadcast block may hold.
 BLOCK_BYTES = 128 << 20
-# A query asking for more hits than this is not tracked in a task's memory: all
-# its distances are emitted and the window ranks them.
-MAX_TRACKED = 10_000
+# Blocks of one scan, and bytes of chunks that a task holds while it goes through them.
+SCAN_BLOCKS = 64
+PIECE_BYTES = 64 << 20
+# Bytes of a hit in a task's running results.
+HIT_BYTES = 40
+# Hits of a query that a window ranks in one task; more are ranked by ranges.
+RANKED_TOGETHER = 10_000
+# Hits that wait until they are merged into the running results, at least.
+WAITING_ROWS = 1_024
 # Queries compared per matrix product, and bytes of exact differences at a time.
 QUERY_STEP = 256
 REFINE_BYTES = 32 << 20
@@ -54,15 +66,17 @@ class QueryBlock:
     vectors: np.ndarray
     top_n: np.ndarray
     filters: list[str | None]
+    # hits of one query that fit a block's budget; a task emits all distances of a query that asks for more
+    most: int = BLOCK_BYTES // HIT_BYTES
 
     @property
     def wanted(self) -> np.ndarray:
         """Hits a task keeps per query, below 0 where it emits every distance."""
-        return np.where(self.top_n > MAX_TRACKED, -1, self.top_n)
+        return np.where(self.top_n > self.most, -1, self.top_n)
 
     def nbytes(self, dim: int) -> int:
         """Vectors in double precision, the running results of one task, and a row's overhead."""
-        return int((8 * dim + 40 * np.clip(self.top_n, 0, MAX_TRACKED) + 64).sum())
+        return int((8 * dim + HIT_BYTES * np.maximum(self.wanted, 0) + 64).sum())
 
     @property
     def filtered(self) -> bool:
@@ -103,32 +117,51 @@ def _chunks_of(batch: pa.RecordBatch, dim: int) -> tuple[pa.RecordBatch, np.ndar
     return batch.take(pa.array(kept)), matrix[kept].astype(np.float64)
 
 
-def _collect_block(queries: DataFrame, dim: int) -> QueryBlock:
+def _no_queries(dim: int) -> QueryBlock:
+    return QueryBlock(np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros(0, np.int64), [])
+
+
+def _collect_block(queries: DataFrame, dim: int, block_bytes: int = BLOCK_BYTES) -> QueryBlock:
     """A block's queries on the driver; callers have bounded their number."""
     table = queries.toArrow().combine_chunks()
     ids = table["query_id"].to_numpy()
     if len(ids) == 0:
-        return QueryBlock(ids, np.zeros((0, dim)), np.zeros(0, np.int64), [])
+        return _no_queries(dim)
     return QueryBlock(
         ids,
         vectors_of(pa.concat_arrays(table["embedding"].chunks), dim)[0],
         np.array([-1 if n is None else max(n, 0) for n in table["top_n"].to_pylist()], np.int64),
         table["filtre"].to_pylist(),
+        block_bytes // HIT_BYTES,
     )
 
 
 class _Hits:
-    """Best hits so far of one step of queries, sorted by query, distance, chunk."""
+    """Best hits so far of one step of queries, sorted by query, distance, chunk.
+
+    New hits wait until they are as many as those kept, so a large limit is not
+    sorted anew for each batch. ``limit`` is the squared distance to beat.
+    """
 
-    def __init__(self, wanted: np.ndarray):
+    def __init__(self, wanted: np.ndarray, limit: np.ndarray | None = None):
         self.wanted = wanted
-        self.limit = np.full(len(wanted), np.inf)
+        self.limit = np.full(len(wanted), np.inf) if limit is None else limit
         self.columns: tuple[np.ndarray, ...] = (
             np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0),
         )
-
-    def add(self, query, distance, chunk, document, cos) -> None:
-        merged = [np.concatenate(pair) for pair in zip(self.columns, (query, distance, chunk, document, cos))]
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.n_waiting = 0
+
+    def add(self, *hits: np.ndarray) -> None:
+        """Hits as columns: query, distance, chunk, document, cos."""
+        self.waiting.append(hits)
+        self.n_waiting += len(hits[0])
+        if self.n_waiting > max(WAITING_ROWS, len(self.columns[0])):
+            self.merge()
+
+    def merge(self) -> None:
+        merged = [np.concatenate(parts) for parts in zip(self.columns, *self.waiting)]
+        self.waiting, self.n_waiting = [], 0
         order = np.lexsort((merged[2], merged[1], merged[0]))
         merged = [column[order] for column in merged]
         starts = np.searchsorted(merged[0], np.arange(len(self.wanted)))
@@ -136,7 +169,7 @@ class _Hits:
         keep = rank < self.wanted[merged[0]]
         self.columns = tuple(column[keep] for column in merged)
         last = keep & (rank == self.wanted[merged[0]] - 1)
-        self.limit[merged[0][last]] = merged[1][last] ** 2
+        self.limit[merged[0][last]] = np.minimum(self.limit[merged[0][last]], merged[1][last] ** 2)
 
 
 def _copies(matrix: np.ndarray) -> np.ndarray:
@@ -210,13 +243,43 @@ def _groups(block: QueryBlock) -> list[tuple[str | None, np.ndarray]]:
     ]
 
 
-def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _over_blocks(shared: list[Broadcast], work: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work(block, batches, state)`` over a task's chunks, with a state of each block's own.
+
+    A single block sees all batches at once. Several see them piece by piece,
+    and a worker holds one of the blocks at a time.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: QueryBlock = block.value
+        states: list[dict] = [{} for _ in shared]
+        for piece in [batches] if len(shared) == 1 else _pieces(batches):
+            for broadcast, state in zip(shared, states):
+                yield from work(broadcast.value, piece, state)
+                if len(shared) > 1:
+                    vars(broadcast).pop("_value", None)  # the worker's copy; the executor's file stays
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    piece, size = [], 0
+    for batch in batches:
+        piece.append(batch)
+        size += batch.nbytes
+        if size >= PIECE_BYTES:
+            yield piece
+            piece, size = [], 0
+    if piece:
+        yield piece
+
+
+def _partial_top_k(dim: int) -> Callable:
+    slack = 8 * (dim + 8) * np.finfo(np.float64).eps
+
+    def work(queries: QueryBlock, batches, state: dict) -> Iterator[pa.RecordBatch]:
         groups = _groups(queries)
         wanted = queries.wanted
-        hits = [_Hits(wanted[members]) for _, members in groups]
-        slack = 8 * (dim + 8) * np.finfo(np.float64).eps
+        hits = [_Hits(wanted[members], state.get(g)) for g, (_, members) in enumerate(groups)]
 
         def emit(members, query, distance, chunk, document, cos) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -276,22 +339,14 @@ def _partial_top_k(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     distance, cos = _exact(q, x, query, row, q_norm, x_norm)
                     best.add(query, distance, chunk[row], document[row], cos)
 
-        for (_, members), best in zip(groups, hits):
+        for g, ((_, members), best) in enumerate(zip(groups, hits)):
+            if best.waiting:
+                best.merge()
+            state[g] = best.limit
             if len(best.columns[0]):
                 yield emit(members, *best.columns)
 
-    return run
-
-
-def _scan(block: QueryBlock, candidates: Callable[[set[str | None]], DataFrame], dim: int) -> DataFrame:
-    rows = candidates(set(block.filters))
-    if not len(block.query_id):
-        rows = rows.filter(F.lit(False))  # nothing asked, nothing read
-    broadcast = rows.sparkSession.sparkContext.broadcast(block)
-    columns = ["chunk_id", "document_id", "embedding"] + (["collection_name"] if block.filtered else [])
-    return rows.select(
-        *[F.col(c).cast("long") if c.endswith("_id") else F.col(c) for c in columns]
-    ).mapInArrow(_partial_top_k(broadcast, dim), PARTIAL_SCHEMA)
+    return work
 
 
 def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[QueryBlock]:
@@ -300,16 +355,20 @@ def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[Que
     fits = queries.count() * (8 * dim + 64) <= block_bytes
     queries = valid_queries(queries, dim)
     if fits:
-        block = _collect_block(queries, dim)
+        block = _collect_block(queries, dim, block_bytes)
         if block.nbytes(dim) <= block_bytes:
             yield block
             return
-    queries = materialise(queries, "queries")  # each block reads its part; encode the texts once
-    tracked = F.least(F.coalesce(F.greatest(F.col("top_n"), F.lit(0)), F.lit(0)), F.lit(MAX_TRACKED))
-    total = queries.agg(F.sum(8 * dim + 40 * tracked + 64)).first()[0]
+    spark, path = queries.sparkSession, scratch_path(queries.sparkSession, "queries")
+    queries = materialise(queries, "queries-encoded")  # encode the texts once
+    tracked = F.when(F.col("top_n") * F.lit(HIT_BYTES).cast("long") <= block_bytes, F.greatest("top_n", F.lit(0))).otherwise(0)
+    total = queries.agg(F.sum(8 * dim + HIT_BYTES * F.coalesce(tracked, F.lit(0)).cast("long") + 64)).first()[0]
     blocks = -(-int(total or 0) // block_bytes)
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    dealt.write.partitionBy("block").parquet(path)
+    stored = spark.read.schema(dealt.schema).parquet(path)
     for i in range(blocks):
-        block = _collect_block(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), dim)
+        block = _collect_block(stored.filter(F.col("block") == i).drop("block"), dim, block_bytes)  # one folder
         if len(block.query_id):
             yield block
 
@@ -322,46 +381,67 @@ def knn(
 ) -> DataFrame:
     """Best ``top_n`` chunks per query: ``query_id, chunk_id, document_id, distance, cos, rk``.
 
-    ``candidates(filters)`` gives the chunks to compare for a block of queries,
-    with a ``collection_name`` when some query filters on one.
+    ``candidates(filters)`` gives the chunks to compare for some blocks of
+    queries, with a ``collection_name`` when some query filters on one.
     """
-    parts, most = _by_block(
-        queries, dim, block_bytes, PARTIAL_SCHEMA, lambda block: _scan(block, candidates, dim)
+    columns = ["chunk_id", "document_id", "embedding"]
+    parts, limits = _by_block(queries, candidates, dim, block_bytes, PARTIAL_SCHEMA, columns, _partial_top_k(dim))
+    best_first = [F.asc_nulls_last("distance"), F.col("chunk_id").asc()]
+    many = [n for n in limits if n < 0 or n > RANKED_TOGETHER]
+    few = [n for n in limits if 0 <= n <= RANKED_TOGETHER]
+    is_few = F.col("top_n").between(0, RANKED_TOGETHER)
+    if many and few:
+        parts = materialise(parts, "partial")
+    ranked = (parts.filter(is_few) if many else parts).withColumn(
+        "rk", F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))
     )
-    best_first = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "chunk_id")
-    ranked = parts.withColumn("rk", F.row_number().over(best_first))
-    if most is not None:
-        # a literal bound lets Spark prune each task's rows before the shuffle
-        ranked = ranked.filter(F.col("rk") <= most)
+    # a literal bound lets Spark prune each task's rows before the shuffle
+    ranked = ranked.filter(F.col("rk") <= max(few, default=0))
+    if many:
+        wide = rank_in_groups(parts.filter(~is_few), ["query_id"], best_first, "ranked")
+        ranked = ranked.unionByName(wide) if few else wide
     return ranked.filter((F.col("top_n") < 0) | (F.col("rk") <= F.col("top_n"))).drop("top_n")
 
 
 def _by_block(
-    queries: DataFrame, dim: int, block_bytes: int, schema: str, scan: Callable[[QueryBlock], DataFrame]
-) -> tuple[DataFrame, int | None]:
-    """Partial results of all blocks, and the largest ``top_n`` unless some query has no limit.
+    queries: DataFrame, candidates: Callable[[set[str | None]], DataFrame], dim: int, block_bytes: int, schema: str,
+    columns: list[str], work: Callable,
+) -> tuple[DataFrame, set[int]]:
+    """Partial results of all blocks, and the limits that occur among the queries.
 
-    One block stays lazy. Of several, each is scanned and written before the
-    next, so that one broadcast is held at a time.
+    One block stays lazy. Of several, up to ``SCAN_BLOCKS`` share a scan, whose
+    result is written, and then the executors give up their copies.
     """
     spark = queries.sparkSession
-    blocks = query_blocks(queries, dim, block_bytes)
-    block = next(blocks, None) or QueryBlock(np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros(0, np.int64), [])
-    following = next(blocks, None)
-    if following is None:
-        return scan(block), _largest_limit(block)
-    path = scratch_path(spark, "partial")
-    limits, i = [], 0
-    while block is not None:
-        scan(block).write.parquet(f"{path}/block={i}")
-        limits.append(_largest_limit(block))
-        block, following, i = following, next(blocks, None), i + 1
-    parts = spark.read.schema(schema + ", block int").parquet(path).drop("block")
-    return parts, None if None in limits else max(limits)
 
+    def scan(shared: list[Broadcast], filters: set[str | None], filtered: bool) -> DataFrame:
+        rows = candidates(filters)
+        if not filters:
+            rows = rows.filter(F.lit(False))  # nothing asked, nothing read
+        read = columns + (["collection_name"] if filtered else [])
+        chosen = rows.select(*[F.col(c).cast("long") if c.endswith("_id") else F.col(c) for c in read])
+        return chosen.mapInArrow(_over_blocks(shared, work), schema)
 
-def _largest_limit(block: QueryBlock) -> int | None:
-    return None if (block.top_n < 0).any() else int(block.top_n.max(initial=0))
+    blocks = query_blocks(queries, dim, block_bytes)
+    first = list(islice(blocks, 2)) or [_no_queries(dim)]
+    if len(first) == 1:
+        return scan([spark.sparkContext.broadcast(first[0])], set(first[0].filters), first[0].filtered), set(first[0].top_n.tolist())
+    path, blocks = scratch_path(spark, "partial"), chain(first, blocks)
+    limits: set[int] = set()
+    first, n_scans = None, 0
+    while True:
+        shared, filters, filtered = [], set(), False
+        for block in islice(blocks, SCAN_BLOCKS):
+            limits.update(block.top_n.tolist())
+            filters.update(block.filters)
+            filtered |= block.filtered
+            shared.append(spark.sparkContext.broadcast(block))
+        if not shared:
+            return spark.read.schema(schema + ", scan int").parquet(path).drop("scan"), limits
+        scan(shared, filters, filtered).write.parquet(f"{path}/scan={n_scans}")
+        for broadcast in shared:
+            broadcast.destroy()
+        n_scans += 1
 
 
 def distance_profile(queries: DataFrame, candidates: Callable[[set[str | None]], DataFrame], dim: int) -> DataFrame:
@@ -371,13 +451,7 @@ def distance_profile(queries: DataFrame, candidates: Callable[[set[str | None]],
     row per query, so the pairs themselves are never written or shuffled.
     """
 
-    def scan(block: QueryBlock) -> DataFrame:
-        rows = candidates(set(block.filters))
-        shared = rows.sparkSession.sparkContext.broadcast(block)
-        columns = ["embedding"] + (["collection_name"] if block.filtered else [])
-        return rows.select(*columns).mapInArrow(_partial_profile(shared, dim), PROFILE_SCHEMA)
-
-    merged, _ = _by_block(queries, dim, BLOCK_BYTES, PROFILE_SCHEMA, scan)
+    merged, _ = _by_block(queries, candidates, dim, BLOCK_BYTES, PROFILE_SCHEMA, ["embedding"], _partial_profile(dim))
     return merged.groupBy("query_id").agg(
         F.sum("n").alias("n_candidates"),
         F.min("least").alias("min_distance"),
@@ -386,9 +460,8 @@ def distance_profile(queries: DataFrame, candidates: Callable[[set[str | None]],
     )
 
 
-def _partial_profile(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: QueryBlock = block.value
+def _partial_profile(dim: int) -> Callable:
+    def work(queries: QueryBlock, batches, state: dict) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(queries.query_id), np.int64)
         least, total, largest = np.full(len(n), np.inf), np.zeros(len(n)), np.zeros(len(n))
         members_by_name: dict[str | None, list[int]] = {}
@@ -428,4 +501,4 @@ def _partial_profile(block, dim: int) -> Callable[[Iterator[pa.RecordBatch]], It
             names=["query_id", "n", "least", "total", "largest"],
         )
 
-    return run
+    return work

@@ -132,11 +132,16 @@ _WINDOWS = f"""
            CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end,
            count(*) AS n_uploads, round(sum(value), 6) AS total_seconds, {_WINDOW_LE}
     FROM {{events}} GROUP BY 1, 2"""
-_NORMAL_UPLOAD = """
-    kinds AS (SELECT doc_id, text, CAST(substr(source, 4) AS INT) + 1 AS collection_id,
-        ['txt', 'html', 'docx', 'pdf', 'TXT'][doc_id % 5 + 1] AS kind FROM {documents}),
-    up AS (SELECT doc_id, collection_id, kind, 'Doc-' || (doc_id % 700) || '.' || kind AS title_document,
-        CASE WHEN kind = 'html' THEN replace(replace(text, '<', ' '), '&amp;', '&') ELSE text END AS text FROM kinds)"""
+_UPLOAD_KINDS = "['txt', 'html', 'docx', 'pdf', 'TXT', 'csv', 'docx', 'html']"
+# uploads of all kinds: some come twice, under the title of a stored document, too large or damaged
+_NORMAL_UPLOAD = f"""
+    kinds AS (SELECT doc_id, text, CAST(substr(source, 4) AS INT) + 1 AS collection_id, {_UPLOAD_KINDS}[doc_id % 8 + 1] AS kind
+              FROM {{documents}}),
+    up AS (SELECT doc_id * 2 + copy AS upload_id, collection_id, lower(kind) AS ext, doc_id % 997 = 0 AS large,
+        CASE WHEN kind = 'docx' THEN doc_id % 43 = 0 ELSE doc_id % 41 = 0 END AS damaged,
+        CASE WHEN doc_id % 13 = 0 THEN 'Doc-' ELSE 'Upload-' END || doc_id || '.' || kind AS title_document,
+        CASE WHEN kind = 'html' THEN replace(replace(text, '<', ' '), '&amp;', '&') ELSE text END AS text
+        FROM kinds, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR doc_id % 10 = 0)"""
 
 
 def _histogram(source: str, value: str, bounds: list[float], where: str = "TRUE", digits: bool = False) -> str:
@@ -371,6 +376,18 @@ _RAW: dict[str, str] = {
     "upload_metrics_by_window": _WINDOWS,
     # the watermark trails the last event by an hour, so the last day stays open
     "stream_upload_metrics": _WINDOWS + " HAVING window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {events})",
+    "scan_files": """SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_read
+        FROM {documents} GROUP BY source""",
+    "object_manifest": """SELECT 'collection-' || (CAST(substr(source, 4) AS INT) + 1) || '-' || source AS bucket,
+        'Doc-' || doc_id || '.txt' AS object_name, CAST(strlen(text) AS BIGINT) AS size_bytes FROM {documents}""",
+    "move_objects": f"""WITH {_MOVES}, put AS (SELECT 'collection-' || (CAST(substr(source, 4) AS INT) + 1) || '-' || source AS bucket,
+        'Doc-' || doc_id || '.txt' AS object_name, CAST(strlen(text) AS BIGINT) AS size_bytes FROM {{documents}})
+        SELECT coalesce(m.new_bucket, p.bucket) AS bucket, p.object_name, p.size_bytes FROM put p
+        LEFT JOIN moves m ON m.old_bucket = p.bucket AND m.object_name = p.object_name""",
+    "topk_search_unlimited": f"""WITH {_REQUEST.replace("{v_queries}", "{v_wide_queries}")}
+        SELECT query_id, chunk_id, document_id, round(d, 6) AS distance, round(c, 6) AS cos,
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS INT) AS rk FROM pairs
+        QUALIFY rk <= coalesce(top_n, 2147483647)""",
     "stream_ingest": f"""SELECT CAST(substr(source, 4) AS INT) + 1 AS collection_id,
         CAST(sum(len({_words("text")})) AS BIGINT) AS n_words FROM {{documents}} GROUP BY 1""",
     "roles_unpivot": f"""WITH {_UNPIVOT} SELECT role_id, role_name, required_grant, split_part(required_grant, '_', 2) AS action,
@@ -407,24 +424,26 @@ _RAW["pairwise_cosine"] = f"WITH {_ANSWERS} SELECT conv_id, turn, round(cos, 6)
 _RAW["pairwise_cosine_mean"] = f"WITH {_ANSWERS} SELECT conv_id, round(avg(cos), 6) AS mean_cos FROM answers GROUP BY conv_id"
 
 _NORMALISED = f"""{_NORMAL_UPLOAD},
-    wd AS (SELECT *, {_words("regexp_replace(text, '[\\x00-\\x09\\x0b-\\x1f]', ' ', 'g')")} AS w FROM up)"""
-_RAW["extract_text"] = f"""WITH {_NORMALISED} SELECT doc_id AS upload_id,
-    CASE WHEN kind <> 'pdf' THEN CAST(len(w) AS INT) END AS n_words,
-    CASE WHEN kind = 'pdf' THEN 'no_pdf_decoder' END AS error FROM wd"""
-_dup = """first AS (SELECT collection_id, title_document, min(doc_id) AS doc_id FROM wd GROUP BY ALL),
-    kept AS (SELECT wd.* FROM wd JOIN first USING (doc_id)
-             WHERE NOT EXISTS (SELECT 1 FROM {v_documents} d WHERE d.collection_id = wd.collection_id
-                               AND d.title_document = wd.title_document))"""
-_RAW["ingest_quarantine"] = f"""WITH {_NORMALISED}, {_dup} SELECT wd.doc_id AS upload_id, wd.title_document,
-    CASE WHEN k.doc_id IS NULL THEN 'duplicate' ELSE 'no_pdf_decoder' END AS reason
-    FROM wd LEFT JOIN kept k ON k.doc_id = wd.doc_id WHERE k.doc_id IS NULL OR wd.kind = 'pdf'"""
+    wd AS (SELECT *, {_words("regexp_replace(CASE WHEN large AND ext <> 'docx' THEN rpad(text, 1048577, 'x') ELSE text END, '[\\x00-\\x09\\x0b-\\x1f]', ' ', 'g')")} AS w,
+        CASE WHEN ext = 'csv' THEN 'unsupported_format' WHEN ext = 'pdf' THEN 'no_pdf_decoder'
+             WHEN ext = 'docx' AND (damaged OR large) THEN 'unreadable_docx' WHEN ext <> 'docx' AND damaged AND NOT large THEN 'invalid_utf8' END AS error
+        FROM up)"""
+_RAW["extract_text"] = f"""WITH {_NORMALISED} SELECT upload_id, CASE WHEN error IS NULL THEN CAST(len(w) AS INT) END AS n_words, error
+    FROM wd"""
+_dup = """verdicts AS (SELECT *, CASE
+        WHEN EXISTS (SELECT 1 FROM {v_documents} d WHERE d.collection_id = wd.collection_id AND d.title_document = wd.title_document)
+          OR upload_id > min(CASE WHEN ext <> 'csv' AND NOT large THEN upload_id END) OVER (PARTITION BY collection_id, title_document)
+        THEN 'duplicate' WHEN ext = 'csv' THEN 'bad_extension' WHEN large THEN 'too_large' ELSE error END AS reason FROM wd),
+    kept AS (SELECT * FROM verdicts WHERE reason IS NULL)"""
+_RAW["ingest_quarantine"] = f"""WITH {_NORMALISED}, {_dup} SELECT upload_id, title_document, reason FROM verdicts
+    WHERE reason IS NOT NULL"""
 _RAW["sink_documents_chunks"] = f"""WITH {_NORMALISED}, {_dup},
-    parts AS (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 400.0) AS BIGINT))) AS i FROM kept),
-    sized AS (SELECT doc_id, count(*) AS n, sum(length(array_to_string(w[i * 400 + 1 : i * 400 + 400], ' '))) AS c
-              FROM parts GROUP BY doc_id)
-    SELECT k.doc_id AS document_id, k.collection_id, k.title_document, CAST(coalesce(n, 0) AS INT) AS num_of_chunks,
+    parts AS (SELECT upload_id, w, unnest(range(0, CAST(ceil(len(w) / 400.0) AS BIGINT))) AS i FROM kept),
+    sized AS (SELECT upload_id, count(*) AS n, sum(length(array_to_string(w[i * 400 + 1 : i * 400 + 400], ' '))) AS c
+              FROM parts GROUP BY upload_id)
+    SELECT k.upload_id AS document_id, k.collection_id, k.title_document, CAST(coalesce(n, 0) AS INT) AS num_of_chunks,
            coalesce(n, 0) AS n_chunks, CAST(coalesce(c, 0) AS BIGINT) AS n_chars
-    FROM kept k LEFT JOIN sized s ON s.doc_id = k.doc_id WHERE k.kind <> 'pdf'"""
+    FROM kept k LEFT JOIN sized s ON s.upload_id = k.upload_id"""
 
 _RAW["search_texts"] = f"""
     WITH {_CHUNKS}, {_slots('cut', 'document_id, chunk_index', 'w').replace("hashed", "chunk_hashed").replace("slots", "chunk_slots")},

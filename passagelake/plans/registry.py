@@ -15,7 +15,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from passagelake.functions.encoders import HashingEncoder
 from passagelake.operators import access, catalog, guards, ids, knn, metrics, projections, quality, search, skew
 from passagelake.plans import ingest
 from passagelake.session import materialise, scratch_path, ship_package
-from passagelake.sources import files, sinks, tables
+from passagelake.sources import files, objects, sinks, tables
 from passagelake.streaming import ingest as streaming_ingest
 from passagelake.streaming import metrics as streaming_metrics
 
@@ -69,38 +69,100 @@ def scan_table(t: Bindings) -> DataFrame:
     return tables.scan_table(t.spark, f"{t.sf_dir}/events.parquet")
 
 
+def _arrivals(t: Bindings, root: str) -> str:
+    """All documents as text files that have arrived, one folder for each source."""
+    folder = f"{root}/arrivals"
+    t["documents"].select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 20).text(folder)
+    return folder
+
+
+def _source_of(path: Column) -> Column:
+    return F.regexp_extract(path, "source=(src[0-9]+)", 1)
+
+
 @query
 def scan_files(t: Bindings) -> DataFrame:
-    found = files.scan_files(t.spark, t.sf_dir, glob="*.parquet")
-    return found.select(
-        files.file_name(F.col("path")).alias("file_name"), "length", F.length("content").cast("long").alias("n_read")
+    """Arrived files of bounded size with their contents: bytes listed and bytes read for each source."""
+    folder = _arrivals(t, scratch_path(t.spark, "files"))
+    found = files.scan_files(t.spark, folder, glob="*.txt", max_bytes=1 << 30)
+    return found.groupBy(_source_of(F.col("path")).alias("source")).agg(
+        F.sum("length").alias("n_bytes"), F.sum(F.length("content").cast("long")).alias("n_read")
+    )
+
+
+def _stored(t: Bindings) -> str:
+    """All documents put into an object store, keyed as on update."""
+    store = scratch_path(t.spark, "objects")
+    collection = (F.substring("source", 4, 9).cast("int") + 1).cast("string")
+    objects.put_objects(
+        t["documents"].select(
+            F.concat(F.lit("collection-"), collection, F.lit("-"), "source").alias("bucket"),
+            F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("object_name"),
+            F.encode("text", "utf-8").alias("content"),
+        ),
+        store, "bulk",
     )
+    return store
 
 
 @query
 def object_manifest(t: Bindings) -> DataFrame:
-    return files.object_manifest(t.spark, t.sf_dir)
+    return objects.manifest(t.spark, _stored(t))
+
+
+@query
+def put_objects(t: Bindings) -> DataFrame:
+    """Stored contents, read back."""
+    found = objects.stored_objects(t.spark, _stored(t))
+    return found.select(
+        F.element_at(F.split("bucket", "-"), 2).cast("int").alias("collection_id"), F.col("object_name").alias("title_document"),
+        F.length("content").cast("long").alias("size_bytes"),
+    )
+
+
+@query
+def move_objects(t: Bindings) -> DataFrame:
+    """What the store holds after the objects of renamed collections have moved."""
+    store = _stored(t)
+    objects.move_objects(t.spark, store, _renamed(t), "renames")
+    return objects.manifest(t.spark, store)
+
+
+# Extensions of the uploads in turn, and how often an upload is repeated, takes the title of a stored
+# document, is too large, or is damaged.
+UPLOAD_KINDS = ("txt", "html", "docx", "pdf", "TXT", "csv", "docx", "html")
+REPEATED, RETITLED, OVERSIZED, BAD_TEXT, BAD_DOCX = 10, 13, 997, 41, 43
 
 
 def _files_of_documents(t: Bindings) -> DataFrame:
-    """Documents as uploads with real contents (txt, html and docx), stored as files arriving would be."""
-    kind = F.element_at(F.array(F.lit("txt"), F.lit("html"), F.lit("docx"), F.lit("pdf"), F.lit("TXT")),
-                        (F.col("doc_id") % 5 + 1).cast("int"))
+    """Documents as uploads with real contents, stored as files arriving would be.
+
+    Most have a title of their own; some come twice or under the title of a stored document, and some are too large,
+    of a kind that is not accepted, or damaged.
+    """
+    doc_id = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, UPLOAD_KINDS)), (doc_id % len(UPLOAD_KINDS) + 1).cast("int"))
+    text_bytes = lambda text: F.concat(F.encode(text, "utf-8"), F.when(doc_id % BAD_TEXT == 0, F.lit(b"\xff")).otherwise(F.lit(b"")))
+    docx = _docx_file(F.when(kind == "docx", F.col("text")))
     body = (
-        F.when(kind == "html", F.encode(F.concat(F.lit("<p>"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("</p>")), "utf-8"))
-        .when(kind == "docx", _docx_file(F.when(kind == "docx", F.col("text"))))
-        .otherwise(F.encode("text", "utf-8"))
+        F.when(doc_id % OVERSIZED == 0, F.encode(F.rpad("text", 1_048_577, "x"), "utf-8"))
+        .when(kind == "html", text_bytes(F.concat(F.lit("<p>"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("</p>"))))
+        .when(kind == "docx", F.when(doc_id % BAD_DOCX == 0, F.substring(docx, 1, 20)).otherwise(docx))
+        .otherwise(text_bytes(F.col("text")))
     )
+    title = F.concat(F.when(doc_id % RETITLED == 0, "Doc ").otherwise("Upload "), doc_id.cast("string"))
     uploads = t.spread("documents", "doc_id").select(
-        F.col("doc_id").alias("upload_id"),
-        F.col("doc_id").alias("arrival"),
+        "doc_id",
         (F.substring("source", 4, 9).cast("int") + 1).alias("collection_id"),
         F.col("source").alias("collection_name"),
-        F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"),
-        F.concat(F.lit("Doc "), (F.col("doc_id") % 700).cast("string"), F.lit("."), kind).alias("filename"),
+        title.alias("title"),
+        F.concat(title, F.lit("."), kind).alias("filename"),
         body.alias("content"),
     )
-    return materialise(uploads.withColumn("size_bytes", F.length("content").cast("long")), "uploads")
+    times = F.when(doc_id % REPEATED == 0, 2).otherwise(1)
+    uploads = uploads.select("*", F.explode(F.sequence(F.lit(0), times - 1)).alias("copy"))
+    uploads = uploads.withColumn("upload_id", doc_id * 2 + F.col("copy")).withColumn("arrival", F.col("upload_id"))
+    return materialise(uploads.drop("doc_id", "copy").withColumn("size_bytes", F.length("content").cast("long")), "uploads")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -125,18 +187,6 @@ def _docx_file(texts: pa.Array) -> pa.Array:
     return pa.array([None if body is None else build(body) for body in texts.to_pylist()], pa.binary())
 
 
-@query
-def put_objects(t: Bindings) -> DataFrame:
-    store = scratch_path(t.spark, "objects")
-    uploads = t["documents"].select(
-        (F.substring("source", 4, 9).cast("int") + 1).alias("collection_id"),
-        F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("title_document"),
-        F.encode("text", "utf-8").alias("content"),
-    )
-    sinks.put_objects(uploads, store)
-    return sinks.stored_objects(t.spark, store).select("collection_id", "title_document", "size_bytes")
-
-
 def _ingested(t: Bindings):
     return ingest.ingest(_files_of_documents(t), t["v_documents"], _now(), F.lit("loader"), HashingEncoder(DIM))
 
@@ -378,6 +428,13 @@ def topk_search_batch(t: Bindings) -> DataFrame:
     return _rounded(_hits(t), "distance", "cos")
 
 
+@query
+def topk_search_unlimited(t: Bindings) -> DataFrame:
+    """Searches without limit and with a very large one, ranked by ranges."""
+    hits = search.topk_search_batch(t["v_wide_queries"], t["v_chunks"], t["v_documents"], t["v_collections"], DIM)
+    return _rounded(hits, "distance", "cos")
+
+
 @query
 def rank_per_query(t: Bindings) -> DataFrame:
     return _hits(t).select("query_id", "rk", "chunk_id")
@@ -816,12 +873,10 @@ def upload_metrics_by_window(t: Bindings) -> DataFrame:
 def stream_ingest(t: Bindings) -> DataFrame:
     """All documents as arriving text files, ingested as a stream; words stored per collection."""
     root = scratch_path(t.spark, "stream")
-    t["documents"].select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 20).text(
-        f"{root}/arrivals"
-    )
+    folder = _arrivals(t, root)
 
     def to_uploads(arrived: DataFrame) -> DataFrame:
-        source = F.regexp_extract("path", "source=(src[0-9]+)", 1)
+        source = _source_of(F.col("path"))
         return arrived.select(
             F.xxhash64("path").alias("upload_id"), F.unix_micros("modificationTime").alias("arrival"),
             (F.substring(source, 4, 9).cast("int") + 1).alias("collection_id"), source.alias("collection_name"),
@@ -830,7 +885,7 @@ def stream_ingest(t: Bindings) -> DataFrame:
         )
 
     streaming_ingest.stream_ingest(
-        t.spark, f"{root}/arrivals", f"{root}/tables", f"{root}/_checkpoint", to_uploads, _now(), F.lit("loader"),
+        t.spark, folder, f"{root}/tables", f"{root}/_checkpoint", to_uploads, _now(), F.lit("loader"),
         HashingEncoder(DIM), files_per_batch=400,
     ).awaitTermination()
     stored = t.spark.read.parquet(f"{root}/tables/chunks")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passagelake.operators import knn as knn_module
 from passagelake.operators import search
+from passagelake.operators.ranking import rank_in_groups
 from passagelake.functions import vectors
 from passagelake.session import scratch_path
 from passagelake.sources import sinks
@@ -134,14 +135,67 @@ def test_filtered_search_reads_the_wanted_folders_only(spark):
     assert got == brute(data, rows)
 
 
-def test_untracked_limits_are_exact(spark, monkeypatch):
+def test_limits_beyond_a_block_are_exact(spark):
+    """A limit whose running results would not fit a block's budget: a task emits all distances instead."""
     data = sample(2, 120)
     rows = asked(data)
-    monkeypatch.setattr(knn_module, "MAX_TRACKED", 2)
     chunks, docs, cols = tables(spark, data)
-    block = knn_module._collect_block(knn_module.valid_queries(requests(spark, rows), DIM), DIM)
-    assert (block.wanted[block.top_n > 2] == -1).all()
-    assert found(search.topk_search_batch(requests(spark, rows), chunks, docs, cols, DIM)) == brute(data, rows)
+    block = knn_module._collect_block(knn_module.valid_queries(requests(spark, rows), DIM), DIM, 100 * knn_module.HIT_BYTES)
+    assert (block.wanted[block.top_n > 100] == -1).all() and (block.wanted[block.top_n <= 100] == block.top_n[block.top_n <= 100]).all()
+    assert found(search.topk_search_batch(requests(spark, rows), chunks, docs, cols, DIM, block_bytes=100 * knn_module.HIT_BYTES)) == brute(data, rows)
+
+
+@pytest.mark.parametrize("together", [0, 5, 10_000])
+def test_ranks_by_range_equal_ranks_by_window(spark, monkeypatch, together):
+    data = sample(9, 300)
+    rows = asked(data)
+    monkeypatch.setattr(knn_module, "RANKED_TOGETHER", together)
+    assert found(search.topk_search_batch(requests(spark, rows), *tables(spark, data), DIM)) == brute(data, rows)
+
+
+def test_one_unlimited_query_is_spread_over_partitions(spark):
+    """Ranks of one query come from many partitions, and no window gathers the query."""
+    rows = spark.range(200_000).select(
+        F.lit(7).cast("long").alias("query_id"), F.rand(1).alias("distance"), F.col("id").alias("chunk_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # or so few rows go to two partitions
+    ranked = rank_in_groups(rows, ["query_id"], [F.col("distance").asc(), F.col("chunk_id").asc()], "test-rank")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in next(line for line in plan.split("\n") if "Window" in line and "row_number" in line)
+    got = ranked.select("rk", "distance").toPandas().sort_values("rk")
+    assert got.rk.tolist() == list(range(1, 200_001)) and got.distance.is_monotonic_increasing
+    stored = ranked._jdf.inputFiles()
+    assert len(list(stored)) >= 4
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+
+
+def test_many_blocks_share_a_scan(spark, monkeypatch):
+    """However many blocks there are, the chunks are read once, in pieces, and the hits stay the same."""
+    data = sample(10, 300)
+    rows = [(i, data[20 + i % 50], [3, 40, None, 0][i % 4], [None, "a", "b"][i % 3]) for i in range(60)]
+    monkeypatch.setattr(knn_module, "PIECE_BYTES", 1)
+    scans = []
+    chunks, docs, cols = tables(spark, data)
+    build = search.candidates(chunks, docs, cols, DIM)
+    got = knn_module.knn(requests(spark, rows), lambda f: scans.append(f) or build(f), DIM, block_bytes=4_000)
+    assert found(got) == brute(data, rows) and scans == [{None, "a", "b"}]
+    monkeypatch.setattr(knn_module, "SCAN_BLOCKS", 2)
+    assert found(search.topk_search_batch(requests(spark, rows), chunks, docs, cols, DIM, block_bytes=4_000)) == brute(data, rows)
+
+
+def test_running_results_are_bounded():
+    """A limit of 10,001 over a million hits: what a task holds stays below three times the limit."""
+    rng, most = np.random.default_rng(0), 10_001
+    best, every, held = knn_module._Hits(np.array([most])), [], 0
+    for start in range(0, 1_000_000, 10_000):
+        distance = rng.random(10_000)
+        every.append(distance)
+        chosen = np.flatnonzero(distance**2 <= best.limit[0])
+        ids = start + chosen
+        best.add(np.zeros(len(ids), np.int64), distance[chosen], ids, ids, distance[chosen])
+        held = max(held, best.n_waiting + len(best.columns[0]))
+    best.merge()
+    assert held <= 3 * most and len(best.columns[0]) == most
+    assert (best.columns[1] == np.sort(np.concatenate(every))[:most]).all()
 
 
 def test_ties_go_to_the_lower_chunk_id(spark):
