@@ -16,7 +16,8 @@ it has members and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,11 +118,11 @@ def meets(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
 
 
 def parity(members: np.ndarray) -> bytes:
-    """One bit for each slot, set where an odd number of tokens falls; about as many slots as tokens.
+    """One bit for each slot, set where an odd number of tokens falls; about two tokens fall in a slot.
 
     Tokens that two sets don't share differ in at least as many places as their parities do.
     """
-    slots = max(64, 1 << (len(members) - 1).bit_length())
+    slots = max(64, 1 << (len(members) - 1).bit_length() >> 1)
     odd = np.bincount((members & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -166,7 +167,7 @@ def measured(docs: DataFrame) -> DataFrame:
         none = len(used)
         yield _record(
             doc_id=pa.nulls(none, pa.int64()), n_shingles=pa.nulls(none, pa.int64()), node=pa.nulls(none, pa.int64()),
-            piece=pa.array(used.astype(np.int32)), counts=pa.array([pieces[k].tobytes() for k in used], pa.binary()),
+            piece=pa.array(used.astype(np.int32)), counts=pa.array([zlib.compress(pieces[k], 1) for k in used], pa.binary()),
         )
 
     schema = "doc_id long, n_shingles long, node long, piece int, counts binary"
@@ -188,7 +189,7 @@ def count_classes(rows: DataFrame) -> np.ndarray:
                 if at != piece:
                     out += [(piece, total)] if piece is not None else []
                     piece, total = at, np.zeros(PIECE, np.int64)
-                total += np.frombuffer(counts, np.uint32)
+                total += np.frombuffer(zlib.decompress(counts), np.uint32)
             yield pack(out)
         yield pack([(piece, total)] if piece is not None else [])
 
@@ -271,18 +272,16 @@ def _members(prefixed: DataFrame, shared: DataFrame) -> DataFrame:
     return found.join(shared, "token").distinct()
 
 
-def _heads(prefixed: DataFrame, alike: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Prefixes of some sets, each from the one document that stands for it."""
-    wanted = materialise(nodes.join(alike, "node"), "ngram-wanted")
+def _heads(prefixed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Prefixes of the sets ``node, doc_id`` in ``wanted``, and of a few others, once for each set."""
     passes = _Filter(wanted, _id_slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passes(batch.column("slot").to_numpy()))).drop_columns(["slot"])
 
-    near = map_batches(prefixed.withColumn("slot", _id_slot(passes.bits)), run, prefixed.schema)
-    own = near.join(wanted.withColumnRenamed("doc_id", "_id"), "node").where("doc_id = _id").drop("_id")
-    return own.dropDuplicates(["node"])  # a row may be repeated with its id
+    rows = prefixed.drop("parity")
+    return map_batches(rows.withColumn("slot", _id_slot(passes.bits)), run, rows.schema).drop("doc_id").dropDuplicates(["node"])
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -292,60 +291,69 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _meeting(pairs: DataFrame, prefixed: DataFrame, alike: DataFrame, label: str) -> DataFrame:
     """Pairs ``a, b`` whose prefixes leave a link possible in all orders."""
     pairs = materialise(pairs, f"{label}-pairs")
-    heads = materialise(_heads(prefixed, alike, _ends(pairs)), f"{label}-heads")
-    columns = ["n", "first", "others", "parity"]
+    heads = _heads(prefixed, materialise(_ends(pairs).join(alike, "node"), f"{label}-wanted"))
+    columns = ["n", "first", "others"]
 
-    def sets(batch: pa.RecordBatch, side: str) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        for n, first, others, bits in zip(*[batch.column(f"{c}_{side}") for c in columns], strict=True):
+    def sets(batch: pa.RecordBatch, side: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for n, first, others in zip(*[batch.column(f"{c}_{side}") for c in columns], strict=True):
             others = np.frombuffer(others.as_py(), np.uint32).reshape(ORDERS - 1, -1)
-            yield n.as_py(), np.frombuffer(bits.as_py(), np.uint8), [first.values.to_numpy().view(np.uint64), *others]
+            yield n.as_py(), [first.values.to_numpy().view(np.uint64), *others]
+
+    def hits(batch: pa.RecordBatch) -> list[bool]:
+        return [all(meets(p, n, q, m) for p, q in zip(x, y, strict=True)) for (n, x), (m, y) in zip(sets(batch, "a"), sets(batch, "b"), strict=True)]
+
+    return _chosen(pairs, heads, columns, hits)
+
+
+def _near(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose parities leave a link possible."""
+
+    def hits(batch: pa.RecordBatch) -> list[bool]:
+        sides = [zip(batch.column(f"n_{s}").to_pylist(), batch.column(f"parity_{s}").to_pylist(), strict=True) for s in "ab"]
+        return [bool(near_parity(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m)) for (n, x), (m, y) in zip(*sides, strict=True)]
+
+    return _chosen(pairs, parities, ["n", "parity"], hits)
+
+
+def _chosen(pairs: DataFrame, sides: DataFrame, columns: list[str], hits: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """Pairs that ``hits`` chooses by some columns of both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [
-                all(meets(p, n, q, m) for p, q in zip(x, y, strict=True)) and bool(near_parity(a, n, b, m))
-                for (n, a, x), (m, b, y) in zip(sets(batch, "a"), sets(batch, "b"), strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            for piece in slices([batch], f"{columns[-1]}_b", SET_BYTES):
+                yield piece.select(["a", "b"]).filter(pa.array(hits(piece), pa.bool_()))
 
     def side(name: str) -> DataFrame:
-        return heads.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+        return sides.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     return map_batches(joined.select("a", "b", *[f"{c}_{s}" for s in "ab" for c in columns]), run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, members`` (sorted tokens) of the documents ``node, doc_id`` in ``wanted``."""
+    """``node, members`` (sorted tokens) of the sets ``node, doc_id`` in ``wanted``, and of a few others."""
     passes = _Filter(wanted, _id_slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             chosen = batch.filter(pa.array(passes(batch.column("slot").to_numpy())))
             sets = [tokens(t or "") for t in chosen.column("text").to_pylist()]
-            yield _record(node=pa.array([node_of(x) for x in sets], pa.int64()), doc_id=chosen.column("doc_id"), members=pa.array([x.tobytes() for x in sets], pa.binary()))
+            yield _record(node=pa.array([node_of(x) for x in sets], pa.int64()), members=pa.array([x.tobytes() for x in sets], pa.binary()))
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").withColumn("slot", _id_slot(passes.bits))
-    return map_batches(rows, run, "node long, doc_id long, members binary").join(wanted, ["node", "doc_id"]).select("node", "members")
+    return map_batches(rows.select("slot", "text"), run, "node long, members binary").dropDuplicates(["node"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, alike: DataFrame, label: str) -> DataFrame:
     """Links ``a, b`` among candidates, on full sets."""
     chosen = materialise(pairs, f"{label}-candidates")
     sets = _sets_of(docs, materialise(_ends(chosen).join(alike, "node"), f"{label}-nodes"))
-    # a row repeated with its id gives its set more than once, and then a link more than once
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "members_b", SET_BYTES):
-            sides = [[np.frombuffer(x, np.uint64) for x in piece.column(f"members_{s}").to_pylist()] for s in ("a", "b")]
-            hit = [linked(int(_hits(x, y).sum()), len(x), len(y)) for x, y in zip(*sides, strict=True)]
-            yield piece.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("members").alias(f"members_{name}"))
+    def hits(batch: pa.RecordBatch) -> list[bool]:
+        sides = [[np.frombuffer(x, np.uint64) for x in batch.column(f"members_{s}").to_pylist()] for s in "ab"]
+        return [bool(linked(int(_hits(x, y).sum()), len(x), len(y))) for x, y in zip(*sides, strict=True)]
 
-    joined = chosen.join(side("b"), "b").join(side("a"), "a").select("a", "b", "members_a", "members_b")
-    return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links")
+    return materialise(_chosen(chosen, sets, ["members"], hits), f"{label}-links")
 
 
 def _block_pairs(placed: DataFrame, parities: DataFrame) -> DataFrame:
@@ -367,26 +375,27 @@ def _block_pairs(placed: DataFrame, parities: DataFrame) -> DataFrame:
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
+    # where one block holds a bucket, a member stands for both sides
     columns = ["token", "node", "n", "pos", "own", "apart"]
-    asked = rows.where("apart").select(*columns, F.lit(True).alias("asks"), dealt("nu", 1).alias("i"), every("nb").alias("j"))
-    met = rows.select(*columns, F.lit(False).alias("asks"), every("nu").alias("i"), dealt("nb", 2).alias("j"))
-    blocks = asked.unionAll(met).join(parities, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    asked = rows.where("apart AND nb > 1").select(*columns, F.lit(True).alias("asks"), F.lit(False).alias("meets"), dealt("nu", 1).alias("i"), every("nb").alias("j"))
+    met = rows.select(*columns, F.expr("apart AND nb = 1").alias("asks"), F.lit(True).alias("meets"), every("nu").alias("i"), dealt("nb", 2).alias("j"))
+    blocks = asked.unionAll(met).join(parities.select("node", "parity"), "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def candidates(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        """rows: (node, n, pos, own, apart, asks, parity)"""
-        others = [r for r in rows if not r[5]]
+        """rows: (node, n, pos, own, apart, asks, meets, parity)"""
+        others = [r for r in rows if r[6]]
         if not others:
             return
         node, n, pos, own, is_apart = (np.array([r[k] for r in others]) for k in range(5))
-        widths = np.array([len(r[6]) for r in others])
-        bits = {w: np.frombuffer(b"".join(r[6] for r in others if len(r[6]) == w), np.uint8).reshape(-1, w) for w in set(widths.tolist())}
+        widths = np.array([len(r[7]) for r in others])
+        bits = {w: np.frombuffer(b"".join(r[7] for r in others if len(r[7]) == w), np.uint8).reshape(-1, w) for w in set(widths.tolist())}
         for r in rows:
             if not r[5]:
                 continue
             # Two apart members ask about each other; the smaller one does it. If this is the first token that they
             # share, the overlap is at most what follows it.
             todo = (own != r[3]) & ~(is_apart & (node < r[0])) & linked(np.minimum(n - pos, r[1] - r[2]), n, r[1])
-            mine = np.frombuffer(r[6], np.uint8)
+            mine = np.frombuffer(r[7], np.uint8)
             for width, matrix in bits.items():
                 here = np.flatnonzero(widths == width)
                 some = todo[here]
@@ -411,7 +420,7 @@ def _block_pairs(placed: DataFrame, parities: DataFrame) -> DataFrame:
             yield pack(found)
         yield pack(list(candidates(held)) if held else [])
 
-    return map_batches(blocks.select("token", "i", "j", *columns[1:], "asks", "parity"), run, "a long, b long").distinct()
+    return map_batches(blocks.select("token", "i", "j", *columns[1:], "asks", "meets", "parity"), run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -438,7 +447,9 @@ def join(docs: DataFrame) -> DataFrame:
     members = materialise(members.join(materialise(leaders.select("token", "lead"), "ngram-leaders"), "token"), "ngram-led")
     near = linked(F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")), F.col("n"), F.col("lead.n"))
     pairs = members.where((F.col("node") != F.col("lead.node")) & near).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(docs, _meeting(pairs, prefixed, alike, "ngram-first"), alike, "ngram-first")
+    parities = prefixed.select("node", "n", "parity").join(members.select("node").distinct(), "node", "left_semi").distinct()
+    parities = materialise(parities, "ngram-parities")
+    links = _verified(docs, _meeting(_near(pairs, parities), prefixed, alike, "ngram-first"), alike, "ngram-first")
     found = components(links)
 
     def label(column: str, alias: str) -> DataFrame:
@@ -447,7 +458,6 @@ def join(docs: DataFrame) -> DataFrame:
     placed = members.select("token", "node", "n", "pos", F.col("lead.node").alias("leader"))
     placed = placed.join(label("node", "_own"), "node", "left").join(label("leader", "_lead"), "leader", "left")
     placed = placed.select("token", "node", "leader", "n", "pos", F.coalesce("_own", "node").alias("own"), F.coalesce("_lead", "leader").alias("lead"))
-    parities = prefixed.select("node", "parity").join(members.select("node").distinct(), "node", "left_semi").distinct()
     rest = _block_pairs(materialise(placed, "ngram-placed"), parities)
     more = _verified(docs, _meeting(rest, prefixed, alike, "ngram-rest"), alike, "ngram-rest")
     if not more.isEmpty():
