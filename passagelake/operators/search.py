@@ -138,6 +138,7 @@ def topk_search_batch(
     documents: DataFrame,
     collections: DataFrame,
     dim: int = VECTOR_DIM,
+    placed: bool = False,
     **budget,
 ) -> DataFrame:
     """Nearest chunks of every query within its own ``top_n`` and optional collection.
@@ -146,7 +147,7 @@ def topk_search_batch(
     collections of several owners are all searched. A query without hits gives
     no rows.
     """
-    return knn(queries, candidates(chunks, documents, collections, dim), dim, **budget)
+    return knn(queries, candidates(chunks, documents, collections, dim, placed), dim, **budget)
 
 
 def search(
@@ -157,13 +158,14 @@ def search(
     top_n: int | None = DEFAULT_TOP_N,
     filtre: str | None = None,
     dim: int = VECTOR_DIM,
+    placed: bool = False,
 ) -> DataFrame:
-    """One request: the nearest chunks, best first."""
+    """One request: the nearest chunks, best first; ``placed`` as for ``candidates``."""
     request = chunks.sparkSession.createDataFrame(
         [(0, [float(x) for x in vector], top_n, filtre)],
         "query_id long, embedding array<double>, top_n int, filtre string",
     )
-    hits = topk_search_batch(request, chunks, documents, collections, dim)
+    hits = topk_search_batch(request, chunks, documents, collections, dim, placed)
     ordered = hits.drop("query_id").orderBy(F.asc_nulls_last("distance"), "chunk_id")
     return ordered if top_n is None else ordered.limit(max(top_n, 0))
 

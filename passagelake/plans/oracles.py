@@ -373,6 +373,10 @@ _RAW: dict[str, str] = {
     "deleted_objects": """SELECT 'collection-' || d.collection_id || '-' || replace(replace(c.name, ' ', '-'), '_', '-') AS bucket,
         d.title_document AS object_name FROM {v_documents} d JOIN {v_collections} c ON c.collection_id = d.collection_id
         WHERE d.document_id IN (SELECT document_id FROM {v_dropped_documents})""",
+    "delete_stored_documents": """SELECT 'documents' AS table_name, CAST(document_id AS BIGINT) AS id FROM {v_documents}
+        WHERE document_id NOT IN (SELECT document_id FROM {v_dropped_documents})
+        UNION ALL SELECT 'chunks', CAST(c.chunk_id AS BIGINT) FROM {v_chunks} c JOIN {v_documents} d ON d.document_id = c.document_id
+        WHERE d.document_id NOT IN (SELECT document_id FROM {v_dropped_documents})""",
     "upload_metrics_by_window": _WINDOWS,
     # the watermark trails the last event by an hour, so the last day stays open
     "stream_upload_metrics": _WINDOWS + " HAVING window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {events})",

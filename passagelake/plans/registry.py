@@ -25,7 +25,7 @@ from passagelake.functions.encoders import HashingEncoder
 from passagelake.operators import access, catalog, guards, ids, knn, metrics, projections, quality, search, skew
 from passagelake.plans import ingest
 from passagelake.session import materialise, scratch_path, ship_package
-from passagelake.sources import files, objects, sinks, tables
+from passagelake.sources import changes, files, objects, sinks, tables
 from passagelake.streaming import ingest as streaming_ingest
 from passagelake.streaming import metrics as streaming_metrics
 
@@ -399,6 +399,14 @@ def _single(t: Bindings, **request) -> DataFrame:
     return _rounded(hits, "distance", "cos").select("rk", "chunk_id", "document_id", "distance", "cos")
 
 
+def _laid_out(t: Bindings) -> str:
+    """Documents and their chunks as the ingest stores them."""
+    root = scratch_path(t.spark, "laid-out")
+    chunks = search.join_chunks_documents(t["v_chunks"], t["v_documents"])
+    sinks.sink_documents_chunks(t["v_documents"], chunks, root, "bulk", 0)
+    return root
+
+
 def _hits(t: Bindings) -> DataFrame:
     return search.topk_search_batch(t["v_queries"], t["v_chunks"], t["v_documents"], t["v_collections"], DIM)
 
@@ -420,7 +428,12 @@ def topk_search_all(t: Bindings) -> DataFrame:
 
 @query
 def topk_search_collection(t: Bindings) -> DataFrame:
-    return _single(t, top_n=10, filtre="src3")
+    """On the stored layout: only the folders of the collection are read."""
+    chunks = t.spark.read.parquet(f"{_laid_out(t)}/chunks")
+    hits = search.search(
+        _centroid(t), chunks, t["v_documents"], t["v_collections"], top_n=10, filtre="src3", dim=DIM, placed=True
+    )
+    return _rounded(hits, "distance", "cos").select("rk", "chunk_id", "document_id", "distance", "cos")
 
 
 @query
@@ -841,6 +854,15 @@ def delete_documents_cascade(t: Bindings) -> DataFrame:
     return _remaining("documents", documents, "document_id").unionByName(_remaining("chunks", chunks, "chunk_id"))
 
 
+@query
+def delete_stored_documents(t: Bindings) -> DataFrame:
+    """Deletes on stored tables, which rewrite the touched folders."""
+    root = _laid_out(t)
+    changes.delete_documents(t.spark, root, t["v_dropped_documents"])
+    documents, chunks = (t.spark.read.parquet(f"{root}/{name}") for name in ("documents", "chunks"))
+    return _remaining("documents", documents, "document_id").unionByName(_remaining("chunks", chunks, "chunk_id"))
+
+
 @query
 def deleted_objects(t: Bindings) -> DataFrame:
     return catalog.delete_documents_cascade(
