@@ -26,6 +26,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagelake.llm.common import arrow_map, map_batches
 
@@ -215,16 +216,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id`` and ``text`` of the ids that ``encode`` returned."""
+    """The columns of ``encoded`` and ``text``, which its ``ids`` stand for. Null ids give an empty text."""
     spec = _shipped(encoded, path)
+    rows = encoded.drop("text")
 
     def run(batches):
         codec = _codec(spec)
         for batch in batches:
             texts = [codec.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
+    return map_batches(rows, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

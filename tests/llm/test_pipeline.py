@@ -57,13 +57,17 @@ def test_stages_against_brute_force(spark, small):
         seen.append(name)
         before = texts
     assert seen == ["quality", "near_dup", "pii", "mixing"]
-    want = Counter((r.doc_id, hashlib.sha256(np.array(own.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for r in before)
-    assert Counter((r.doc_id, r.ids_sha256) for r in frame.collect()) == want
+    want = Counter()
+    for r in before:
+        ids = own.encode(r.text, add_special_tokens=False).ids
+        text = own.decode(ids, skip_special_tokens=False)
+        want[r.doc_id, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), text, hashlib.sha256(text.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.ids_sha256, r.text, r.decoded_sha256) for r in frame.collect()) == want
 
 
 def test_run_and_registration(spark, odd, empty):
     names = set(job.queries())
-    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op") and re.match(r"op\d+_", n)} == {str(n) for n in range(1, 11)}
+    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op") and re.match(r"op\d+_", n)} == {str(n) for n in range(1, 14)}
     assert corpus_pipeline.run(spark, SMALL).count() > 100 and PLAIN
     for frame in (odd, empty):
         for name, stage in corpus_pipeline.STAGES:
