@@ -230,6 +230,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
+def recode(docs: DataFrame, path: str) -> DataFrame:
+    """The columns of ``encode`` and ``text``, which the ids decode to; one pass, with one codec in each worker."""
+    spec = _shipped(docs, path)
+
+    def work(batch: pa.RecordBatch) -> list:
+        codec = _codec(spec)
+        ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
+        texts = pa.array([codec.decode(x) for x in ids], pa.binary()).cast(pa.string())
+        return [batch.column("doc_id"), [len(x) // 4 for x in ids], ids, texts]
+
+    schema = "doc_id long, n_tokens long, ids binary, text string"
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), work, schema)
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Hashes of the ids of every whole text and of what they decode to; nulls and repeats as in ``encode``."""
     spec = _shipped(docs, path)
