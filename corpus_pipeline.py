@@ -33,8 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text as little-endian unsigned 32-bit integers, the text that they decode to, and hashes of both."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    decoded = bpe.recode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return decoded.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("decoded_sha256", F.sha2("text", 256))
 
 
