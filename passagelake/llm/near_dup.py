@@ -5,7 +5,7 @@ smallest and the largest value are kept: two values for one evaluation, each equ
 equal to their similarity. Four values, the minima and maxima of two orders, form a band; two sets with similarity
 0.75 share none of the 40 bands once in about four million cases.
 
-Documents with equal sets form a class, and only classes are compared. In each bucket of a band the members are
+Documents with equal sets form a class, numbered in the order of its smallest ``doc_id``, and only classes are compared. In each bucket of a band the members are
 first paired with the smallest one. Members that thereby came into its component need no other pair of the
 bucket; the rest is compared with all members of other components, so no link is lost and a group of near-copies
 costs as many pairs as it has members. The rest meets the other members in blocks of bounded size, with
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagelake.llm.common import map_batches, slices
+from passagelake.llm.common import global_rank, map_batches, slices
 from passagelake.llm.components import components
 from passagelake.session import materialise
 
@@ -102,7 +102,16 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, sketch binary"
+
+
+def _digest(members: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(members.tobytes())
+
+
+def _text_key():
+    """Tells rows with one ``doc_id`` and different texts apart."""
+    return F.xxhash64("text").alias("text_key")
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -118,28 +127,28 @@ def signed(docs: DataFrame) -> DataFrame:
                     digests.append(None), bands.append(None), sketches.append(None)
                     continue
                 least, most = signature(members)
-                digests.append(xxhash.xxh3_128_digest(members.tobytes()))
+                digests.append(_digest(members))
                 bands.append(band_keys(least, most))
                 sketches.append(np.concatenate([least, most]).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "digest", "bands", "sketch"],
             )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _SIGNED)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", _text_key()), run, _SIGNED)
 
 
 def _slot(column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, members`` (sorted hashes) of the documents in ``ids``, and of a few others.
+def _sets_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """``doc_id, digest, members`` (sorted hashes) of the documents whose ``doc_id`` is in ``ids``, and of a few others.
 
-    Documents are chosen by a bit filter of fixed size, so their texts are not shuffled to find them; a filter
+    With ``repeated``, rows with equal ``doc_id`` and set are reduced to one. Documents are chosen by a bit filter of fixed size, so their texts are not shuffled to find them; a filter
     that is too full lets more of them through, which the following join drops.
     """
-    slots = ids.select(_slot("id").alias("slot"))
+    slots = ids.select(_slot("doc_id").alias("slot"))
     parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     size = 32_768 // 8
     bits = bytearray(FILTER_BITS // 8 + 2 * size)
@@ -152,12 +161,14 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             bit, where = batch.column("bit").to_numpy(), batch.column("bucket").to_numpy()
             hit = (shipped.value[where * size + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
             chosen = batch.filter(pa.array(hit.astype(bool)))
-            sets = [shingles(t or "").tobytes() for t in chosen.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([chosen.column("id"), pa.array(sets, pa.binary())], ["id", "members"])
+            sets = [shingles(t or "") for t in chosen.column("text").to_pylist()]
+            columns = [chosen.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "members"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = rows.withColumn("bit", F.bitmap_bit_position(_slot("id"))).withColumn("bucket", F.bitmap_bucket_number(_slot("id")))
-    return map_batches(rows, run, "id long, members binary")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    rows = rows.withColumn("bit", F.bitmap_bit_position(_slot("doc_id"))).withColumn("bucket", F.bitmap_bucket_number(_slot("doc_id")))
+    sets = map_batches(rows, run, "doc_id long, digest binary, members binary")
+    return sets.dropDuplicates(["doc_id", "digest"]) if repeated else sets
 
 
 def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -166,23 +177,25 @@ def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose sketches agree well enough."""
+    """Pairs ``a, b`` whose sketches agree well enough, with the ``doc_id`` and digest of both."""
+    named = ["a", "b", "doc_a", "digest_a", "doc_b", "digest_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for c in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(_estimate(x, y) >= LEAST_ESTIMATE))
+            yield batch.select(named).filter(pa.array(_estimate(x, y) >= LEAST_ESTIMATE))
 
-    joined = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(
-        sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a"
-    )
-    return map_batches(joined.select("a", "b", "sketch_a", "sketch_b"), run, "a long, b long")
+    def side(name: str) -> DataFrame:
+        return sketches.select(F.col("id").alias(name), F.col("doc_id").alias(f"doc_{name}"), F.col("digest").alias(f"digest_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    return map_batches(joined.select(*named, "sketch_a", "sketch_b"), run, "a long, b long, doc_a long, digest_a binary, doc_b long, digest_b binary")
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, label: str) -> DataFrame:
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, repeated: bool, label: str) -> DataFrame:
     """Links ``a, b`` among pairs: the promising ones whose full sets are similar enough."""
-    chosen = materialise(_promising(pairs, sketches).distinct(), f"{label}-pairs")
-    sets = _sets_of(docs, chosen.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    chosen = materialise(_promising(pairs, sketches), f"{label}-pairs")
+    sets = _sets_of(docs, chosen.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,13 +204,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, label: st
             yield batch.select(["a", "b"]).filter(hit)
 
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), F.col("members").alias(f"members_{name}"))
+        return sets.select(F.col("doc_id").alias(f"doc_{name}"), F.col("digest").alias(f"digest_{name}"), F.col("members").alias(f"members_{name}"))
 
-    joined = chosen.join(side("b"), "b").join(side("a"), "a").select("a", "b", "members_a", "members_b")
+    joined = chosen.join(side("b"), ["doc_b", "digest_b"]).join(side("a"), ["doc_a", "digest_a"]).select("a", "b", "members_a", "members_b")
     return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links")
 
 
-def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame) -> DataFrame:
+def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame, repeated: bool) -> DataFrame:
     """Links between members that are apart from their bucket's leader and members of other components.
 
     A bucket's apart members are dealt to blocks, and so are all its members; every block of the first kind meets
@@ -207,16 +220,16 @@ def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame) -> DataFr
     sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if(apart).alias("u")).where("u > 0")
     sizes = sizes.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("u") / BLOCK).cast("int").alias("nu"))
     rows = materialise(placed.select("band", "id", "own", apart.alias("apart")).join(materialise(sizes, "near-dup-sizes"), "band"), "near-dup-blocks")
-    ids = rows.select("id").distinct()
-    known = heads.join(_sets_of(docs, ids), "id").select("id", "bands", "sketch", "members")
+    met = materialise(heads.join(rows.select("id").distinct(), "id", "left_semi"), "near-dup-met")
+    known = met.join(_sets_of(docs, met, repeated), ["doc_id", "digest"]).select("id", "bands", "sketch", "members")
 
     def dealt(count: str, seed: int):
         return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count)).cast("int")
 
     every = F.sequence(F.lit(0), F.col("nu") - 1)
     asked = rows.where("apart").select("band", "id", "own", "apart", F.lit(True).alias("asks"), dealt("nu", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    met = rows.select("band", "id", "own", "apart", F.lit(False).alias("asks"), F.explode(every).alias("i"), dealt("nb", 2).alias("j"))
-    blocks = asked.unionAll(met).join(known, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    others = rows.select("band", "id", "own", "apart", F.lit(False).alias("asks"), F.explode(every).alias("i"), dealt("nb", 2).alias("j"))
+    blocks = asked.unionAll(others).join(known, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def links(band: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         """rows: (id, own, apart, asks, bands, sketch, members)"""
@@ -264,26 +277,25 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
-
-    Needs ``doc_id, text``; other columns are left out. A null text or one without words has an empty set and is
-    linked with nothing. A row without ``doc_id`` belongs to no group: its ``component_id`` is null and it is
-    kept. Rows with equal ``doc_id`` are judged one by one by their texts. An empty table gives no rows.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, kept`` of every document."""
     measured = materialise(signed(docs), "near-dup-signed")
     sets = measured.where("doc_id is not null and n_shingles > 0")
-    classes = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("id")), "near-dup-classes")
-    heads = sets.join(classes, (sets["digest"] == classes["digest"]) & (sets["doc_id"] == classes["id"]), "left_semi")
-    heads = materialise(heads.select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"]), "near-dup-heads")
-    sketches = heads.select("id", "sketch")
+    ranked = global_rank(sets.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "near-dup-digests", "first_id", "digest")
+    classes = materialise(ranked.select(F.col("_rank").alias("id"), "first_id", "digest"), "near-dup-classes")
+    heads = sets.join(classes.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"]).select("id", "doc_id", "digest", "bands", "sketch")
+    heads = materialise(heads, "near-dup-heads")
+    repeated = heads.count() > classes.count()
+    if repeated:
+        heads = materialise(heads.dropDuplicates(["id"]), "near-dup-heads-once")
+    sketches = heads.select("id", "doc_id", "digest", "sketch")
 
     banded = heads.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader < _last").drop("_last")
     members = materialise(banded.join(buckets, "band"), "near-dup-members")
 
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(docs, pairs, sketches, "near-dup-first")
+    links = _confirmed(docs, pairs, sketches, repeated, "near-dup-first")
     found = components(links)
 
     def label(column: str, alias: str) -> DataFrame:
@@ -294,22 +306,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("band", "id", "leader", F.coalesce("_own", "id").alias("own"), F.coalesce("_lead", "leader").alias("lead"))
     )
     placed = materialise(placed, "near-dup-placed")
-    more = _block_links(docs, placed, heads)
+    more = _block_links(docs, placed, heads, repeated)
     if not more.isEmpty():
         found = components(links.unionAll(more))
 
-    reached = found.select(F.col("node").alias("id"), "component")
-    group = materialise(classes.join(reached, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "near-dup-groups")
-    out = measured.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
+    # The class with the smallest number of a component has its smallest doc_id.
+    least = classes.select(F.col("id").alias("component"), F.col("first_id").alias("least"))
+    reached = found.select(F.col("node").alias("id"), "component").join(least, "component").select("id", "least")
+    group = materialise(classes.join(reached, "id", "left").select("digest", F.coalesce("least", "first_id").alias("component")), "near-dup-groups")
+    out = measured.select("doc_id", "text_key", "n_shingles", "digest").join(group, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document.
+
+    Needs ``doc_id, text``; other columns are left out. A null text or one without words has an empty set and is
+    linked with nothing. A row without ``doc_id`` belongs to no group: its ``component_id`` is null and it is
+    kept. Rows with equal ``doc_id`` are judged one by one by their texts; if these differ, each has its own links.
+    An empty table gives no rows.
+    """
+    return _judged(docs).drop("text_key")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The five columns of the documents that stay: of each group the one with the smallest ``doc_id``.
 
-    Rows without ``doc_id`` stay. The ids to be dropped are joined without sorting texts.
+    Rows without ``doc_id`` stay. Of rows with equal ``doc_id`` only the texts go that are not kept. The rows to be
+    dropped are joined without sorting texts.
     """
-    verdict = materialise(near_duplicates(docs), "near-dup-verdict")
-    dropped = verdict.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    dropped = materialise(_judged(docs).where("not kept").select("doc_id", "text_key").distinct(), "near-dup-dropped")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", _text_key())
+    return rows.join(dropped.hint("shuffle_hash"), ["doc_id", "text_key"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")

@@ -108,7 +108,25 @@ def test_odd_rows(odd, empty):
     assert all(r.component_id is None and r.kept for r in rows if r.doc_id is None)
     assert {(r.n_shingles, r.component_id, r.kept) for r in rows if r.doc_id == 5} == {(rows_of(rows, 5), 4, False)}
     assert {(r.n_shingles, r.kept) for r in rows if r.doc_id in (1, 2, 3)} == {(0, True)}
-    assert {r.doc_id for r in near_dup.deduplicate(odd).collect()} == {None, 1, 2, 3, 4, 6, 7, 8, 9, 10}
+    # Text 8 repeats the text that 4 has beside another one: it is a near-copy of it.
+    same, other = (sets_of([(r.doc_id, r.text)])[r.doc_id] for r in (odd.where("doc_id = 5").first(), odd.where("doc_id = 8").first()))
+    assert len(same & other) >= 0.75 * len(same | other)
+    assert {r.doc_id for r in near_dup.deduplicate(odd).collect()} == {None, 1, 2, 3, 4, 6, 7, 9, 10}
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Different texts under one id, each with a near-copy of its own, and a pair repeated many times."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, "another text of its own, not like the others"), (4, two + " z")]
+    rows += [(5, one + " x x")] * 200
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(4)
+
+
+def test_texts_of_one_id_are_judged_one_by_one(repeated):
+    rows = near_dup.near_duplicates(repeated).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == {(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 1, (4, 1, False): 1, (5, 1, False): 200}
+    assert Counter((r.doc_id, r.text[:2]) for r in near_dup.deduplicate(repeated).collect()) == {(1, "a0"): 1, (1, "b0"): 1, (4, "an"): 1}
 
 
 def rows_of(rows, doc_id):
