@@ -57,12 +57,12 @@ def sources(sized: DataFrame) -> DataFrame:
 def _placed(sized: DataFrame, known: DataFrame) -> DataFrame:
     """Documents with their source's numbers, shard and place in the seeded order."""
     side = known.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "shards")
-    shard = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.lit("shard")), F.col("shards"))
+    shard = F.pmod(F.xxhash64(F.lit(SEED), F.col("_key"), F.lit("shard")), F.col("shards"))
     return (
         sized.join(side, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("shard", shard)
-        .withColumn("_order", F.xxhash64(F.lit(SEED + 1), F.col("doc_id")))
+        .withColumn("_order", F.xxhash64(F.lit(SEED + 1), F.col("_key")))
     )
 
 
@@ -131,7 +131,9 @@ def _in_order(placed: DataFrame, quota: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select("doc_id", *more, "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    """Sizes, and a key from id and text, so that rows with one id or none are spread over shards by their texts."""
+    key = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text")
+    return docs.select("doc_id", *more, "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("_key"))
 
 
 def plan(docs: DataFrame) -> DataFrame:

@@ -60,6 +60,16 @@ def test_many_shards(small, monkeypatch):
     assert sum(r.taken for r in rows) == pytest.approx(float(sum(want.values())), rel=0.05)
 
 
+def test_rows_without_id_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1_000)
+    rows = [(None if i % 2 else 7, f"{i} " * 20, "en", "hot", 0) for i in range(2_000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    sized = mixing._sized(frame)
+    placed = mixing._placed(sized, mixing.sources(sized)).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert len(placed) == 40 and max(r.n for r in placed) < 2_000
+    check(frame)
+
+
 def test_quotas_are_sainte_lague(spark, monkeypatch):
     shares = [13.0, 700.5, 320.0, 33.0, 64.0, 64.0, 0.0, 1000.0, 95.0, 40.0]
     cells = spark.createDataFrame([(i, 0, s) for i, s in enumerate(shares)], "source_no long, shard long, share double")
