@@ -41,12 +41,12 @@ FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
 def _quality() -> str:
-    """The rules with exact quartiles, which the sketches give for groups of up to about 2,000 documents."""
+    """The rules with quartiles of the binned ratios."""
     ratios = list(quality.UPPER)
     levels = []
     for level, keys in ((0, "lang, source"), (1, "lang"), (3, "'all'")):
         quartiles = ", ".join(
-            f"list_sort(list({r}))[CAST(ceil({p} * count(*)) AS BIGINT)] AS q{k}_{r}" for r in ratios for k, p in ((1, 0.25), (2, 0.5), (3, 0.75))
+            f"list_sort(list(b_{r}))[({k} * count(*) + 3) // 4] / {quality.UNIT} AS q{k}_{r}" for r in ratios for k in (1, 2, 3)
         )
         names = {0: "lang AS g_lang, source AS g_source", 1: "lang AS g_lang, NULL AS g_source", 3: "NULL AS g_lang, NULL AS g_source"}[level]
         levels.append(f"SELECT {level} AS level, {names}, count(*) AS n, {quartiles} FROM m WHERE NOT base_failed GROUP BY {keys}")
@@ -54,6 +54,8 @@ def _quality() -> str:
         [f"greatest(q3_{r} + {t} * (q3_{r} - q1_{r}), q2_{r} + {least}) AS hi_{r}" for r, (t, least) in quality.UPPER.items()]
         + [f"least(q1_{r} - {t} * (q3_{r} - q1_{r}), q2_{r} - {least}) AS lo_{r}" for r, (t, least) in quality.LOWER.items()]
     )
+    units = ", ".join(f"({n} * {quality.UNIT}) // greatest({d}, 1) AS u_{r}" for r, (n, d) in quality.PARTS.items())
+    bins = ", ".join(f"u_{r} - u_{r} % (1::BIGINT << greatest(length(bin(u_{r})) - {quality.BITS}, 0)) AS b_{r}" for r in ratios)
     inside = " AND ".join([f"{r} <= f.hi_{r}" for r in quality.UPPER] + [f"{r} >= f.lo_{r}" for r in quality.LOWER])
     return f"""
 WITH t AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -64,9 +66,10 @@ covered AS (SELECT row, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0
 counts AS (SELECT row, doc_id, lang, source, len(words) AS n_words, length(regexp_replace(text, '[ \\t-\\r]+', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     len(lines) AS n_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (row)),
-m AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+u AS (SELECT *, {units} FROM counts),
+m AS (SELECT *, {bins}, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
     n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS word_length,
-    n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts),
+    n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM u),
 q AS ({" UNION ALL ".join(levels)}),
 f AS (SELECT level, g_lang, g_source, n, {fences} FROM q),
 chosen AS (SELECT m.*, f.* FROM m LEFT JOIN f ON f.level = 3 OR f.n >= {quality.MIN_GROUP} AND m.lang IS NOT DISTINCT FROM g_lang

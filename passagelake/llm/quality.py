@@ -5,14 +5,15 @@ mergeable quantile sketch of each ratio is kept for every (language, source),
 every language and the whole corpus; a document is then judged against the
 fences of the narrowest of these groups that has enough documents.
 
-The sketch is Spark's ``percentile_approx``: partial sketches are built per task
-and merged, so a source with a third of all rows is no hot spot, and unlike
-sketches with random choices it gives the same thresholds on every run.
+The sketch counts values in fixed bins whose width follows their size, in integer
+arithmetic. Counts are added per task and then merged, so a source with a third
+of all rows is no hot spot; and as addition commutes, the thresholds do not
+depend on the order in which parts arrive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagelake.llm.common import SPACE, let, tail, words
@@ -23,8 +24,15 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Rank error of the sketches: 1 / ACCURACY.
-ACCURACY = 2_000
+#: Values are counted in units of 1 / UNIT, and of a value's units only the leading BITS bits are kept: bins are as wide as
+#: a thousandth of their values, and a sketch has at most 2^(BITS - 1) bins for each power of two.
+UNIT = 1 << 20
+BITS = 11
+#: ratio -> (numerator, denominator)
+PARTS = {
+    "symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "repeat_ratio": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words"),
+}
 #: A group with fewer documents is judged by its language, then by the corpus.
 MIN_GROUP = 100
 #: ratio -> (upper fence: quartile distances above the third quartile, least distance from the median)
@@ -115,18 +123,41 @@ def features(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _bin(numerator: str, denominator: str) -> Column:
+    """The lower end of the bin of a ratio, in units."""
+    units = F.expr(f"({numerator} * {UNIT}) div greatest({denominator}, 1)")
+    low = F.greatest(F.length(F.bin(units)) - BITS, F.lit(0))
+    return let(F.struct(units.alias("units"), low.alias("low")), _leading)
+
+
+def _leading(x: Column) -> Column:
+    """The units without their ``low`` last bits."""
+    return x["units"] - F.pmod(x["units"], F.pow(F.lit(2.0), x["low"]).cast("long"))
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
     """Fences of every (language, source), language and the corpus, from merged quantile sketches.
 
     Only documents that pass the base rules count. Columns: ``level`` (0: language and source, 1: language,
-    3: corpus), ``lang``, ``source``, ``n_docs`` and ``hi_<ratio>``, ``lo_<ratio>``.
+    3: corpus), ``lang``, ``source``, ``n_docs`` and ``hi_<ratio>``, ``lo_<ratio>``. A quartile is the lower end of
+    its bin.
     """
-    quartiles = [F.percentile_approx(r, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{r}") for r in UPPER]
-    sketched = (
-        measured.where(~F.col("base_failed"))
-        .rollup("lang", "source")
-        .agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n_docs"), *quartiles)
-    )
+    bins = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), _bin(*PARTS[r]).alias("bin")) for r in UPPER])).alias("_value")
+    counted = measured.where(~F.col("base_failed")).select("lang", "source", bins).select("lang", "source", "_value.ratio", "_value.bin")
+    sketches = materialise(counted.groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")), "quality-sketches")
+    merged = sketches.groupingSets(
+        [["lang", "source", "ratio", "bin"], ["lang", "ratio", "bin"], ["ratio", "bin"]], "lang", "source", "ratio", "bin"
+    ).agg(F.shiftright(F.grouping_id(), 2).cast("int").alias("level"), F.sum("n").alias("n"))
+    group = Window.partitionBy("level", "lang", "source", "ratio")  # the bins of one sketch
+    placed = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("n_docs", F.sum("n").over(group))
+
+    def at(ratio: str, k: int) -> Column:
+        """The smallest bin up to which k quarters of the documents lie."""
+        reached = (F.col("ratio") == ratio) & (4 * F.col("upto") >= k * F.col("n_docs"))
+        return F.min(F.when(reached, F.col("bin"))) / F.lit(float(UNIT))
+
+    quartiles = [F.array(*[at(r, k) for k in (1, 2, 3)]).alias(f"q_{r}") for r in UPPER]
+    sketched = placed.groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), *quartiles)
 
     def quartile(ratio: str, k: int) -> Column:
         return F.col(f"q_{ratio}")[k]

@@ -66,6 +66,25 @@ def test_stage_keeps_the_judged_documents(small, odd, empty):
     assert quality.keep_good(odd).count() >= 1 and quality.keep_good(empty).count() == 0
 
 
+def test_fences_do_not_depend_on_the_order(small):
+    measured = quality.features(small).drop("text")
+    want = sorted(map(str, quality.thresholds(measured).collect()))
+    for parts in (1, 5, 23):
+        assert sorted(map(str, quality.thresholds(measured.repartition(parts, "n_words")).collect())) == want
+
+
+def test_quartiles_lie_within_a_bin_of_the_exact_ones(small):
+    measured = quality.features(small).drop("text")
+    passed = [r for r in measured.collect() if not r.base_failed]
+    got = next(r for r in quality.thresholds(measured).collect() if r.level == 3)
+    lengths = sorted(r.word_length for r in passed)
+    q1, q2, q3 = (lengths[(k * len(lengths) + 3) // 4 - 1] for k in (1, 2, 3))
+    times, least = quality.UPPER["word_length"]
+    assert got.n_docs == len(passed) and abs(got.hi_word_length - max(q3 + times * (q3 - q1), q2 + least)) <= 0.01 * q3 * times
+    times, least = quality.LOWER["word_length"]
+    assert abs(got.lo_word_length - min(q1 - times * (q3 - q1), q2 - least)) <= 0.01 * q3 * times
+
+
 def test_main_path_is_native(odd):
     plan = quality.quality(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
