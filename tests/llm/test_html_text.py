@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from passagelake.llm.html_text import extract, main_text
@@ -71,6 +72,31 @@ def test_lists_in_the_main_text_stay(count):
         assert main_text(f"<body>{prose}<ul>{items}</ul>{prose}<nav>x</nav></body>").split("\n") == lines + [text] * count + lines
 
 
+@pytest.mark.parametrize("name", ["share-price", "side-effects", "search_results2", "notice-period"])
+def test_names_that_only_begin_like_other_parts(name):
+    page = f"<article><p>{PARAGRAPH}</p><div class='{name}'><p>It rose, then fell.</p></div><p>{PARAGRAPH}</p></article>"
+    assert main_text(page).split("\n") == [PARAGRAPH, "It rose, then fell.", PARAGRAPH]
+    links = f"<article><p>{PARAGRAPH}</p><div class='{name}'><a href=x>Rose, fell.</a></div></article>"
+    assert main_text(links) == PARAGRAPH
+
+
+@pytest.mark.parametrize("name", ["share", "share-buttons", "reader-comments", "comment-42", "cookie-policy-notice", "ad-slot", "sidebar-left", "promo_box"])
+def test_names_of_other_parts_inside_an_article(name):
+    assert main_text(f"<article><p>{PARAGRAPH}</p><div class='{name}'><p>It rose, then fell.</p></div></article>") == PARAGRAPH
+
+
+def test_text_behind_the_last_content_stays():
+    page = f"<body><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div>short</div><ul><li>tail item</li></ul><div class=more><a href=x>Next</a></div></body>"
+    assert main_text(page).split("\n") == [PARAGRAPH, PARAGRAPH, "short", "tail item"]
+
+
+@pytest.mark.parametrize("unit", ["<div>x. ", "<div class=sidebar><h1>x. ", "<b>x. <div>y. ", "<span>", "</p><i>x. </b>"])
+def test_nested_pages_cost_as_much_as_flat_ones(unit):
+    begin = time.process_time()
+    assert bool(main_text("<body>" + unit * 10_000)) == ("x" in unit)
+    assert time.process_time() - begin < 3
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, f"<article><p>{PARAGRAPH * 3_000}</p></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
