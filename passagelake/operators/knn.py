@@ -384,8 +384,20 @@ def knn(
     ``candidates(filters)`` gives the chunks to compare for some blocks of
     queries, with a ``collection_name`` when some query filters on one.
     """
+    parts, limits = partial_results(queries, candidates, dim, block_bytes)
+    return rank_hits(parts, limits).drop("top_n")
+
+
+def partial_results(
+    queries: DataFrame, candidates: Callable[[set[str | None]], DataFrame], dim: int, block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, set[int]]:
+    """Hits of all tasks before they are ranked, and the limits that occur among the queries."""
     columns = ["chunk_id", "document_id", "embedding"]
-    parts, limits = _by_block(queries, candidates, dim, block_bytes, PARTIAL_SCHEMA, columns, _partial_top_k(dim))
+    return _by_block(queries, candidates, dim, block_bytes, PARTIAL_SCHEMA, columns, _partial_top_k(dim))
+
+
+def rank_hits(parts: DataFrame, limits: set[int]) -> DataFrame:
+    """Partial results with their rank ``rk``, at most ``top_n`` for each query; ``limits`` are all that occur."""
     best_first = [F.asc_nulls_last("distance"), F.col("chunk_id").asc()]
     many = [n for n in limits if n < 0 or n > RANKED_TOGETHER]
     few = [n for n in limits if 0 <= n <= RANKED_TOGETHER]
@@ -400,7 +412,7 @@ def knn(
     if many:
         wide = rank_in_groups(parts.filter(~is_few), ["query_id"], best_first, "ranked")
         ranked = ranked.unionByName(wide) if few else wide
-    return ranked.filter((F.col("top_n") < 0) | (F.col("rk") <= F.col("top_n"))).drop("top_n")
+    return ranked.filter((F.col("top_n") < 0) | (F.col("rk") <= F.col("top_n")))
 
 
 def _by_block(

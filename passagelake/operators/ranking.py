@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from passagelake.session import materialise
 
 
-def rank_in_groups(rows: DataFrame, group: list[str], order: list[Column], label: str) -> DataFrame:
-    """Adds ``rk``, counted from 1 inside each group in a total order.
+def place_in_groups(rows: DataFrame, group: list[str], order: list[Column], label: str) -> DataFrame:
+    """Adds ``_rank``, a long counted from 1 inside each group in a total order; no group at all is one group.
 
     Rows are dealt to ranges of (group, order) and stored, so a large group lies in many partitions. A row's rank is
     its place among its group's rows of the partition, after the rows of the partitions before; of those only
@@ -22,4 +22,10 @@ def rank_in_groups(rows: DataFrame, group: list[str], order: list[Column], label
     starts = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*group, "_part").orderBy(*order)
     placed = stored.withColumn("_place", F.row_number().over(within)).join(starts, [*group, "_part"])
-    return placed.withColumn("rk", (F.col("_place") + F.col("_start")).cast("int")).drop("_part", "_place", "_start")
+    return placed.withColumn("_rank", F.col("_place") + F.col("_start")).drop("_part", "_place", "_start")
+
+
+def rank_in_groups(rows: DataFrame, group: list[str], order: list[Column], label: str) -> DataFrame:
+    """``place_in_groups`` with the rank as int column ``rk``."""
+    placed = place_in_groups(rows, group, order, label)
+    return placed.withColumn("rk", F.col("_rank").cast("int")).drop("_rank")

@@ -248,6 +248,9 @@ _RAW: dict[str, str] = {
     "topk_search_all": _single("TRUE"),
     "topk_search_collection": _single("k.name = 'src3'"),
     "topk_search_batch": _BATCH,
+    "topk_search_cells": _BATCH.replace(
+        "{v_queries}", "(SELECT query_id, top_n, CAST(NULL AS VARCHAR) AS filtre, embedding FROM {v_queries})"
+    ),
     "knn_vectorised": _BATCH,
     "rank_per_query": f"WITH {_HITS} SELECT query_id, rk, chunk_id FROM hits",
     "search_result_shape": f"""WITH {_HITS} SELECT query_id, rk, chunk_id, document_id, chunk_text, round(d, 6) AS distance,

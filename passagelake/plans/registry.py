@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from passagelake.fixtures import DIM, Bindings
 from passagelake.functions import extract, text, vectors
 from passagelake.functions.encoders import HashingEncoder
-from passagelake.operators import access, catalog, guards, ids, knn, metrics, projections, quality, search, skew
+from passagelake.operators import access, catalog, cells, guards, ids, knn, metrics, projections, quality, search, skew
 from passagelake.plans import ingest
 from passagelake.session import materialise, scratch_path, ship_package
 from passagelake.sources import changes, files, objects, sinks, tables
@@ -448,6 +448,14 @@ def topk_search_unlimited(t: Bindings) -> DataFrame:
     return _rounded(hits, "distance", "cos")
 
 
+@query
+def topk_search_cells(t: Bindings) -> DataFrame:
+    """All vectors searched over stored cells, of which those that cannot hold a hit are not read."""
+    path = scratch_path(t.spark, "cells")
+    cells.store_cells(_candidates(t)({None}), path, DIM)
+    return _rounded(cells.search_cells(t["v_queries"], path, DIM).hits, "distance", "cos")
+
+
 @query
 def rank_per_query(t: Bindings) -> DataFrame:
     return _hits(t).select("query_id", "rk", "chunk_id")
