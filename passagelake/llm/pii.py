@@ -2,8 +2,8 @@
 
 High-recall generators propose spans, which may overlap. Each candidate falls into
 one cell of a bounded grid of format and context features. Over the whole corpus the
-cells are counted by an aggregation, with the strict base rules as labels; the trees
-see neither the plus sign nor the check digit nor the range of an address part, so a
+cells are counted by an aggregation, with the strict base rules as labels (an address
+with ``[at]`` or ``(dot)`` is labelled and placed by its plain form); the trees see neither the plus sign nor the check digit nor the range of an address part, so a
 candidate that looks like personal data in form and context scores high although it
 misses a strict rule. Trees are fitted on one half of the documents; on the other half
 the lowest score that still reaches the wanted precision becomes the threshold of a
@@ -47,6 +47,7 @@ WIDE = {
 #: What a text needs before a kind's patterns are tried at all.
 _NEEDS = {"email": r"(?i)@|[\[(] ?at ?[\])]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 
+_BRACKET = r"[(\[]"
 _KEYWORDS = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|credit|account|\bip\b|host|server|address)"
 
 #: Feature -> number of values. Their product (28,224) bounds the cells and with them the training rows.
@@ -111,14 +112,26 @@ def _base(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)]))
 
 
+def _plain_address(found: Column) -> Column:
+    """An address with ``[at]`` and ``(dot)`` written as signs."""
+    return F.regexp_replace(F.regexp_replace(found, r"(?i) ?[\[(] ?at ?[\])] ?", "@"), r"(?i) ?[\[(] ?dot ?[\])] ?", ".")
+
+
+def _strict_when_plain(kind: int, span: Column) -> Column:
+    """Whether a candidate with brackets is, in its plain form, an address of the base pattern."""
+    if kind:
+        return F.lit(False)
+    return span["found"].rlike(_BRACKET) & _plain_address(span["found"]).rlike(rf"^{_LOCAL}++@{_HOST}++(?:\.{_HOST}++){{1,7}}$")
+
+
 def _cell(kind: int, span: Column) -> Column:
-    """The candidate's place in the grid as one number."""
-    found, email = span["found"], F.lit(kind == 0)
+    """The candidate's place in the grid as one number; an address is placed by its plain form."""
+    found, email = span["found"] if kind else _plain_address(span["found"]), F.lit(kind == 0)
     values = {
         "kind": F.lit(kind),
         "digits": F.least(F.length(_digits(found)), F.lit(20)),
         "groups": F.least(F.size(F.split(found, "[^0-9]+" if kind else "[.@ ]+")), F.lit(6)),
-        "paren": found.rlike(r"[(\[]").cast("int"),
+        "paren": found.rlike(_BRACKET).cast("int") if kind else F.lit(0),
         "left": span["before"].rlike(r"\S$").cast("int"),
         "keyword": span["before"].rlike(_KEYWORDS).cast("int"),
         "right": F.when(span["after"].rlike(r"^(?:[\s,.;:!?)]|$)"), 0).when(span["after"].rlike(r"^\p{L}"), 1).otherwise(2),
@@ -134,7 +147,7 @@ def _candidates(text: Column) -> Column:
     def of(n: int, kind: str) -> Column:
         return F.transform(
             _matches(text, WIDE[kind], _NEEDS[kind]),
-            lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end"), _cell(n, s).alias("cell")),
+            lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end"), _cell(n, s).alias("cell"), _strict_when_plain(n, s).alias("plain")),
         )
 
     return F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)])
@@ -152,7 +165,7 @@ def propose(docs: DataFrame, *more: str) -> DataFrame:
         plain = F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
         return F.struct(
             c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["cell"].alias("cell"),
-            F.array_contains(F.col("base"), plain).cast("int").alias("label"),
+            (c["plain"] | F.array_contains(F.col("base"), plain)).cast("int").alias("label"),
             F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).alias("covered"),
         )
 

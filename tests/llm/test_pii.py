@@ -72,6 +72,19 @@ def test_trees_accept_what_looks_like_personal_data(spark):
     assert not any(r.spans for d, r in got.items() if 1_000 <= d < 2_000)
 
 
+def test_bracketed_addresses_are_accepted(spark):
+    """Addresses with [at] and (dot) count by their plain form; what has no host with a dot does not."""
+    written = ["ann [at] mail.example.org", "bob(at)site (dot) net", "eve@shop[dot]example[DOT]com"]
+    rows = [(i, f"write to {written[i % 3]} today", "en", "s", 0) for i in range(300)]
+    rows += [(1_000 + i, f"write to user{i}@example.org today", "en", "s", 0) for i in range(300)]
+    rows += [(2_000 + i, f"see you{i} (at) home, or tag me@work{i} there", "en", "s", 0) for i in range(300)]
+    got = by_id(pii.find(spark.createDataFrame(rows, SCHEMA)))
+    for i in range(300):
+        assert got[i].spans == f"email:9:{9 + len(written[i % 3])}" and got[i].n_email == 0
+        assert not got[2_000 + i].spans
+        assert got[1_000 + i].n_email == 1
+
+
 def test_redaction_replaces_every_span(spark, odd, empty):
     rows = [(1, "write a@b.cc or 10.0.0.1 😀", "en", "s", 25), (2, None, "en", "s", 7), (3, "clean", "en", "s", 5)]
     got = by_id(pii.redact(spark.createDataFrame(rows, SCHEMA)))
