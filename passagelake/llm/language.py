@@ -27,6 +27,8 @@ from passagelake.session import materialise
 
 #: Labelled documents that the trigram model is fitted on, for each language at most.
 SAMPLE = 400
+#: Languages of the model at most, those with the most sampled documents (ties by name): 64 MB of model.
+LANGUAGES = 512
 #: Buckets that byte trigrams are hashed into; the model has this many numbers for each language.
 BUCKETS = 1 << 14
 #: A text of n trigrams counts as n * WEIGHT / (n + WEIGHT): neighbouring trigrams are not independent.
@@ -73,14 +75,15 @@ def fit(labelled: DataFrame) -> Model:
     (rows that tie with the last one are taken too).
 
     Needs ``doc_id, text, lang``; rows without text or with no valid code are left out. What reaches the driver
-    is ``BUCKETS`` counts for each language.
+    is an array of ``BUCKETS`` counts for each of at most ``LANGUAGES`` languages.
     """
     order = F.xxhash64("doc_id", F.length("text"))
     rows = labelled.select(primary(F.col("lang")).alias("lang"), "text", order.alias("_order")).where("lang is not null and text is not null")
     # The texts are read again by the last hash of each language's sample, so none of them is shuffled.
     ranked = rows.select("lang", "_order").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_order")))
-    limits = materialise(ranked.where(F.col("_n") <= SAMPLE).groupBy("lang").agg(F.max("_order").alias("_last")), "language-sample")
-    chosen = rows.join(F.broadcast(limits), "lang").where("_order <= _last")  # codes of two or three letters: 18,954 rows at most
+    limits = materialise(ranked.where(F.col("_n") <= SAMPLE).groupBy("lang").agg(F.max("_order").alias("_last"), F.count("*").alias("_docs")), "language-sample")
+    limits = limits.orderBy(F.desc("_docs"), "lang").limit(LANGUAGES).select("lang", "_last")
+    chosen = rows.join(F.broadcast(limits), "lang").where("_order <= _last")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -91,12 +94,12 @@ def fit(labelled: DataFrame) -> Model:
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["lang", "bucket", "n"])
 
-    counted = map_batches(chosen.select("lang", "text"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = tuple(sorted({r.lang for r in counted}))
-    counts = np.full((len(languages), BUCKETS), 0.5)
-    for r in counted:
-        counts[languages.index(r.lang), r.bucket] += r.n
-    return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)))
+    counted = map_batches(chosen.select("lang", "text"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = counted.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).orderBy("lang").toArrow()
+    counts = np.full((packed.num_rows, BUCKETS), 0.5)
+    for row, buckets, ns in zip(counts, packed["buckets"], packed["ns"], strict=True):
+        row[buckets.values.to_numpy()] += ns.values.to_numpy()
+    return Model(tuple(packed["lang"].to_pylist()), np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
 _SCORED = "doc_id long, page_id long, declared string, host string, scores array<double>"
