@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from passagelake.functions.vectors import dim_ok
 from passagelake.operators.knn import (
-    BLOCK_BYTES, PARTIAL_SCHEMA, REFINE_BYTES, partial_results, rank_hits, valid_queries, vectors_of,
+    BLOCK_BYTES, CELL_COLUMNS, PARTIAL_SCHEMA, REFINE_BYTES, partial_results, rank_hits, valid_queries, vectors_of,
 )
 from passagelake.session import materialise
 
@@ -35,7 +35,6 @@ SAMPLE_PER_CELL = 32
 FIT_ROUNDS = 5
 
 CELL_SCHEMA = "cell int, centre array<double>, inner double, outer double, n long"
-VISIT_SCHEMA = "query_id long, embedding array<double>, top_n int, filtre string, n long"
 
 
 @dataclass
@@ -146,28 +145,39 @@ def _load(spark: SparkSession, path: str, dim: int) -> _Cells:
     return _Cells(column("cell"), centre, column("inner"), column("outer"), column("n"))
 
 
-def _visits(shared, second: bool):
-    """A row for each query and cell to read: in the first scan the nearest, in the second those within the limit."""
+def _visits(shared, dim: int, second: bool):
+    """A row for each query with cells to read, as bits: in the first scan the nearest, in the second those within the limit."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: _Cells = shared.value
+        width = int(cells.cell.max(initial=-1)) + 1
         for batch in batches:
-            for row in batch.to_pylist():
-                least = cells.least(np.asarray(row["embedding"], np.float64))
-                wanted = cells.nearest(least, row["top_n"])
-                if second:
-                    wanted = ~wanted & (least <= row["limit"])
-                found = np.flatnonzero(wanted)
-                if len(found):
-                    same = lambda value: pa.array([value] * len(found))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            same(row["query_id"]), same(row["embedding"]).cast(pa.list_(pa.float64())),
-                            pa.array([row["top_n"]] * len(found), pa.int32()),
-                            pa.array(cells.cell[found].astype(str).tolist()), pa.array(cells.n[found]),
-                        ],
-                        names=["query_id", "embedding", "top_n", "filtre", "n"],
-                    )
+            vectors = vectors_of(batch.column("embedding"), dim)[0].astype(np.float64)
+            wanted = np.zeros((len(vectors), len(cells.cell)), bool)
+            if second:
+                read = np.frombuffer(b"".join(batch.column("_cells").to_pylist()), np.uint8).reshape(len(vectors), -1)
+                read = np.unpackbits(read, axis=1)[:, cells.cell].astype(bool)
+                limit = batch.column("_limit").to_numpy()
+                for i, vector in enumerate(vectors):
+                    wanted[i] = ~read[i] & (cells.least(vector) <= limit[i])
+            else:
+                for i, top_n in enumerate(batch.column("top_n").to_pylist()):
+                    wanted[i] = cells.nearest(cells.least(vectors[i]), top_n)
+            found = np.flatnonzero(wanted.any(axis=1))
+            if not len(found):
+                continue
+            wanted, kept = wanted[found], batch.take(pa.array(found))
+            bits = np.zeros((len(found), width), bool)
+            bits[:, cells.cell] = wanted
+            packed = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
+            limit = kept.column("_limit") if second else pa.array(np.full(len(found), np.inf))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[kept.column(name) for name in ("query_id", "embedding", "top_n", "filtre")], packed, limit,
+                    pa.array(wanted.sum(axis=1)), pa.array(wanted @ cells.n),
+                ],
+                names=["query_id", "embedding", "top_n", "filtre", *CELL_COLUMNS, "n_cells", "n_chunks"],
+            )
 
     return work
 
@@ -180,27 +190,29 @@ def search_cells(queries: DataFrame, path: str, dim: int, block_bytes: int = BLO
     an empty index give no rows.
     """
     spark = queries.sparkSession
-    asked = materialise(valid_queries(queries.withColumn("filtre", F.lit(None).cast("string")), dim), "cell-queries")
+    asked = valid_queries(queries.withColumn("filtre", F.lit(None).cast("string")), dim)
     shared = spark.sparkContext.broadcast(_load(spark, path, dim))
-    stored = "chunk_id long, document_id long, embedding array<float>, radius double, cell int"
+    kept = ["query_id", "embedding", "top_n", "filtre"]
+    added = "_cells binary, _limit double, n_cells long, n_chunks long"
+    visit_schema = T.StructType([*asked.select(kept).schema.fields, *T.StructType.fromDDL(added).fields])
 
-    def members(names: set[str | None]) -> DataFrame:
+    def members(numbers: set[int]) -> DataFrame:
         """Chunks of the cells to read; the filter reaches their folders."""
-        if not names - {None}:
-            return spark.createDataFrame([], stored).withColumn("collection_name", F.lit(""))
-        chunks = spark.read.parquet(f"{path}/chunks").filter(F.col("cell").isin(sorted(int(name) for name in names)))
-        return chunks.withColumn("collection_name", F.col("cell").cast("string"))
+        if not numbers:
+            return spark.createDataFrame([], "chunk_id long, document_id long, embedding array<float>, radius double, cell int")
+        return spark.read.parquet(f"{path}/chunks").filter(F.col("cell").isin(sorted(numbers)))
 
     def scan(rows: DataFrame, second: bool) -> tuple[DataFrame, DataFrame, set[int]]:
-        visits = materialise(rows.mapInArrow(_visits(shared, second), VISIT_SCHEMA), "cell-visits")
-        parts, limits = partial_results(visits.drop("n"), members, dim, block_bytes)
+        # a row for each query, however many cells it reads
+        visits = materialise(rows.mapInArrow(_visits(shared, dim, second), visit_schema), "cell-visits")
+        parts, limits = partial_results(visits.drop("n_cells", "n_chunks"), members, dim, block_bytes, in_cells=True)
         return visits, parts, limits
 
     first, parts, limits = scan(asked, second=False)
     ranked = materialise(rank_hits(parts, limits), "cell-hits")
-    last = ranked.filter(F.col("rk") == F.col("top_n")).select("query_id", F.col("distance").alias("limit"))
-    open_queries = asked.filter(F.col("top_n") > 0).join(last, "query_id")
+    last = ranked.filter(F.col("rk") == F.col("top_n")).select("query_id", F.col("rk").alias("top_n"), F.col("distance").alias("_limit"))
+    open_queries = first.filter(F.col("top_n") > 0).select(*kept, "_cells").join(last, ["query_id", "top_n"]).select(*kept, *CELL_COLUMNS)
     second, more, _ = scan(open_queries, second=True)
     hits = rank_hits(ranked.select(*[field.split()[0] for field in PARTIAL_SCHEMA.split(", ")]).unionByName(more), limits)
-    compared = first.unionByName(second).groupBy("query_id").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_chunks"))
+    compared = first.unionByName(second).groupBy("query_id").agg(F.sum("n_cells").alias("n_cells"), F.sum("n_chunks").alias("n_chunks"))
     return CellSearch(hits.drop("top_n"), compared)

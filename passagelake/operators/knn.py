@@ -40,11 +40,15 @@ HIT_BYTES = 40
 RANKED_TOGETHER = 10_000
 # Hits that wait until they are merged into the running results, at least.
 WAITING_ROWS = 1_024
-# Queries compared per matrix product, and bytes of exact differences at a time.
+# Queries compared per matrix product, at least, and bytes of the product with a small cell.
 QUERY_STEP = 256
+PRODUCT_BYTES = 4 << 20
+# Bytes of exact differences at a time.
 REFINE_BYTES = 32 << 20
 
 PARTIAL_SCHEMA = "query_id long, top_n long, chunk_id long, document_id long, distance double, cos double"
+# What queries of stored cells carry besides.
+CELL_COLUMNS = ["_cells", "_limit"]
 PROFILE_SCHEMA = "query_id long, n long, least double, total double, largest double"
 _PARTIAL_ARROW = pa.schema(
     [
@@ -68,6 +72,16 @@ class QueryBlock:
     filters: list[str | None]
     # hits of one query that fit a block's budget; a task emits all distances of a query that asks for more
     most: int = BLOCK_BYTES // HIT_BYTES
+    # searches of stored cells: a bit for each cell, the first in the highest bit, and the largest distance of a hit
+    cells: np.ndarray | None = None
+    limit: np.ndarray | None = None
+
+    @property
+    def places(self) -> set:
+        """What its queries are searched in: names of collections, or numbers of cells."""
+        if self.cells is None:
+            return set(self.filters)
+        return set(np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(self.cells, axis=0))).tolist())
 
     @property
     def wanted(self) -> np.ndarray:
@@ -75,8 +89,9 @@ class QueryBlock:
         return np.where(self.top_n > self.most, -1, self.top_n)
 
     def nbytes(self, dim: int) -> int:
-        """Vectors in double precision, the running results of one task, and a row's overhead."""
-        return int((8 * dim + HIT_BYTES * np.maximum(self.wanted, 0) + 64).sum())
+        """Vectors in double precision, the running results of one task, cells, and a row's overhead."""
+        bits = 0 if self.cells is None else self.cells.shape[1]
+        return int((8 * dim + HIT_BYTES * np.maximum(self.wanted, 0) + bits + 64).sum())
 
     @property
     def filtered(self) -> bool:
@@ -86,13 +101,15 @@ class QueryBlock:
 def valid_queries(queries: DataFrame, dim: int) -> DataFrame:
     """Queries in kernel form: ``(query_id, embedding, top_n, filtre)``.
 
-    Vectors of another length or with NULLs cannot be compared and are left out.
+    Vectors of another length or with NULLs cannot be compared and are left out. Queries of stored cells keep the
+    bits of their cells and the limit.
     """
     return queries.filter(dim_ok(F.col("embedding"), dim)).select(
         F.col("query_id").cast("long"),
         "embedding",
         F.col("top_n").cast("int"),
         optional_filter(F.col("filtre")).alias("filtre"),
+        *[c for c in CELL_COLUMNS if c in queries.columns],
     )
 
 
@@ -127,12 +144,18 @@ def _collect_block(queries: DataFrame, dim: int, block_bytes: int = BLOCK_BYTES)
     ids = table["query_id"].to_numpy()
     if len(ids) == 0:
         return _no_queries(dim)
+    cells, limit = None, None
+    if set(CELL_COLUMNS) <= set(table.column_names):
+        cells = np.frombuffer(b"".join(table["_cells"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        limit = table["_limit"].to_numpy()
     return QueryBlock(
         ids,
         vectors_of(pa.concat_arrays(table["embedding"].chunks), dim)[0],
         np.array([-1 if n is None else max(n, 0) for n in table["top_n"].to_pylist()], np.int64),
         table["filtre"].to_pylist(),
         block_bytes // HIT_BYTES,
+        cells,
+        limit,
     )
 
 
@@ -273,6 +296,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         yield piece
 
 
+def _emitted(queries: QueryBlock, query, distance, chunk, document, cos) -> pa.RecordBatch:
+    columns = (queries.query_id[query], queries.top_n[query], chunk, document, distance, cos)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PARTIAL_ARROW)
+
+
 def _partial_top_k(dim: int) -> Callable:
     slack = 8 * (dim + 8) * np.finfo(np.float64).eps
 
@@ -281,17 +309,6 @@ def _partial_top_k(dim: int) -> Callable:
         wanted = queries.wanted
         hits = [_Hits(wanted[members], state.get(g)) for g, (_, members) in enumerate(groups)]
 
-        def emit(members, query, distance, chunk, document, cos) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c)
-                    for c in (
-                        queries.query_id[members[query]], queries.top_n[members[query]], chunk, document, distance, cos,
-                    )
-                ],
-                schema=_PARTIAL_ARROW,
-            )
-
         for batch in batches:
             batch, x_all = _chunks_of(batch, dim)
             if batch.num_rows == 0:
@@ -318,7 +335,7 @@ def _partial_top_k(dim: int) -> Callable:
                     for i in range(len(members)):
                         query = np.full(len(x), i)
                         distance, cos = _exact(q, x, query, np.arange(len(x)), q_norm, x_norm)
-                        yield emit(members, query, distance, chunk, document, cos)
+                        yield _emitted(queries, members[query], distance, chunk, document, cos)
                     continue
                 # The matrix product only preselects: whatever lies within its
                 # rounding error of the current limit is measured exactly.
@@ -344,7 +361,71 @@ def _partial_top_k(dim: int) -> Callable:
                 best.merge()
             state[g] = best.limit
             if len(best.columns[0]):
-                yield emit(members, *best.columns)
+                yield _emitted(queries, members[best.columns[0]], *best.columns[1:])
+
+    return work
+
+
+def _partial_in_cells(dim: int) -> Callable:
+    """As ``_partial_top_k``, but a query meets only chunks of cells whose bit it has, within its limit.
+
+    A query has one running result for all its cells of a task, so what is emitted grows with the hits and not with
+    the cells read.
+    """
+    slack = 8 * (dim + 8) * np.finfo(np.float64).eps
+
+    def work(queries: QueryBlock, batches, state: dict) -> Iterator[pa.RecordBatch]:
+        if not len(queries.query_id):
+            return
+        wanted = queries.wanted
+        best = _Hits(np.maximum(wanted, 0), state["limit"] if state else queries.limit**2)
+        for batch in batches:
+            batch, x_all = _chunks_of(batch, dim)
+            if batch.num_rows == 0:
+                continue
+            chunk_all = batch.column("chunk_id").to_numpy()
+            document_all = batch.column("document_id").to_numpy()
+            cell_all = batch.column("cell").to_numpy()
+            by_cell = np.argsort(cell_all, kind="stable")
+            edges = np.flatnonzero(np.diff(cell_all[by_cell], prepend=-1, append=-1))
+            for rows in np.split(by_cell, edges[1:-1]):
+                cell = int(cell_all[rows[0]])
+                asking = np.flatnonzero(queries.cells[:, cell >> 3] >> (7 - cell % 8) & 1)
+                x, chunk, document = x_all[rows], chunk_all[rows], document_all[rows]
+                x_norm = (x**2).sum(axis=1)
+                copies = None
+                for i in asking[wanted[asking] < 0]:
+                    q = queries.vectors[i : i + 1].astype(np.float64)
+                    distance, cos = _exact(q, x, np.zeros(len(x), np.int64), np.arange(len(x)), (q**2).sum(axis=1), x_norm)
+                    near = np.flatnonzero(~(distance > queries.limit[i]))
+                    yield _emitted(queries, np.full(len(near), i), distance[near], chunk[near], document[near], cos[near])
+                asking = asking[wanted[asking] > 0]
+                step = max(QUERY_STEP, PRODUCT_BYTES // (8 * len(x)))
+                for start in range(0, len(asking), step):
+                    members = asking[start : start + step]
+                    most = int(wanted[members].max())
+                    q = queries.vectors[members].astype(np.float64)
+                    q_norm = (q**2).sum(axis=1)
+                    rough = q_norm[:, None] + x_norm[None, :] - 2.0 * (q @ x.T)
+                    error = slack * (q_norm + x_norm.max())
+                    limit = best.limit[members]
+                    if most < len(x) and (no_limit := np.flatnonzero(np.isinf(limit))).size:
+                        smallest = np.partition(rough[no_limit], most - 1, axis=1)[:, most - 1]
+                        limit[no_limit] = smallest + error[no_limit]
+                    query, row = np.nonzero(rough <= (limit + error)[:, None])
+                    if len(query) > 4 * most * len(members) + 1024:
+                        copies = _copies(x) if copies is None else copies
+                        needed = np.zeros(len(x), bool)
+                        needed[_without_spare_copies(copies, chunk, most)] = True
+                        query, row = query[needed[row]], row[needed[row]]
+                    if len(query):
+                        distance, cos = _exact(q, x, query, row, q_norm, x_norm)
+                        best.add(members[query], distance, chunk[row], document[row], cos)
+        if best.waiting:
+            best.merge()
+        state["limit"] = best.limit
+        if len(best.columns[0]):
+            yield _emitted(queries, *best.columns)
 
     return work
 
@@ -362,7 +443,8 @@ def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[Que
     spark, path = queries.sparkSession, scratch_path(queries.sparkSession, "queries")
     queries = materialise(queries, "queries-encoded")  # encode the texts once
     tracked = F.when(F.col("top_n") * F.lit(HIT_BYTES).cast("long") <= block_bytes, F.greatest("top_n", F.lit(0))).otherwise(0)
-    total = queries.agg(F.sum(8 * dim + HIT_BYTES * F.coalesce(tracked, F.lit(0)).cast("long") + 64)).first()[0]
+    bits = F.length("_cells").cast("long") if "_cells" in queries.columns else F.lit(0)
+    total = queries.agg(F.sum(8 * dim + HIT_BYTES * F.coalesce(tracked, F.lit(0)).cast("long") + bits + 64)).first()[0]
     blocks = -(-int(total or 0) // block_bytes)
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     dealt.write.partitionBy("block").parquet(path)
@@ -389,11 +471,15 @@ def knn(
 
 
 def partial_results(
-    queries: DataFrame, candidates: Callable[[set[str | None]], DataFrame], dim: int, block_bytes: int = BLOCK_BYTES
+    queries: DataFrame, candidates: Callable[[set], DataFrame], dim: int, block_bytes: int = BLOCK_BYTES, in_cells: bool = False
 ) -> tuple[DataFrame, set[int]]:
-    """Hits of all tasks before they are ranked, and the limits that occur among the queries."""
-    columns = ["chunk_id", "document_id", "embedding"]
-    return _by_block(queries, candidates, dim, block_bytes, PARTIAL_SCHEMA, columns, _partial_top_k(dim))
+    """Hits of all tasks before they are ranked, and the limits that occur among the queries.
+
+    ``in_cells``: queries carry ``CELL_COLUMNS``, and ``candidates`` takes numbers of cells and gives chunks with their ``cell``.
+    """
+    columns = ["chunk_id", "document_id", "embedding"] + ["cell"] * in_cells
+    work = _partial_in_cells(dim) if in_cells else _partial_top_k(dim)
+    return _by_block(queries, candidates, dim, block_bytes, PARTIAL_SCHEMA, columns, work)
 
 
 def rank_hits(parts: DataFrame, limits: set[int]) -> DataFrame:
@@ -416,7 +502,7 @@ def rank_hits(parts: DataFrame, limits: set[int]) -> DataFrame:
 
 
 def _by_block(
-    queries: DataFrame, candidates: Callable[[set[str | None]], DataFrame], dim: int, block_bytes: int, schema: str,
+    queries: DataFrame, candidates: Callable[[set], DataFrame], dim: int, block_bytes: int, schema: str,
     columns: list[str], work: Callable,
 ) -> tuple[DataFrame, set[int]]:
     """Partial results of all blocks, and the limits that occur among the queries.
@@ -426,7 +512,7 @@ def _by_block(
     """
     spark = queries.sparkSession
 
-    def scan(shared: list[Broadcast], filters: set[str | None], filtered: bool) -> DataFrame:
+    def scan(shared: list[Broadcast], filters: set, filtered: bool) -> DataFrame:
         rows = candidates(filters)
         if not filters:
             rows = rows.filter(F.lit(False))  # nothing asked, nothing read
@@ -437,7 +523,7 @@ def _by_block(
     blocks = query_blocks(queries, dim, block_bytes)
     first = list(islice(blocks, 2)) or [_no_queries(dim)]
     if len(first) == 1:
-        return scan([spark.sparkContext.broadcast(first[0])], set(first[0].filters), first[0].filtered), set(first[0].top_n.tolist())
+        return scan([spark.sparkContext.broadcast(first[0])], first[0].places, first[0].filtered), set(first[0].top_n.tolist())
     path, blocks = scratch_path(spark, "partial"), chain(first, blocks)
     limits: set[int] = set()
     first, n_scans = None, 0
@@ -445,7 +531,7 @@ def _by_block(
         shared, filters, filtered = [], set(), False
         for block in islice(blocks, SCAN_BLOCKS):
             limits.update(block.top_n.tolist())
-            filters.update(block.filters)
+            filters.update(block.places)
             filtered |= block.filtered
             shared.append(spark.sparkContext.broadcast(block))
         if not shared:

@@ -1,12 +1,15 @@
 """Stored cells: the hits of a full scan, from a part of the chunks."""
 
+import glob
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from passagelake.operators.cells import search_cells, store_cells
 from passagelake.operators.knn import knn
-from passagelake.session import scratch_path
+from passagelake.session import scratch_path, shared_folder
 
 DIM = 8
 
@@ -104,3 +107,25 @@ def test_no_queries(spark):
     path = scratch_path(spark, "cells")
     store_cells(stored(spark, clustered(50, 3)), path, DIM)
     assert search_cells(asked(spark, []), path, DIM).hits.count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [128 << 20, 40_000])
+def test_a_search_writes_no_row_for_each_cell(spark, block_bytes):
+    """Without clusters every query reads most cells; what is written stays a few times the vectors and hits."""
+    vectors = np.random.default_rng(2).normal(size=(900, DIM)).astype(np.float32)
+    chunks, queries = stored(spark, vectors), asked(spark, [(q, v.tolist(), 1 + q % 3) for q, v in enumerate(vectors)])
+    path = scratch_path(spark, "cells")
+    store_cells(chunks, path, DIM, n_cells=150)
+    top = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{top}/**/*.parquet", recursive=True))
+    before = size()
+    found = search_cells(queries, path, DIM, block_bytes)
+    assert hits(found.hits) == full_scan(queries, chunks)
+    assert found.compared.agg(F.sum("n_cells")).first()[0] > 900 * 20
+    assert size() - before < 900 * (6 * 4 * DIM + 20 * 48) + (1 << 20)
+
+
+def test_queries_with_one_id_and_other_limits(spark):
+    """Rows of one query id are not multiplied by each other's limits."""
+    vectors = clustered(300, 5)
+    both(spark, vectors, [(1, vectors[3].tolist(), 4), (1, vectors[3].tolist(), 4), (2, vectors[9].tolist(), 2)])
