@@ -914,10 +914,11 @@ def stream_ingest(t: Bindings) -> DataFrame:
             F.col("length").alias("size_bytes"), "content",
         )
 
-    streaming_ingest.stream_ingest(
-        t.spark, folder, f"{root}/tables", f"{root}/_checkpoint", to_uploads, _now(), F.lit("loader"),
-        HashingEncoder(DIM), files_per_batch=400,
-    ).awaitTermination()
+    with streaming_ingest.listed_by_cores(t.spark):
+        streaming_ingest.stream_ingest(
+            t.spark, folder, f"{root}/tables", f"{root}/_checkpoint", to_uploads, _now(), F.lit("loader"),
+            HashingEncoder(DIM), files_per_batch=400,
+        ).awaitTermination()
     stored = t.spark.read.parquet(f"{root}/tables/chunks")
     return stored.groupBy("collection_id").agg(F.sum(F.size(F.split("chunk_text", " "))).cast("long").alias("n_words"))
 

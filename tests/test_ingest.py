@@ -16,6 +16,7 @@ from passagelake.plans.registry import _docx_file
 from passagelake.schema import TABLES
 from passagelake.session import scratch_path
 from passagelake.sources import files, sinks, tables
+from passagelake.streaming import ingest as streaming
 from passagelake.streaming.ingest import stream_ingest
 from passagelake.streaming.metrics import replay, stream_upload_metrics, upload_metrics
 
@@ -263,6 +264,52 @@ def test_new_checkpoint_and_bulk_ingest_add_to_a_root(spark, tmp_path):
     assert reasons == ["duplicate"] * 3
 
 
+def put(spark, root, run_id, batch_id, names):
+    rows = spark.createDataFrame([(1, name) for name in names], STORED)
+    rows.write.mode("overwrite").parquet(f"{root}/documents/run_id={run_id}/batch_id={batch_id}")
+
+
+def test_a_batch_reads_few_folders(spark, monkeypatch):
+    """However many batches were stored, one reads the gathered keys and a bounded number of folders."""
+    monkeypatch.setattr(streaming, "RECENT_FOLDERS", 3)
+    root = scratch_path(spark, "keys")
+    stored, read = streaming.StoredKeys(root), []
+    titles = lambda batch: sorted(r.title_document for r in stored.before(spark, "own", batch).collect())
+    monkeypatch.setattr(
+        streaming.StoredKeys, "_read", lambda self, spark, folders, was=streaming.StoredKeys._read: read.append(len(folders)) or was(self, spark, folders)
+    )
+    assert titles(0) == []
+    for batch in range(12):
+        put(spark, root, "own", batch, [f"own{batch}"])
+        assert titles(batch + 1) == sorted(f"own{i}" for i in range(batch + 1))
+    assert max(read) == 4
+    put(spark, root, "own", 13, ["failed try"])
+    put(spark, root, "other", 0, ["other0"])  # another run is seen in the next batch
+    assert titles(13) == sorted([f"own{i}" for i in range(12)] + ["other0"])
+    put(spark, root, "own", 0, ["instead"])  # a folder that was gathered has changed
+    assert titles(13) == sorted([f"own{i}" for i in range(1, 12)] + ["instead", "other0"])
+
+
+def test_a_small_batch_reads_its_files_twice(spark, folder, tmp_path):
+    """Once for names and sizes, once for the texts; neither guards nor rejects read them again."""
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    @F.udf("binary")
+    def seen(path, content):
+        with open(opened / str(hash(path)), "a") as target:
+            target.write("x")
+        return content
+
+    uploads = as_uploads(files.scan_files(spark, folder, include_empty=False).withColumn("content", seen.asNondeterministic()("path", "content")))
+    scanned = spark.createDataFrame(uploads.rdd, uploads.schema)  # as in a stream, every scan reads the contents
+    result = ingest(scanned, spark.createDataFrame([(2, "a-file.txt")], STORED), now(), F.lit("me"), counting_encoder, small_batch=True)
+    reasons = {r.title_document: r.reason for r in result.quarantine.collect()}
+    assert reasons["a-file.txt"] == "duplicate" and reasons["large.txt"] == "too_large" and reasons["bad.txt"] == "invalid_utf8"
+    assert result.documents.count() == 3 and result.chunks.count() == 1313
+    assert {len(p.read_text()) for p in opened.iterdir()} == {2}
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_stream_metrics_equal_batch_for_closed_windows(spark, parts):
     path = "/root/testdata/sf0.001"
