@@ -290,6 +290,20 @@ def test_a_batch_reads_few_folders(spark, monkeypatch):
     assert titles(13) == sorted([f"own{i}" for i in range(1, 12)] + ["instead", "other0"])
 
 
+def test_folders_are_listed_with_their_times(spark):
+    root = scratch_path(spark, "listed")
+    stored = streaming.StoredKeys(root)
+    assert stored._folders(spark) == []
+    for run, batch in (("a", 0), ("a", 11), ("b", 3)):
+        put(spark, root, run, batch, ["x"])
+    listed = stored._folders(spark)
+    assert sorted(name for name, _ in listed) == ["run_id=a/batch_id=0", "run_id=a/batch_id=11", "run_id=b/batch_id=3"]
+    path = lambda name: f"{root}/documents/{name}".removeprefix("file:")
+    assert all(changed == int(os.stat(path(name)).st_mtime * 1000) for name, changed in listed)
+    os.makedirs(path("run_id=a/_other"))  # what has no batch in its name makes the listing go one by one
+    assert sorted(stored._folders(spark)) == sorted(listed)
+
+
 def test_a_small_batch_reads_its_files_twice(spark, folder, tmp_path):
     """Once for names and sizes, once for the texts; neither guards nor rejects read them again."""
     opened = tmp_path / "opened"
