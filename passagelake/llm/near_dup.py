@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from passagelake.llm.common import global_rank, map_batches, slices
 from passagelake.llm.components import components
-from passagelake.session import materialise
+from passagelake.session import in_few_parts, materialise
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -192,9 +192,9 @@ def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return map_batches(joined.select(*named, "sketch_a", "sketch_b"), run, "a long, b long, doc_a long, digest_a binary, doc_b long, digest_b binary")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, repeated: bool, label: str) -> DataFrame:
-    """Links ``a, b`` among pairs: the promising ones whose full sets are similar enough."""
-    chosen = materialise(_promising(pairs, sketches), f"{label}-pairs")
+def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, repeated: bool, label: str, rows: int) -> DataFrame:
+    """Links ``a, b`` among at most ``rows`` pairs: the promising ones whose full sets are similar enough."""
+    chosen = materialise(_promising(pairs, sketches), f"{label}-pairs", rows)
     sets = _sets_of(docs, chosen.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +207,21 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, repeated:
         return sets.select(F.col("doc_id").alias(f"doc_{name}"), F.col("digest").alias(f"digest_{name}"), F.col("members").alias(f"members_{name}"))
 
     joined = chosen.join(side("b"), ["doc_b", "digest_b"]).join(side("a"), ["doc_a", "digest_a"]).select("a", "b", "members_a", "members_b")
-    return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links")
+    return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links", chosen.count())
 
 
-def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame, repeated: bool) -> DataFrame:
+def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame, repeated: bool, many: int, placings: int) -> DataFrame:
     """Links between members that are apart from their bucket's leader and members of other components.
 
     A bucket's apart members are dealt to blocks, and so are all its members; every block of the first kind meets
-    every block of the second. A pair is compared in the first band that it shares.
+    every block of the second. A pair is compared in the first band that it shares. ``many`` counts the heads,
+    ``placings`` their places in buckets.
     """
     apart = F.col("own") != F.col("lead")
     sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if(apart).alias("u")).where("u > 0")
     sizes = sizes.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("u") / BLOCK).cast("int").alias("nu"))
-    rows = materialise(placed.select("band", "id", "own", apart.alias("apart")).join(materialise(sizes, "near-dup-sizes"), "band"), "near-dup-blocks")
-    met = materialise(heads.join(rows.select("id").distinct(), "id", "left_semi"), "near-dup-met")
+    rows = materialise(placed.select("band", "id", "own", apart.alias("apart")).join(materialise(sizes, "near-dup-sizes", placings), "band"), "near-dup-blocks", placings)
+    met = materialise(heads.join(rows.select("id").distinct(), "id", "left_semi"), "near-dup-met", many)
     known = met.join(_sets_of(docs, met, repeated), ["doc_id", "digest"]).select("id", "bands", "sketch", "members")
 
     def dealt(count: str, seed: int):
@@ -270,32 +271,35 @@ def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame, repeated:
         yield _pairs(list(links(key[0], held)) if held else [])
 
     columns = ["band", "i", "j", "id", "own", "apart", "asks", "bands", "sketch", "members"]
-    return materialise(map_batches(blocks.select(*columns), run, "a long, b long").distinct(), "near-dup-rest-links")
+    return materialise(map_batches(blocks.select(*columns), run, "a long, b long").distinct(), "near-dup-rest-links", placings)
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id, kept`` of every document."""
+def _judged(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, text_key, n_shingles, component_id, kept`` of every document, and how many these are."""
     measured = materialise(signed(docs), "near-dup-signed")
+    total = measured.count()
     sets = measured.where("doc_id is not null and n_shingles > 0")
-    ranked = global_rank(sets.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "near-dup-digests", "first_id", "digest")
-    classes = materialise(ranked.select(F.col("_rank").alias("id"), "first_id", "digest"), "near-dup-classes")
+    ranked = global_rank(sets.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "near-dup-digests", "first_id", "digest", rows=total)
+    classes = materialise(ranked.select(F.col("_rank").alias("id"), "first_id", "digest"), "near-dup-classes", total)
     heads = sets.join(classes.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"]).select("id", "doc_id", "digest", "bands", "sketch")
-    heads = materialise(heads, "near-dup-heads")
-    repeated = heads.count() > classes.count()
+    heads = materialise(heads, "near-dup-heads", total)
+    many = classes.count()
+    repeated = heads.count() > many
     if repeated:
-        heads = materialise(heads.dropDuplicates(["id"]), "near-dup-heads-once")
+        heads = materialise(heads.dropDuplicates(["id"]), "near-dup-heads-once", many)
     sketches = heads.select("id", "doc_id", "digest", "sketch")
 
     banded = heads.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader < _last").drop("_last")
-    members = materialise(banded.join(buckets, "band"), "near-dup-members")
+    members = materialise(banded.join(buckets, "band"), "near-dup-members", many * BANDS)
+    rows = members.count()
 
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(docs, pairs, sketches, repeated, "near-dup-first")
+    links = _confirmed(docs, pairs, sketches, repeated, "near-dup-first", rows)
     found = components(links)
 
     def label(column: str, alias: str) -> DataFrame:
@@ -305,18 +309,19 @@ def _judged(docs: DataFrame) -> DataFrame:
         members.join(label("id", "_own"), "id", "left").join(label("leader", "_lead"), "leader", "left")
         .select("band", "id", "leader", F.coalesce("_own", "id").alias("own"), F.coalesce("_lead", "leader").alias("lead"))
     )
-    placed = materialise(placed, "near-dup-placed")
-    more = _block_links(docs, placed, heads, repeated)
+    placed = materialise(placed, "near-dup-placed", rows)
+    more = _block_links(docs, placed, heads, repeated, many, rows)
     if not more.isEmpty():
         found = components(links.unionAll(more))
 
     # The class with the smallest number of a component has its smallest doc_id.
     least = classes.select(F.col("id").alias("component"), F.col("first_id").alias("least"))
     reached = found.select(F.col("node").alias("id"), "component").join(least, "component").select("id", "least")
-    group = materialise(classes.join(reached, "id", "left").select("digest", F.coalesce("least", "first_id").alias("component")), "near-dup-groups")
+    group = materialise(classes.join(reached, "id", "left").select("digest", F.coalesce("least", "first_id").alias("component")), "near-dup-groups", many)
     out = measured.select("doc_id", "text_key", "n_shingles", "digest").join(group, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return in_few_parts(out, total), total
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -327,7 +332,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept. Rows with equal ``doc_id`` are judged one by one by their texts; if these differ, each has its own links.
     An empty table gives no rows.
     """
-    return _judged(docs).drop("text_key")
+    judged, _ = _judged(docs)
+    return judged.drop("text_key")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -336,6 +342,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows without ``doc_id`` stay. Of rows with equal ``doc_id`` only the texts go that are not kept. The rows to be
     dropped are joined without sorting texts.
     """
-    dropped = materialise(_judged(docs).where("not kept").select("doc_id", "text_key").distinct(), "near-dup-dropped")
+    judged, total = _judged(docs)
+    dropped = materialise(judged.where("not kept").select("doc_id", "text_key").distinct(), "near-dup-dropped", total)
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars", _text_key())
     return rows.join(dropped.hint("shuffle_hash"), ["doc_id", "text_key"], "left_anti").select("doc_id", "text", "lang", "source", "n_chars")

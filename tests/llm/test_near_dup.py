@@ -1,9 +1,11 @@
+import glob
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from conftest_llm import SCHEMA, by_id
+from passagelake import session
 from passagelake.llm import near_dup
 from passagelake.llm.components import components
 
@@ -136,3 +138,40 @@ def rows_of(rows, doc_id):
 def test_stage_keeps_one_of_each_group(small):
     want = {d for d, (_, _, kept) in brute([(r.doc_id, r.text) for r in small.collect()]).items() if kept}
     assert set(by_id(near_dup.deduplicate(small))) == want
+
+
+def test_files_between_steps_follow_the_rows(spark, monkeypatch, tmp_path):
+    """With many shuffle partitions that Spark does not join, a small table is still stored in a few files for the cores."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, base = [], [word() for _ in range(80)]
+    for _ in range(150):
+        near = list(base)
+        near[rng.randrange(80)] = word()
+        rows.append(" ".join(near))
+        rows.append(" ".join(word() for _ in range(30)))
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(rows)]
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        frame = spark.createDataFrame(docs, SCHEMA)
+        got = near_dup.near_duplicates(frame)
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert groups(got) == brute([r[:2] for r in docs])
+        assert {r.doc_id for r in near_dup.deduplicate(frame).collect()} == {d for d, (_, _, kept) in brute([r[:2] for r in docs]).items() if kept}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = Counter(path.split("/")[-2] for path in glob.glob(f"{tmp_path}/*/part-*.parquet"))
+    assert len(files) > 20 and max(files.values()) <= spark.sparkContext.defaultParallelism
+
+
+def test_parts_grow_with_rows_and_never_beyond_what_there_was(spark):
+    many = spark.range(0, 1_000, 1, 300)
+    assert session.in_few_parts(many, 1_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert session.in_few_parts(many, 20 * session.FILE_ROWS).rdd.getNumPartitions() == 20
+    assert session.in_few_parts(many, 10**12).rdd.getNumPartitions() == 300
+    assert session.in_few_parts(many, 1_000).count() == 1_000
