@@ -39,6 +39,8 @@ BANDS = PERMUTATIONS // BAND_ORDERS
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket on either side of a block comparison.
 BLOCK = 2_048
+#: Rows that a pair stands for where its full sets are read.
+PAIR_ROWS = 16
 #: Shingles that are hashed at a time; bounds the memory of a long text.
 CHUNK = 4_096
 #: Bits of the filter that spares documents without candidate pairs; its size does not grow.
@@ -207,7 +209,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, repeated:
         return sets.select(F.col("doc_id").alias(f"doc_{name}"), F.col("digest").alias(f"digest_{name}"), F.col("members").alias(f"members_{name}"))
 
     joined = chosen.join(side("b"), ["doc_b", "digest_b"]).join(side("a"), ["doc_a", "digest_a"]).select("a", "b", "members_a", "members_b")
-    return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links", chosen.count())
+    # A pair counts for many rows, as its task reads both full sets.
+    return materialise(map_batches(joined, run, "a long, b long"), f"{label}-links", PAIR_ROWS * chosen.count())
 
 
 def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame, repeated: bool, many: int, placings: int) -> DataFrame:
