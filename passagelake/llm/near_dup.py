@@ -41,6 +41,8 @@ LEAST_ESTIMATE = 0.55
 BLOCK = 2_048
 #: Rows that a pair stands for where its full sets are read.
 PAIR_ROWS = 16
+#: Rows that a head stands for, with its bands and sketch.
+HEAD_ROWS = 4
 #: Shingles that are hashed at a time; bounds the memory of a long text.
 CHUNK = 4_096
 #: Bits of the filter that spares documents without candidate pairs; its size does not grow.
@@ -224,7 +226,7 @@ def _block_links(docs: DataFrame, placed: DataFrame, heads: DataFrame, repeated:
     sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.count_if(apart).alias("u")).where("u > 0")
     sizes = sizes.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("u") / BLOCK).cast("int").alias("nu"))
     rows = materialise(placed.select("band", "id", "own", apart.alias("apart")).join(materialise(sizes, "near-dup-sizes", placings), "band"), "near-dup-blocks", placings)
-    met = materialise(heads.join(rows.select("id").distinct(), "id", "left_semi"), "near-dup-met", many)
+    met = materialise(heads.join(rows.select("id").distinct(), "id", "left_semi"), "near-dup-met", HEAD_ROWS * many)
     known = met.join(_sets_of(docs, met, repeated), ["doc_id", "digest"]).select("id", "bands", "sketch", "members")
 
     def dealt(count: str, seed: int):
@@ -289,11 +291,11 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, int]:
     ranked = global_rank(sets.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "near-dup-digests", "first_id", "digest", rows=total)
     classes = materialise(ranked.select(F.col("_rank").alias("id"), "first_id", "digest"), "near-dup-classes", total)
     heads = sets.join(classes.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"]).select("id", "doc_id", "digest", "bands", "sketch")
-    heads = materialise(heads, "near-dup-heads", total)
+    heads = materialise(heads, "near-dup-heads", HEAD_ROWS * total)
     many = classes.count()
     repeated = heads.count() > many
     if repeated:
-        heads = materialise(heads.dropDuplicates(["id"]), "near-dup-heads-once", many)
+        heads = materialise(heads.dropDuplicates(["id"]), "near-dup-heads-once", HEAD_ROWS * many)
     sketches = heads.select("id", "doc_id", "digest", "sketch")
 
     banded = heads.select("id", F.explode("bands").alias("band"))
