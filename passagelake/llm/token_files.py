@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from passagelake.llm.common import map_batches, slices
 from passagelake.session import scratch_path
 
-#: Entries of a worker's table of frequent pieces; a full table is emptied.
+#: Entries of a worker's table of frequent pieces; a full table loses the half that was used least.
 TABLE_SIZE = 800_000
 MANIFEST = "part int, n_docs long, n_null long, n_tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -41,12 +42,24 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # Printable characters that are surely no white space; a space between two of them is where tokens start.
 _PLAIN = "!-~¡-¬®-ɏ"
 _CUT = re.compile(f"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
+# A text with any other space.
+_ODD = f" (?:$|[^{_PLAIN}])|(?:^|[^{_PLAIN}]) "
 # A piece worth keeping: short, and with such characters at both ends.
 _UNIT = re.compile(f"[{_PLAIN}](?:.{{0,62}}[{_PLAIN}])?", re.DOTALL)
 # Pieces that are handed to the library as one text.
 _TOGETHER = 50
 
 
+def _gather(table: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a table with these numbers one after another, and where each ends."""
+    wanted = sizes[numbers]
+    ends = np.cumsum(wanted)
+    shift = (np.cumsum(sizes) - sizes)[numbers] - (ends - wanted)
+    at = np.repeat(shift, wanted)
+    at += np.arange(len(at))
+    return table[at], ends
+
+
 class Encoder:
     """A byte-level tokenizer of the tokenizers library with a table of frequent pieces.
 
@@ -65,7 +78,10 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        # The table: pieces, their ids one after another, how many ids and uses each has.
+        self.known = pa.array([], pa.string())
+        self.ids = np.zeros(0, self.type)
+        self.sizes = self.uses = np.zeros(0, "<i8")
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -85,30 +101,69 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. The first piece of a text stands without a space, the others with one."""
-        cut, fresh, odd = [], set(), set()
-        for text in texts:
-            pieces = text.split(" ")
-            new = set(pieces[1:]).difference(self.known).difference(fresh)
-            if not all(map(_UNIT.fullmatch, new)):  # pieces that are known were checked before
-                pieces = _CUT.split(text)
-                new = set(pieces[1:]).difference(self.known).difference(fresh)
-                odd |= {p for p in new if " " in p or not _UNIT.fullmatch(p)}
-                new -= odd
-            fresh |= new
-            cut.append(pieces)
-        if fresh:
-            added = list(fresh)
-            self.known.update(zip(added, self._pieces(added), strict=True))
-        others = list(odd)
-        odd = dict(zip(others, self._library([" " + p for p in others]), strict=True))
-        firsts = self._library([pieces[0] for pieces in cut])
-        look_up = (lambda p: odd[p] if p in odd else self.known[p]) if odd else self.known.__getitem__
-        out = [b"".join([first, *map(look_up, pieces[1:])]) for first, pieces in zip(firsts, cut, strict=True)]
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds new pieces to the table."""
+        coded = self._pieces(pieces)
+        self.known = pa.concat_arrays([self.known, pa.array(pieces, pa.string())])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), self.type)])
+        self.sizes = np.concatenate([self.sizes, np.array([len(c) // self.type.itemsize for c in coded], "<i8")])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), "<i8")])
+
+    def _shrink(self) -> None:
+        """Keeps the half of a full table that was used most."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: TABLE_SIZE // 2])
+        self.known = self.known.take(pa.array(keep))
+        self.ids, ends = _gather(self.ids, self.sizes, keep)
+        self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """The pieces of each text as a list."""
+        lists = pc.split_pattern(texts, " ")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        if len(odd):
+            cut = pa.array([_CUT.split(t) for t in texts.take(pa.array(odd)).to_pylist()], lists.type)
+            order = np.arange(len(texts))
+            order[odd] = len(texts) + np.arange(len(odd))
+            lists = pa.concat_arrays([lists, cut]).take(pa.array(order))
+        return lists
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text ends among them.
+
+        The first piece of a text stands without a space, the others with one.
+        """
+        lists = self._cut(texts)
+        counts = pc.list_value_length(lists).to_numpy().astype("<i8")
+        firsts = np.cumsum(counts) - counts
+        values = lists.flatten()
+        later = np.ones(len(values), bool)
+        later[firsts] = False
+        coded = values.filter(pa.array(later)).dictionary_encode()
+        numbers = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype("<i8")
+        missing = np.flatnonzero(numbers < 0)
+        new = coded.dictionary.take(pa.array(missing)).to_pylist()
+        kept = np.array([" " not in p and _UNIT.fullmatch(p) is not None for p in new], bool)
+        numbers[missing[kept]] = len(self.known) + np.arange(kept.sum())
+        if kept.any():
+            self._learn([p for p, k in zip(new, kept, strict=True) if k])
+        # What is not kept follows the table, first the odd pieces and then the first piece of each text.
+        numbers[missing[~kept]] = len(self.known) + np.arange((~kept).sum())
+        others = self._library([" " + p for p, k in zip(new, kept, strict=True) if not k] + values.take(pa.array(firsts)).to_pylist())
+        sizes = np.concatenate([self.sizes, np.array([len(x) // self.type.itemsize for x in others], "<i8")])
+        table = np.concatenate([self.ids, np.frombuffer(b"".join(others), self.type)])
+        sequence = np.empty(len(values), "<i8")
+        sequence[later] = numbers[coded.indices.to_numpy()]
+        sequence[firsts] = len(sizes) - len(texts) + np.arange(len(texts))
+        ids, ends = _gather(table, sizes, sequence)
+        self.uses += np.bincount(sequence, minlength=len(sizes))[: len(self.uses)]
         if len(self.known) > TABLE_SIZE:
-            self.known.clear()
-        return out
+            self._shrink()
+        return ids, ends[firsts + counts - 1]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends)[:-1]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -135,7 +190,6 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, spec: Broadcast,
     encoder = _encoder(spec)
     part = TaskContext.get().partitionId()
     files, root = _file_system(folder)
-    end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
     names = _names(root, part)
     drafts = [f"{n}.{uuid.uuid4().hex}" for n in names]
     n_docs = n_null = n_tokens = 0
@@ -144,13 +198,14 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, spec: Broadcast,
         if streams is None:
             streams = [files.open_output_stream(d) for d in drafts]
             streams[1].write(np.zeros(1, "<i8").tobytes())
-        ids = [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-        sizes = np.array([len(x) // encoder.type.itemsize for x in ids], "<i8")
-        streams[0].write(b"".join(ids))
-        streams[1].write((n_tokens + np.cumsum(sizes)).astype("<i8").tobytes())
+        ids, ends = encoder.encode_column(pc.fill_null(batch.column("text").cast(pa.string()), ""))
+        if end_id is not None:
+            ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+        streams[0].write(ids.tobytes())
+        streams[1].write((n_tokens + ends).astype("<i8").tobytes())
         keys = batch.column("doc_id")
         streams[2].write(keys.fill_null(0).to_numpy().astype("<i8").tobytes())
-        n_docs, n_null, n_tokens = n_docs + len(ids), n_null + keys.null_count, n_tokens + int(sizes.sum())
+        n_docs, n_null, n_tokens = n_docs + len(ends), n_null + keys.null_count, n_tokens + len(ids)
     if streams is None:
         return None
     for stream, draft, name in zip(streams, drafts, names, strict=True):

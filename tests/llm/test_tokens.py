@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest_llm import SCHEMA
 from passagelake.llm import bpe, token_files
@@ -58,6 +59,33 @@ def test_cut_pieces_equal_the_library(monkeypatch):
             assert np.frombuffer(got, encoder.type).tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_columns_equal_the_library(monkeypatch):
+    encoder, own = token_files.Encoder(text_of(BYTE)), library(BYTE)
+    monkeypatch.setattr(token_files, "TABLE_SIZE", 500)
+    texts = ["", "plain words here", "two  spaces here", "", " begins", "ends ", "\n a\u3000 b", "中 文 a b", "x" * 99 + " " + "y" * 99, *random_texts(300, 4)]
+    column = pa.array(texts)
+    for first in range(0, len(texts), 3):  # slices of a column keep its buffers
+        part = column.slice(first, 3)
+        ids, ends = encoder.encode_column(part)
+        want = [e.ids for e in own.encode_batch(part.to_pylist(), add_special_tokens=False)]
+        assert ids.dtype == encoder.type and ids.tolist() == [i for x in want for i in x]
+        assert ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+
+
+def test_a_full_table_keeps_frequent_pieces(monkeypatch):
+    encoder, own = token_files.Encoder(text_of(BYTE)), library(BYTE)
+    monkeypatch.setattr(token_files, "TABLE_SIZE", 300)
+    asked, pieces_of = [], encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda pieces: asked.extend(pieces) or pieces_of(pieces))
+    frequent = [f"often{n}" for n in range(50)]
+    for turn in range(20):
+        text = " ".join(["first", *frequent * 5, *(f"rare{turn}x{n}" for n in range(100))])
+        assert np.frombuffer(encoder.encode([text])[0], encoder.type).tolist() == own.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 300
+    assert sum(p in set(frequent) for p in asked) == len(frequent)
+
+
 def test_round_trip_and_real_outputs(spark, small, odd, empty):
     own = library(WORD)
     for frame in (small, odd, empty):
