@@ -324,6 +324,28 @@ def test_a_small_batch_reads_its_files_twice(spark, folder, tmp_path):
     assert {len(p.read_text()) for p in opened.iterdir()} == {2}
 
 
+def test_a_batch_stores_few_files(spark, tmp_path):
+    """However many tasks the size of a file split gives, narrow rows of a batch make one file, texts one for each core."""
+    arrivals, root = tmp_path / "arrivals", scratch_path(spark, "few-files")
+    arrivals.mkdir()
+    for i in range(60):
+        (arrivals / f"f{i}.{'csv' if i % 10 == 0 else 'txt'}").write_text(f"text {i}")
+    scratch = os.path.dirname(root.removeprefix("file:"))
+    extracted = lambda: {f for f in os.listdir(scratch) if f.startswith(("extracted-", "names-"))}
+    there, split = extracted(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a task for each file
+    try:
+        run_stream(spark, str(arrivals), root, files_per_batch=30)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    parts = lambda folder: sum(f.endswith(".parquet") for _, _, names in os.walk(folder) for f in names)
+    for name, rows in (("documents", 54), ("quarantine", 6)):
+        assert spark.read.parquet(f"{root}/{name}").count() == rows
+        assert parts(f"{root}/{name}".removeprefix("file:")) == 2
+    made = extracted() - there
+    assert len(made) == 2 and all(parts(f"{scratch}/{f}") <= spark.sparkContext.defaultParallelism + 1 for f in made)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_stream_metrics_equal_batch_for_closed_windows(spark, parts):
     path = "/root/testdata/sf0.001"
