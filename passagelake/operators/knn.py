@@ -6,8 +6,8 @@ shuffled for the final ranking is therefore at most ``top_n`` rows per query
 and task, never a vector and never the full set of pairs.
 
 Queries beyond the broadcast budget make several blocks, which one scan of the
-chunks runs together: a task takes its chunks in pieces of bounded size, goes
-through all blocks for each piece, emits the piece's hits and keeps only the
+chunks runs together: a task takes its chunks in pieces of bounded size, prepares
+a piece once, goes through all blocks for it, emits the piece's hits and keeps only the
 distance that a later hit has to beat. Hits of a query without limit, or with a
 very large one, are ranked by ranges and not in one task.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, islice
 
 import numpy as np
@@ -31,9 +32,11 @@ from passagelake.session import materialise, scratch_path
 
 # Bytes of vectors and running results that one broadcast block may hold.
 BLOCK_BYTES = 128 << 20
-# Blocks of one scan, and bytes of chunks that a task holds while it goes through them.
+# Blocks of one scan; small ones are more, up to so many bytes together. A scan joins and reads all chunks.
 SCAN_BLOCKS = 64
-PIECE_BYTES = 64 << 20
+SCAN_BYTES = 128 << 20
+# Bytes of chunks that a task holds while it goes through several blocks, besides some four times as much for their numbers.
+PIECE_BYTES = 32 << 20
 # Bytes of a hit in a task's running results.
 HIT_BYTES = 40
 # Hits of a query that a window ranks in one task; more are ranked by ranges.
@@ -43,6 +46,9 @@ WAITING_ROWS = 1_024
 # Queries compared per matrix product, at least, and bytes of the product with a small cell.
 QUERY_STEP = 256
 PRODUCT_BYTES = 4 << 20
+# Bytes of a product with chunks of a batch, and how many chunks it has at least.
+TILE_BYTES = 1 << 20
+TILE_ROWS = 1_024
 # Bytes of exact differences at a time.
 REFINE_BYTES = 32 << 20
 
@@ -88,10 +94,29 @@ class QueryBlock:
         """Hits a task keeps per query, below 0 where it emits every distance."""
         return np.where(self.top_n > self.most, -1, self.top_n)
 
-    def nbytes(self, dim: int) -> int:
-        """Vectors in double precision, the running results of one task, cells, and a row's overhead."""
+    def sizes(self, dim: int) -> np.ndarray:
+        """For each query, vector in double precision, the running results of one task, cells, and a row's overhead."""
         bits = 0 if self.cells is None else self.cells.shape[1]
-        return int((8 * dim + HIT_BYTES * np.maximum(self.wanted, 0) + bits + 64).sum())
+        return 8 * dim + HIT_BYTES * np.maximum(self.wanted, 0) + bits + 64
+
+    def nbytes(self, dim: int) -> int:
+        return int(self.sizes(dim).sum())
+
+    def take(self, rows: np.ndarray) -> QueryBlock:
+        of = lambda column: None if column is None else column[rows]
+        return QueryBlock(
+            self.query_id[rows], self.vectors[rows], self.top_n[rows], [self.filters[i] for i in rows], self.most,
+            of(self.cells), of(self.limit),
+        )
+
+    def split(self, dim: int, block_bytes: int) -> Iterator[QueryBlock]:
+        """Blocks of about ``block_bytes``; queries with the same filter and like limits go together."""
+        codes = pa.array(self.filters, pa.string()).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        order = np.lexsort((self.top_n, self.wanted < 0, codes))
+        ends = np.cumsum(self.sizes(dim)[order])
+        starts = np.concatenate([[0], ends[:-1]])
+        for rows in np.split(order, np.flatnonzero(np.diff(starts // block_bytes)) + 1):
+            yield self.take(rows)
 
     @property
     def filtered(self) -> bool:
@@ -266,16 +291,61 @@ def _groups(block: QueryBlock) -> list[tuple[str | None, np.ndarray]]:
     ]
 
 
-def _over_blocks(shared: list[Broadcast], work: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work(block, batches, state)`` over a task's chunks, with a state of each block's own.
+class _Chunks:
+    """The comparable chunks of a batch and what all blocks need of them, computed once."""
+
+    def __init__(self, batch: pa.RecordBatch, dim: int):
+        self.batch, self.x = _chunks_of(batch, dim)
+        self._named: dict[str | None, _Operand] = {}
+
+    @cached_property
+    def copies(self) -> np.ndarray:
+        return _copies(self.x)
+
+    @cached_property
+    def rows_by_name(self) -> dict[str, np.ndarray]:
+        return _rows_by_name(self.batch.column("collection_name"))
+
+    def named(self, name: str | None) -> _Operand | None:
+        """Chunks of a collection, or all; None if there are none."""
+        if name not in self._named:
+            rows = np.arange(len(self.x)) if name is None else self.rows_by_name.get(name)
+            if rows is None:
+                return None
+            x = self.x if name is None else self.x[rows]
+            chunk, document = (self.batch.column(c).to_numpy()[rows] for c in ("chunk_id", "document_id"))
+            norm = (x**2).sum(axis=1)
+            self._named[name] = _Operand(rows, x, chunk, document, norm, np.column_stack([x, np.ones(len(x)), norm]))
+        return self._named[name]
+
+
+@dataclass
+class _Operand:
+    """Chunks to compare; a row of ``factors`` times ``-2q, |q|^2, 1`` of a query is their squared distance, up to rounding."""
+
+    rows: np.ndarray
+    x: np.ndarray
+    chunk: np.ndarray
+    document: np.ndarray
+    norm: np.ndarray
+    factors: np.ndarray
 
-    A single block sees all batches at once. Several see them piece by piece,
+
+def _over_blocks(
+    shared: list[Broadcast], work: Callable, dim: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work(block, chunks, state)`` over a task's chunks, with a state of each block's own.
+
+    A single block sees the chunks of all batches at once. Several see them piece by piece,
     and a worker holds one of the blocks at a time.
     """
 
+    def usable(batches) -> Iterator[_Chunks]:
+        return (chunks for batch in batches if len((chunks := _Chunks(batch, dim)).x))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: list[dict] = [{} for _ in shared]
-        for piece in [batches] if len(shared) == 1 else _pieces(batches):
+        for piece in [usable(batches)] if len(shared) == 1 else map(list, map(usable, _pieces(batches))):
             for broadcast, state in zip(shared, states):
                 yield from work(broadcast.value, piece, state)
                 if len(shared) > 1:
@@ -304,59 +374,49 @@ def _emitted(queries: QueryBlock, query, distance, chunk, document, cos) -> pa.R
 def _partial_top_k(dim: int) -> Callable:
     slack = 8 * (dim + 8) * np.finfo(np.float64).eps
 
-    def work(queries: QueryBlock, batches, state: dict) -> Iterator[pa.RecordBatch]:
-        groups = _groups(queries)
+    def work(queries: QueryBlock, pieces, state: dict) -> Iterator[pa.RecordBatch]:
         wanted = queries.wanted
-        hits = [_Hits(wanted[members], state.get(g)) for g, (_, members) in enumerate(groups)]
-
-        for batch in batches:
-            batch, x_all = _chunks_of(batch, dim)
-            if batch.num_rows == 0:
-                continue
-            chunk_all = batch.column("chunk_id").to_numpy()
-            document_all = batch.column("document_id").to_numpy()
-            x_norm_all = (x_all**2).sum(axis=1)
-            copies = None
-            by_name = _rows_by_name(batch.column("collection_name")) if queries.filtered else {}
-            by_name[None] = np.arange(len(x_all))
-            for (name, members), best in zip(groups, hits):
-                rows = by_name.get(name)
-                if rows is None:
+        groups = []
+        for g, (name, members) in enumerate(_groups(queries)):
+            q = queries.vectors[members].astype(np.float64)
+            q_norm = (q**2).sum(axis=1)
+            factors = np.column_stack([-2.0 * q, q_norm, np.ones(len(q))])
+            groups.append((name, members, _Hits(wanted[members], state.get(g)), q, q_norm, factors))
+
+        for chunks in pieces:
+            for name, members, best, q, q_norm, factors in groups:
+                c = chunks.named(name)
+                if c is None:
                     continue
                 most = int(best.wanted.max())
-                x, chunk, document, x_norm = (
-                    (x_all, chunk_all, document_all, x_norm_all)
-                    if name is None
-                    else (x_all[rows], chunk_all[rows], document_all[rows], x_norm_all[rows])
-                )
-                q = queries.vectors[members].astype(np.float64)
-                q_norm = (q**2).sum(axis=1)
                 if most < 0:
                     for i in range(len(members)):
-                        query = np.full(len(x), i)
-                        distance, cos = _exact(q, x, query, np.arange(len(x)), q_norm, x_norm)
-                        yield _emitted(queries, members[query], distance, chunk, document, cos)
+                        query = np.full(len(c.x), i)
+                        distance, cos = _exact(q, c.x, query, np.arange(len(c.x)), q_norm, c.norm)
+                        yield _emitted(queries, members[query], distance, c.chunk, c.document, cos)
                     continue
                 # The matrix product only preselects: whatever lies within its
                 # rounding error of the current limit is measured exactly.
-                rough = q_norm[:, None] + x_norm[None, :] - 2.0 * (q @ x.T)
-                error = slack * (q_norm[:, None] + x_norm[None, :].max())
-                limit = best.limit.copy()
-                if most < len(x):
-                    smallest = np.partition(rough, most - 1, axis=1)[:, most - 1]
-                    limit = np.minimum(limit, smallest + error[:, 0])
-                query, row = np.nonzero(rough <= limit[:, None] + error)
-                if len(query) > 4 * most * len(members) + 1024:
-                    # far more than wanted: copies of one vector tie with each other
-                    copies = _copies(x_all) if copies is None else copies
-                    needed = np.zeros(len(x), bool)
-                    needed[_without_spare_copies(copies[rows], chunk, most)] = True
-                    query, row = query[needed[row]], row[needed[row]]
-                if len(query):
-                    distance, cos = _exact(q, x, query, row, q_norm, x_norm)
-                    best.add(query, distance, chunk[row], document[row], cos)
-
-        for g, ((_, members), best) in enumerate(zip(groups, hits)):
+                error = slack * (q_norm + c.norm.max())
+                step = max(TILE_ROWS, TILE_BYTES // (8 * len(members)))
+                for start in range(0, len(c.x), step):
+                    rough = factors @ c.factors[start : start + step].T
+                    if most < rough.shape[1] and (no_limit := np.flatnonzero(np.isinf(best.limit))).size:
+                        smallest = np.partition(rough[no_limit], most - 1, axis=1)[:, most - 1]
+                        best.limit[no_limit] = smallest + error[no_limit]
+                    query, row = np.divmod(np.flatnonzero(rough <= (best.limit + error)[:, None]), rough.shape[1])
+                    row += start
+                    if len(query) > 4 * most * len(members) + 1024:
+                        # far more than wanted: copies of one vector tie with each other
+                        tile = slice(start, start + step)
+                        needed = np.zeros(len(c.x), bool)
+                        needed[start + _without_spare_copies(chunks.copies[c.rows[tile]], c.chunk[tile], most)] = True
+                        query, row = query[needed[row]], row[needed[row]]
+                    if len(query):
+                        distance, cos = _exact(q, c.x, query, row, q_norm, c.norm)
+                        best.add(query, distance, c.chunk[row], c.document[row], cos)
+
+        for g, (_, members, best, *_) in enumerate(groups):
             if best.waiting:
                 best.merge()
             state[g] = best.limit
@@ -374,15 +434,13 @@ def _partial_in_cells(dim: int) -> Callable:
     """
     slack = 8 * (dim + 8) * np.finfo(np.float64).eps
 
-    def work(queries: QueryBlock, batches, state: dict) -> Iterator[pa.RecordBatch]:
+    def work(queries: QueryBlock, pieces, state: dict) -> Iterator[pa.RecordBatch]:
         if not len(queries.query_id):
             return
         wanted = queries.wanted
         best = _Hits(np.maximum(wanted, 0), state["limit"] if state else queries.limit**2)
-        for batch in batches:
-            batch, x_all = _chunks_of(batch, dim)
-            if batch.num_rows == 0:
-                continue
+        for chunks in pieces:
+            batch, x_all = chunks.batch, chunks.x
             chunk_all = batch.column("chunk_id").to_numpy()
             document_all = batch.column("document_id").to_numpy()
             cell_all = batch.column("cell").to_numpy()
@@ -445,14 +503,15 @@ def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[Que
     tracked = F.when(F.col("top_n") * F.lit(HIT_BYTES).cast("long") <= block_bytes, F.greatest("top_n", F.lit(0))).otherwise(0)
     bits = F.length("_cells").cast("long") if "_cells" in queries.columns else F.lit(0)
     total = queries.agg(F.sum(8 * dim + HIT_BYTES * F.coalesce(tracked, F.lit(0)).cast("long") + bits + 64)).first()[0]
-    blocks = -(-int(total or 0) // block_bytes)
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    dealt.write.partitionBy("block").parquet(path)
+    # a folder for each block, or for as many small blocks as the driver may hold: each folder is a job
+    folders = -(-int(total or 0) // max(block_bytes, BLOCK_BYTES))
+    dealt = queries.withColumn("folder", F.pmod(F.xxhash64("query_id"), F.lit(folders)).cast("int"))
+    dealt.write.partitionBy("folder").parquet(path)
     stored = spark.read.schema(dealt.schema).parquet(path)
-    for i in range(blocks):
-        block = _collect_block(stored.filter(F.col("block") == i).drop("block"), dim, block_bytes)  # one folder
+    for i in range(folders):
+        block = _collect_block(stored.filter(F.col("folder") == i).drop("folder"), dim, block_bytes)
         if len(block.query_id):
-            yield block
+            yield from block.split(dim, block_bytes) if block_bytes < BLOCK_BYTES else [block]
 
 
 def knn(
@@ -507,8 +566,8 @@ def _by_block(
 ) -> tuple[DataFrame, set[int]]:
     """Partial results of all blocks, and the limits that occur among the queries.
 
-    One block stays lazy. Of several, up to ``SCAN_BLOCKS`` share a scan, whose
-    result is written, and then the executors give up their copies.
+    One block stays lazy. Of several, up to ``SCAN_BLOCKS`` share a scan, or more that have ``SCAN_BYTES`` together;
+    its result is written, and then the executors give up their copies.
     """
     spark = queries.sparkSession
 
@@ -518,7 +577,7 @@ def _by_block(
             rows = rows.filter(F.lit(False))  # nothing asked, nothing read
         read = columns + (["collection_name"] if filtered else [])
         chosen = rows.select(*[F.col(c).cast("long") if c.endswith("_id") else F.col(c) for c in read])
-        return chosen.mapInArrow(_over_blocks(shared, work), schema)
+        return chosen.mapInArrow(_over_blocks(shared, work, dim), schema)
 
     blocks = query_blocks(queries, dim, block_bytes)
     first = list(islice(blocks, 2)) or [_no_queries(dim)]
@@ -529,7 +588,7 @@ def _by_block(
     first, n_scans = None, 0
     while True:
         shared, filters, filtered = [], set(), False
-        for block in islice(blocks, SCAN_BLOCKS):
+        for block in islice(blocks, max(SCAN_BLOCKS, SCAN_BYTES // block_bytes)):
             limits.update(block.top_n.tolist())
             filters.update(block.places)
             filtered |= block.filtered
@@ -559,26 +618,20 @@ def distance_profile(queries: DataFrame, candidates: Callable[[set[str | None]],
 
 
 def _partial_profile(dim: int) -> Callable:
-    def work(queries: QueryBlock, batches, state: dict) -> Iterator[pa.RecordBatch]:
+    def work(queries: QueryBlock, pieces, state: dict) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(queries.query_id), np.int64)
         least, total, largest = np.full(len(n), np.inf), np.zeros(len(n)), np.zeros(len(n))
         members_by_name: dict[str | None, list[int]] = {}
         for i, name in enumerate(queries.filters):
             members_by_name.setdefault(name, []).append(i)
-        for batch in batches:
-            batch, x_all = _chunks_of(batch, dim)
-            if batch.num_rows == 0:
-                continue
-            copies = _copies(x_all)
-            by_name = _rows_by_name(batch.column("collection_name")) if queries.filtered else {}
-            by_name[None] = np.arange(len(x_all))
+        for chunks in pieces:
             for name, members in members_by_name.items():
-                rows = by_name.get(name)
+                rows = np.arange(len(chunks.x)) if name is None else chunks.rows_by_name.get(name)
                 if rows is None:
                     continue
                 # copies are measured once and counted as often as they occur
-                first, times = np.unique(copies[rows], return_counts=True)
-                x = x_all[first]
+                first, times = np.unique(chunks.copies[rows], return_counts=True)
+                x = chunks.x[first]
                 x_norm = (x**2).sum(axis=1)
                 for start in range(0, len(members), QUERY_STEP):
                     step = np.array(members[start : start + QUERY_STEP])

@@ -182,6 +182,49 @@ def test_many_blocks_share_a_scan(spark, monkeypatch):
     assert found(search.topk_search_batch(requests(spark, rows), chunks, docs, cols, DIM, block_bytes=4_000)) == brute(data, rows)
 
 
+def test_small_blocks_share_collects_and_scans(spark, monkeypatch):
+    """With more than 64 blocks the driver collects once and one scan takes all of them; fewer in a scan change nothing."""
+    data = sample(11, 200)
+    rows = [(i, data[20 + i % 50], [3, 40, None][i % 3], [None, "a", "b"][i // 3 % 3]) for i in range(150)]
+    chunks, docs, cols = tables(spark, data)
+    build = search.candidates(chunks, docs, cols, DIM)
+    collected, scans, collect = [], [], knn_module._collect_block
+    monkeypatch.setattr(knn_module, "_collect_block", lambda *a: collected.append(collect(*a)) or collected[-1])
+    got = knn_module.knn(requests(spark, rows), lambda f: scans.append(f) or build(f), DIM, block_bytes=300)
+    want = brute(data, rows)
+    assert found(got) == want and len(collected) == 1 and scans == [{None, "a", "b"}]
+    monkeypatch.setattr(knn_module, "SCAN_BYTES", 9_000)
+    monkeypatch.setattr(knn_module, "SCAN_BLOCKS", 2)
+    scans.clear()
+    got = knn_module.knn(requests(spark, rows), lambda f: scans.append(f) or build(f), DIM, block_bytes=300)
+    assert found(got) == want and len(scans) > 1
+
+
+def test_split_blocks_fit_and_keep_filters_together(spark):
+    rows = [(i, [float(i)] * DIM, i % 5, [None, "a", "b"][i % 3]) for i in range(90)]
+    block = knn_module._collect_block(knn_module.valid_queries(requests(spark, rows), DIM), DIM)
+    parts = list(block.split(DIM, 2_000))
+    assert sorted(np.concatenate([p.query_id for p in parts]).tolist()) == list(range(90))
+    assert all(p.nbytes(DIM) <= 2_000 + block.sizes(DIM).max() for p in parts)
+    assert sum(len(set(p.filters)) for p in parts) <= len(parts) + 2
+    for p in parts:
+        for i, filtre, top_n, vector in zip(p.query_id, p.filters, p.top_n, p.vectors):
+            assert (filtre, top_n, vector[0]) == (rows[i][3], rows[i][2], float(i))
+
+
+def test_small_tiles_equal_brute_force(spark, monkeypatch):
+    """Limits carried from tile to tile and from piece to piece, ties and copies among them."""
+    monkeypatch.setattr(knn_module, "TILE_ROWS", 16)
+    monkeypatch.setattr(knn_module, "TILE_BYTES", 1)
+    monkeypatch.setattr(knn_module, "WAITING_ROWS", 4)
+    monkeypatch.setattr(knn_module, "PIECE_BYTES", 1)
+    data = sample(12, 300)
+    rows = asked(data) + [(100 + i, data[20 + i], 1 + i % 6, [None, "a"][i % 2]) for i in range(40)]
+    for block_bytes in (1 << 28, 2_000):
+        got = search.topk_search_batch(requests(spark, rows), *tables(spark, data), DIM, block_bytes=block_bytes)
+        assert found(got) == brute(data, rows)
+
+
 def test_running_results_are_bounded():
     """A limit of 10,001 over a million hits: what a task holds stays below three times the limit."""
     rng, most = np.random.default_rng(0), 10_001
